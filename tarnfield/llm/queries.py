@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfield.llm import decontaminate, jaccard, langid, quality, secrets
+from tarnfield.llm import decontaminate, html, jaccard, langid, quality, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_query(_table(spark, sf_dir, "documents"))
 
@@ -37,7 +41,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_language_id, op5_quality, op7_ngram_jaccard, op8_decontamination, op10_secrets)}
+    return {f.__name__: f for f in (op1_html_text, op3_language_id, op5_quality, op7_ngram_jaccard, op8_decontamination, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
