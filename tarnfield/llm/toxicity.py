@@ -1,6 +1,6 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and their openings of four and six letters. The terms kept are those whose chi-square statistic against
+Terms are words, their openings of four and six letters, and openings shared by several words of a text. The terms kept are those whose chi-square statistic against
 the label, on a bounded labelled sample, is large and speaks for label 1; their document frequencies are then counted
 over all documents. Examples lie in blocks, sorted by their heaviest terms, and each term keeps its largest weight in each
 block. A query sums those maxima to a bound for each block, visits blocks in falling order of it and ends where no block
@@ -31,15 +31,18 @@ _MEMO = 100_000
 Vector = tuple[tuple[int, ...], tuple[float, ...]]
 
 
-def word_terms(word: str) -> tuple[str, ...]:
-    return tuple({word, *(word[:n] + "*" for n in (4, 6) if len(word) >= n)})
+def openings(word: str) -> tuple[str, ...]:
+    return tuple(word[:n] + "*" for n in (4, 6) if len(word) >= n)
 
 
 def text_terms(text: str | None) -> Counter:
-    out: Counter = Counter()
-    for word, n in Counter(_WORD.findall((text or "").lower())).items():
-        for term in word_terms(word):
-            out[term] += n
+    """Words by times; openings by distinct words; and an opening of two, of three or more distinct words once more each."""
+    out = Counter(_WORD.findall((text or "").lower()))
+    opened = Counter(o for word in out for o in openings(word))
+    for opening, n in opened.items():
+        out[opening] = n
+        for level in range(2, min(n, 3) + 1):
+            out[f"{opening}{level}"] = 1
     return out
 
 
@@ -49,21 +52,30 @@ class Terms:
     def __init__(self, terms: list[str], documents: int, frequency: dict[str, int]):
         self.number = {t: i for i, t in enumerate(terms)}
         self.idf = [math.log((1 + documents) / (1 + frequency.get(t, 0))) + 1 for t in terms]
-        self._memo: dict[str, tuple[int, ...]] = {}
+        self._opened = {t[: t.index("*") + 1] for t in terms if "*" in t}
+        self._memo: dict[str, tuple[int, tuple[str, ...]]] = {}
 
     def counts(self, text: str | None) -> Counter:
+        """What ``text_terms`` gives for the kept terms, by their numbers."""
         out: Counter = Counter()
         if not text:
             return out
         memo, number = self._memo, self.number
+        opened: Counter = Counter()
         for word, n in Counter(_WORD.findall(text.lower())).items():
             own = memo.get(word)
             if own is None:
                 if len(memo) > _MEMO:
                     memo.clear()
-                own = memo[word] = tuple(number[t] for t in word_terms(word) if t in number)
-            for t in own:
-                out[t] += n
+                own = memo[word] = number.get(word, -1), tuple(o for o in openings(word) if o in self._opened)
+            if own[0] >= 0:
+                out[own[0]] = n
+            for o in own[1]:
+                opened[o] += 1
+        for opening, n in opened.items():
+            for term, times in ((opening, n), *((f"{opening}{level}", 1) for level in range(2, min(n, 3) + 1))):
+                if term in number:
+                    out[number[term]] = times
         return out
 
     def vector(self, text: str | None) -> Vector:
