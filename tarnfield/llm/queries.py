@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfield.llm import decontaminate, html, jaccard, langid, quality, secrets, toxicity, vectors
+from tarnfield.llm import decontaminate, html, jaccard, langid, pieces, quality, secrets, toxicity, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,13 +43,17 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_digest(found)
 
 
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_texts(_table(spark, sf_dir, "documents"), pieces.PieceModel.load(pieces.public_model_path()))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return secrets.secret_digest(secrets.scan_secrets(docs, secrets.fit_markov(docs)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_text, op3_language_id, op4_neighbours, op5_quality, op6_toxicity, op7_ngram_jaccard, op8_decontamination, op10_secrets)}
+    return {f.__name__: f for f in (op1_html_text, op3_language_id, op4_neighbours, op5_quality, op6_toxicity, op7_ngram_jaccard, op8_decontamination, op9_pieces, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
