@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfield.llm import decontaminate, html, jaccard, langid, pieces, quality, secrets, toxicity, vectors
+from tarnfield.llm import decontaminate, html, jaccard, langid, pieces, quality, secrets, toxicity, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_text(_table(spark, sf_dir, "pages"))
 
 
+def op2_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.audit_query(_table(spark, sf_dir, "pages"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_query(_table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_text, op3_language_id, op4_neighbours, op5_quality, op6_toxicity, op7_ngram_jaccard, op8_decontamination, op9_pieces, op10_secrets)}
+    return {f.__name__: f for f in (op1_html_text, op2_merkle_fixity, op3_language_id, op4_neighbours, op5_quality, op6_toxicity, op7_ngram_jaccard, op8_decontamination, op9_pieces, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
