@@ -24,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnfield.llm.textkit import bounded_sample, fold_rule
+from tarnfield.llm.textkit import bounded_sample, fold_rule, small_batches
 
 _WORD = re.compile(r"[^\W\d_]+")
 _MEMO = 100_000
+#: Blocks that are read before the bound of the others is looked at.
+_AHEAD = 4
 Vector = tuple[tuple[int, ...], tuple[float, ...]]
 
 
@@ -96,16 +98,11 @@ class BlockMaxIndex:
         for place, i in enumerate(self.rows.tolist()):
             for t, w in zip(*vectors[i], strict=True):
                 entries[t].append((place, w))
-        self.postings: list[dict[int, tuple[np.ndarray, np.ndarray]]] = []
+        self.postings = [(np.array([p for p, _ in own], np.int64), np.array([w for _, w in own], np.float64)) for own in entries]
         self.maxima: list[tuple[np.ndarray, np.ndarray]] = []
-        for own in entries:
-            found: dict[int, tuple[list[int], list[float]]] = {}
-            for place, w in own:
-                places, weights = found.setdefault(place // block, ([], []))
-                places.append(place % block)
-                weights.append(w)
-            self.postings.append({b: (np.array(p), np.array(w)) for b, (p, w) in found.items()})
-            self.maxima.append((np.array(list(found), np.int64), np.array([max(w) for _, w in found.values()])))
+        for places, weights in self.postings:
+            found, at = np.unique(places // block, return_index=True)
+            self.maxima.append((found, np.maximum.reduceat(weights, at) if len(at) else weights))
 
     def nearest(self, query: Vector, k: int, without: int = -1) -> list[tuple[float, int]]:
         """(cosine, row) of the k nearest with a cosine above zero, nearest first, ties to the smaller row."""
@@ -113,20 +110,33 @@ class BlockMaxIndex:
         for t, w in zip(*query, strict=True):
             where, most = self.maxima[t]
             bound[where] += w * most
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) >= k and bound[b] < -best[k - 1][0] - 1e-12:
-                break
-            scores = np.zeros(self.block)
-            for t, w in zip(*query, strict=True):
-                own = self.postings[t].get(b)
-                if own is not None:
-                    scores[own[0]] += w * own[1]
-            hit = np.flatnonzero(scores > 0)
-            rows = self.rows[b * self.block + hit]
-            best += [(-round(s, 12), r) for s, r in zip(scores[hit].tolist(), rows.tolist(), strict=True) if r != without]
-            best = sorted(best)[:k]
-        return [(-s, r) for s, r in best]
+        # The few best blocks first; the k-th best cosine among them decides which others can still matter.
+        open_blocks = bound > 0
+        ahead = open_blocks.copy()
+        if self.blocks > _AHEAD:
+            ahead &= bound >= np.partition(bound, -_AHEAD)[-_AHEAD]
+        places = np.concatenate([self.postings[t][0] for t in query[0]])
+        weights = np.concatenate([w * self.postings[t][1] for t, w in zip(*query, strict=True)])
+        scores, rows = self._scored(places, weights, ahead, without)
+        least = np.partition(scores, -k)[-k] if len(scores) >= k else 0.0
+        rest = open_blocks & ~ahead & (bound >= least - 1e-9)
+        if rest.any():
+            more, others = self._scored(places, weights, rest, without)
+            scores, rows = np.concatenate((scores, more)), np.concatenate((rows, others))
+        if len(scores) > k:
+            near = scores >= np.partition(scores, -k)[-k]
+            scores, rows = scores[near], rows[near]
+        order = np.lexsort((rows, -scores))[:k]
+        return list(zip(scores[order].tolist(), rows[order].tolist(), strict=True))
+
+    def _scored(self, places: np.ndarray, weights: np.ndarray, blocks: np.ndarray, without: int) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines above zero, to twelve decimals, and rows of all entries in the blocks."""
+        inside = blocks[places // self.block]
+        totals = np.bincount(places[inside], weights[inside])
+        hit = np.flatnonzero(totals > 0)
+        rows = self.rows[hit]
+        keep = rows != without
+        return np.round(totals[hit][keep], 12), rows[keep]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -221,7 +231,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, seen = 0, Counter()
-        for batch in batches:
+        for batch in small_batches(batches):
             total += batch.num_rows
             for value in batch.column(0).to_pylist():
                 seen.update(frozen.value.counts(value).keys())
@@ -243,7 +253,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id"
     frozen = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             found = [frozen.value.judge(t) for t in batch.column(1).to_pylist()]
             near = [[{"doc_id": i, "similarity": s, "label": label} for i, s, label in e] for _, e in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in found], pa.float64()), pa.array(near, _EVIDENCE)], ["doc_id", "score", "evidence"])
