@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnfield.llm.textkit import small_batches
+
 # Element names of the HTML standard.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -198,7 +200,7 @@ def learn_stop_words(pages: DataFrame, page: str = "html", size: int = 60, longe
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = {}
-        for batch in batches:
+        for batch in small_batches(batches):
             for value in batch.column(0).to_pylist():
                 lang = _LANG.search(value or "")
                 name = lang[1].lower() if lang else ""
@@ -225,7 +227,7 @@ def extract_text(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), p
     rows = pages.select(*keep, F.col(page).alias("_html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             texts = [main_text(x, frozen.value) for x in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*keep, "text", "n_chars"])
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnfield.llm.textkit import bounded_sample
+from tarnfield.llm.textkit import bounded_sample, small_batches
 
 KINDS = ("assign", "access", "hex", "random")
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -154,7 +154,7 @@ def scan_secrets(docs: DataFrame, model: MarkovPair, doc_id: str = "doc_id", tex
     frozen = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             rows = []
             for value in batch.column(1).to_pylist():
                 _, spans = text_spans(value or "", frozen.value)
@@ -193,7 +193,7 @@ def redact(docs: DataFrame, model: MarkovPair, text: str = "text", mark: str = "
         return "".join([*out, value[last:]]) if out else value
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             columns = list(batch.columns)
             columns[at] = pa.array(map(clean, columns[at].to_pylist()), pa.string())
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)

@@ -6,6 +6,8 @@ few nanoseconds a byte and memory stays proportional to the chunk, however long
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -53,6 +55,13 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, bounds
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, so that Python objects made of them stay few."""
+    for batch in batches:
+        for first in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(first, rows)
+
+
 def chunked(bounds: np.ndarray, limit: int = CHUNK_BYTES):
     """Row ranges (first, last) of about ``limit`` bytes each."""
     first, rows = 0, len(bounds) - 1
