@@ -34,8 +34,13 @@ def warc_record(uri: Column, date: Column, payload: Column) -> Column:
     return F.concat(head.cast("binary"), body, F.lit("\r\n\r\n").cast("binary"))
 
 
-def lay_out(records: DataFrame, file: Column, order: list[str], record: str = "record") -> DataFrame:
-    """The records with ``file``, ``offset`` and ``length``: each follows the one before it in its file.
+def record_digest(record: Column) -> Column:
+    """The hash of a record's bytes, and a word for none. Taken where the record is read, so that bodies aren't shuffled."""
+    return F.coalesce(F.sha2(record.cast("binary"), 256), F.lit("null"))
+
+
+def lay_out(records: DataFrame, file: Column, order: list[str], length: str = "length") -> DataFrame:
+    """The records with ``file`` and ``offset``: each follows the one before it in its file.
 
     ``file`` should deal out a bounded number of records to each file, as writers of archives do; then no task
     holds more than such a file's rows.
@@ -43,13 +48,12 @@ def lay_out(records: DataFrame, file: Column, order: list[str], record: str = "r
     from pyspark.sql import Window
 
     before = Window.partitionBy("file").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    sized = records.withColumn("file", file).withColumn("length", F.coalesce(F.octet_length(F.col(record)), F.lit(0)).cast("long"))
-    return sized.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
+    return records.withColumn("file", file).withColumn("offset", F.coalesce(F.sum(length).over(before), F.lit(0)))
 
 
-def leaves(records: DataFrame, record: str = "record") -> DataFrame:
-    """file, offset, length, n_records and hash of each leaf."""
-    hashed = records.where("file is not null and offset is not null").select("file", "offset", F.coalesce("length", F.lit(0)).alias("length"), F.coalesce(F.sha2(F.col(record).cast("binary"), 256), F.lit("null")).alias("hash"))
+def leaves(records: DataFrame, digest: str = "digest") -> DataFrame:
+    """file, offset, length, n_records and hash of each leaf, from rows of file, offset, length and record digest."""
+    hashed = records.where("file is not null and offset is not null").select("file", "offset", F.coalesce("length", F.lit(0)).alias("length"), F.coalesce(digest, F.lit("null")).alias("hash"))
     # Records at one place are few; of equal ones only the number is kept, so a repeated row stays one small entry.
     counted = hashed.groupBy("file", "offset", "length", "hash").agg(F.count("*").alias("n"))
     parts = F.array_sort(F.collect_list(F.concat_ws(":", "hash", "length", F.col("n").cast("string"))))
@@ -83,10 +87,10 @@ def _differing(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.where(~F.col("one").eqNullSafe(F.col("two"))).select("file", "place")
 
 
-def fixity_audit(first: DataFrame, second: DataFrame, record: str = "record", granule: int = 1 << 16, fanout: int = FANOUT, levels: int = LEVELS) -> DataFrame:
+def fixity_audit(first: DataFrame, second: DataFrame, digest: str = "digest", granule: int = 1 << 16, fanout: int = FANOUT, levels: int = LEVELS) -> DataFrame:
     """A row for each leaf of either replica: file, offset, length, n_records, hash (of the first replica where it has the
     leaf), and status: ok, changed, lost (missing in the second) or added (missing in the first)."""
-    one, two = cut(leaves(first, record)), cut(leaves(second, record))
+    one, two = cut(leaves(first, digest)), cut(leaves(second, digest))
     trees = merkle_tree(one, granule, fanout, levels), merkle_tree(two, granule, fanout, levels)
     bad = _differing(trees[0][-1], trees[1][-1]).select("file")
     for level in range(levels, -1, -1):
@@ -104,21 +108,24 @@ def fixity_audit(first: DataFrame, second: DataFrame, record: str = "record", gr
     return known.join(located, ["file", "offset"], "left").select("file", "offset", "length", "n_records", "hash", F.coalesce("status", F.lit("ok")).alias("status"))
 
 
-def page_archive(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", per_file: int = 256) -> DataFrame:
-    """``pages`` as archive files of ``per_file`` consecutive page ids; null ids share one file."""
+def archive_index(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", per_file: int = 256) -> DataFrame:
+    """``pages`` as archive files of ``per_file`` consecutive page ids (null ids share one file), without the bodies:
+    page_id, file, offset, length and digest of each record, and ``hurt``, its digest with one byte changed."""
     file = F.concat(F.lit("pages-"), F.lpad(F.coalesce(F.floor(F.col("page_id") / per_file), F.lit(-1)).cast("string"), 12, "0"), F.lit(".warc"))
-    rows = pages.select("page_id", "url", warc_record(F.col("url"), F.lit(date), F.col("html")).alias("record"))
-    return lay_out(rows.withColumn("_h", F.xxhash64("url", "record")), file, ["page_id", "_h"])
+    record = warc_record(F.col("url"), F.lit(date), F.col("html"))
+    rows = pages.select("page_id", record.alias("record"))
+    hurt = F.concat(F.substring("record", 1, 40), F.lit("#").cast("binary"), F.expr("substring(record, 42)"))
+    rows = rows.select("page_id", F.coalesce(F.octet_length("record"), F.lit(0)).cast("long").alias("length"), record_digest(F.col("record")).alias("digest"), record_digest(hurt).alias("hurt"))
+    return lay_out(rows, file, ["page_id", "digest"])
 
 
-def damaged(archive: DataFrame, record: str = "record") -> DataFrame:
-    """A replica with damage planted by rule: of each 101 hash values of an id one has a byte changed and one is lost."""
-    rule = F.pmod(F.xxhash64(F.col("page_id")), F.lit(101))
-    hurt = F.concat(F.substring(F.col(record), 1, 40), F.lit("#").cast("binary"), F.expr(f"substring({record}, 42)"))
-    return archive.where(F.coalesce(rule != 1, F.lit(True))).withColumn(record, F.when(rule == 0, hurt).otherwise(F.col(record)))
+def damaged(index: DataFrame) -> DataFrame:
+    """A replica with damage planted by rule: of each 101 page ids one record has a byte changed and one is lost."""
+    rule = F.pmod(F.col("page_id"), F.lit(101))
+    return index.where(F.coalesce(rule != 1, F.lit(True))).withColumn("digest", F.when(rule == 0, F.col("hurt")).otherwise(F.col("digest")))
 
 
 def audit_query(pages: DataFrame) -> DataFrame:
     """Audits the archive of ``pages`` against a replica with planted damage."""
-    archive = page_archive(pages)
-    return fixity_audit(archive, damaged(archive))
+    index = cut(archive_index(pages))
+    return fixity_audit(index, damaged(index))
