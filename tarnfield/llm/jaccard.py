@@ -9,8 +9,8 @@ Links are exact: two documents link when ``100 * intersection >= percent * union
 3. Within a column of that matrix the row that has the fewest rarer shingles stands for the others: first each is
    compared with that one only. This is linear in the matrix, and joins a large group of near copies at once.
 4. Then the columns that still hold several components are multiplied, leaving out pairs inside one component, pairs
-   whose sizes or places in the order bound the intersection too low, and pairs compared before; overlap counts are summed
-   for each pair, and pairs below the bound for their sizes dropped.
+   whose sizes, places in the order or parity bitmaps bound the intersection too low, and pairs compared before; overlap
+   counts are summed for each pair, and pairs below the bound for their sizes dropped.
 5. What is left is compared on the whole sets, and components are formed from the links.
 
 Null or empty texts have no shingles and link with nothing. Rows without an id take no part. Rows that repeat an id are
@@ -32,10 +32,17 @@ from tarnfield.llm.textkit import LOWER, SPACES, chain, chunked, find_words, pre
 
 #: Counters of the order table, and how many of them travel together.
 _SLOT_BITS, _PAGE_BITS = 22, 12
+#: Numbers of 64 bits in a set's parity bitmap, which bounds how far two sets differ from below.
+_BITMAP = 4
+#: Pairs that are sent to every task rather than joined by a shuffle: some 20 MB.
+_FEW_PAIRS = 300_000
 #: Rows that one task compares with the same representative, or multiplies in one block.
 _BLOCK = 512
 
 
+BITS = [f"bits{i}" for i in range(_BITMAP)]
+
+
 def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
     """The sorted distinct 64-bit hashes of each text's shingles of ``size`` words."""
     data, bounds = text_bytes(column)
@@ -62,6 +69,12 @@ def _digest(hashes: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)), int(np.uint64(b).view(np.int64))
 
 
+def _parities(hashes: np.ndarray) -> bytes:
+    """For each of the bitmap's bits, whether an odd number of members falls on it."""
+    counts = np.bincount((hashes & np.uint64(64 * _BITMAP - 1)).astype(np.int64), minlength=64 * _BITMAP)
+    return np.packbits(counts.astype(np.uint8) & 1).tobytes()
+
+
 def prefix_size(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
@@ -109,17 +122,18 @@ def order_table(docs: DataFrame, text: str, size: int) -> np.ndarray:
     return np.minimum(255, np.round(8 * np.log2(1.0 + table.reshape(-1)))).astype(np.uint8)
 
 
-def _incidence(size: int, percent: int, table, with_ids: bool):
+def _incidence(size: int, percent: int, table):
     """Per document its class and set size; per class its first shingles, once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for batch in batches:
-            keys, sizes, sh, place = [], [], [], []
+            keys, sizes, sh, bits = [], [], [], []
             for hashes in shingle_sets(batch.column(1), size):
                 key = _digest(hashes)
                 keys.append(key)
                 sizes.append(len(hashes))
+                bits.append(_parities(hashes))
                 if not len(hashes) or key in seen:
                     sh.append(None)
                     continue
@@ -129,7 +143,8 @@ def _incidence(size: int, percent: int, table, with_ids: bool):
                 order = np.argsort(table.value[(hashes >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)], kind="stable")
                 sh.append(hashes[order[: prefix_size(len(hashes), percent)]].view(np.int64))
             lists = pa.array(sh, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a for a, _ in keys], pa.int64()), pa.array([b for _, b in keys], pa.int64()), pa.array(sizes, pa.int64()), lists], ["doc_id", "k1", "k2", "n", "prefix"])
+            parities = np.frombuffer(b"".join(bits), np.int64).reshape(-1, _BITMAP)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a for a, _ in keys], pa.int64()), pa.array([b for _, b in keys], pa.int64()), pa.array(sizes, pa.int64()), lists, *(pa.array(parities[:, i]) for i in range(_BITMAP))], ["doc_id", "k1", "k2", "n", "prefix", *BITS])
 
     return run
 
@@ -161,20 +176,22 @@ def _compare(size: int, percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of document ids that link, from the whole texts. Pairs of one ``a`` are dealt in blocks."""
-    rows = pairs.withColumn("salt", F.floor((F.row_number().over(_window("a", "b")) - 1) / _BLOCK))
-    heads = rows.select("a", "salt").distinct().select("a", "salt", F.lit(None).cast("long").alias("b"), F.col("a").alias("id"))
-    wanted = rows.select("a", "salt", "b", F.col("b").alias("id")).unionByName(heads)
-    with_text = wanted.join(texts.select(F.col("doc_id").alias("id"), "text"), "id")
+    blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / _BLOCK).alias("blocks"))
+    rows = pairs.join(blocks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("salt"))
+    heads = rows.select("a", "salt").distinct().select("a", "salt", F.lit(None).cast("long").alias("b"), F.col("a").alias("doc_id"))
+    wanted = rows.select("a", "salt", "b", F.col("b").alias("doc_id")).unionByName(heads)
+    # Few pairs go to where the texts are; beyond that bound the texts are shuffled to the pairs.
+    with_text = docs.join(F.broadcast(wanted) if pairs.count() <= _FEW_PAIRS else wanted, "doc_id")
     dealt = with_text.select("a", "salt", "b", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
     return dealt.mapInArrow(_compare(size, percent), "a long, b long")
 
 
-def _window(key: str, order: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(key).orderBy(order)
+def _most_common(n1: Column, n2: Column) -> Column:
+    """The largest intersection that the parity bitmaps (columns a_bits*, b_bits*) allow: each odd bit is a difference."""
+    apart = sum(F.bit_count(F.col(f"a_{b}").bitwiseXOR(F.col(f"b_{b}"))) for b in BITS)
+    return F.floor((n1 + n2 - apart) / 2)
 
 
 def _enough(n1: Column, n2: Column, overlap: Column, percent: int) -> Column:
@@ -188,44 +205,47 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     table = spark.sparkContext.broadcast(order_table(rows, "text", size))
-    schema = "doc_id long, k1 long, k2 long, n long, prefix array<long>"
-    found = cut(rows.mapInArrow(_incidence(size, percent, table, True), schema))
+    schema = "doc_id long, k1 long, k2 long, n long, prefix array<long>, " + ", ".join(f"{b} long" for b in BITS)
+    found = cut(rows.mapInArrow(_incidence(size, percent, table), schema))
     keyed = found.select("doc_id", "k1", "k2", "n")
-    classes = keyed.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
+    classes = found.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), *(F.first(b).alias(b) for b in BITS))
 
     # The incidence of the first shingles: a row for each class and column, repeated at most once a task.
     entries = found.where("prefix is not null").select("k1", "k2", "n", F.posexplode("prefix").alias("pos", "sh"))
     column = Window.partitionBy("sh").orderBy("pos", "k1", "k2")
     entries = entries.withColumns({
         "c1": F.first("k1").over(column), "c2": F.first("k2").over(column), "cn": F.first("n").over(column), "cpos": F.first("pos").over(column),
-        "next1": F.lead("k1").over(column),
+        "next1": F.lead("k1").over(column), "last1": F.lag("k1").over(column), "last2": F.lag("k2").over(column),
     })
-    shared = cut(entries.where("next1 is not null or k1 <> c1 or k2 <> c2").drop("next1"))
+    again = F.coalesce((F.col("k1") == F.col("last1")) & (F.col("k2") == F.col("last2")), F.lit(False))
+    shared = cut(entries.where("next1 is not null or k1 <> c1 or k2 <> c2").where(~again).drop("next1", "last1", "last2"))
     possible = F.least("pos", "cpos") + F.least(F.col("n") - F.col("pos"), F.col("cn") - F.col("cpos"))
-    stars = shared.where((F.col("k1") != F.col("c1")) | (F.col("k2") != F.col("c2"))).where(_enough(F.col("n"), F.col("cn"), possible, percent)).select("c1", "c2", "k1", "k2").distinct()
-    left = classes.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.col("rep").alias("a"))
-    right = classes.select("k1", "k2", F.col("rep").alias("b"))
-    pairs = cut(stars.join(left, ["c1", "c2"]).join(right, ["k1", "k2"]).select("a", "b"))
-    texts = _texts_of(rows, pairs)
-    links = cut(_verified(pairs, texts, size, percent))
+    stars = shared.where((F.col("k1") != F.col("c1")) | (F.col("k2") != F.col("c2"))).where(_enough(F.col("n"), F.col("cn"), possible, percent)).select("c1", "c2", "cn", "k1", "k2", "n").distinct()
+    left = classes.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.col("rep").alias("a"), *(F.col(b).alias(f"a_{b}") for b in BITS))
+    right = classes.select("k1", "k2", F.col("rep").alias("b"), *(F.col(b).alias(f"b_{b}") for b in BITS))
+    pairs = stars.join(left, ["c1", "c2"]).join(right, ["k1", "k2"]).where(_enough(F.col("cn"), F.col("n"), _most_common(F.col("cn"), F.col("n")), percent))
+    pairs = cut(pairs.select("a", "b"))
+    links = cut(_verified(pairs, rows, size, percent))
     joined = components(links)
 
     # The columns that still hold several components.
-    labelled = shared.select("sh", "k1", "k2", "n", "pos").distinct().join(classes.select("k1", "k2", "rep"), ["k1", "k2"])
-    # Of its first shingles, those that no other class has can't be in an intersection: ``room`` is what is left.
-    shares = labelled.groupBy("rep").agg(F.count("*").alias("m_own"))
+    # Of a class's first shingles, those that no other class has can't be in an intersection: ``room`` is what is left.
+    shares = shared.groupBy("k1", "k2").agg(F.count("*").alias("m_own"))
     firsts = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    labelled = labelled.join(shares, "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-    labelled = labelled.select("sh", "rep", "n", "pos", F.greatest(F.lit(0), F.col("n") - F.greatest(F.lit(0), firsts - F.col("m_own"))).alias("room"), F.coalesce("component", "rep").alias("component"))
-    labelled = labelled.where(100 * F.col("room") >= percent * F.col("n"))
-    mixed = labelled.groupBy("sh").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")).where("low <> high").select("sh", "m")
-    labelled = cut(labelled.join(mixed, "sh"))
+    room = F.greatest(F.lit(0), F.col("n") - F.greatest(F.lit(0), firsts - F.col("m_own")))
+    known = classes.join(shares, ["k1", "k2"]).withColumn("room", room).where(100 * F.col("room") >= percent * F.col("n"))
+    known = cut(known.join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).drop("m_own"))
+    within = Window.partitionBy("sh")
+    labelled = shared.select("sh", "k1", "k2", "pos").join(known.select("k1", "k2", "rep", "component"), ["k1", "k2"]).drop("k1", "k2")
+    labelled = labelled.withColumns({"low": F.min("component").over(within), "high": F.max("component").over(within), "m": F.count("*").over(within)})
+    labelled = labelled.where("low <> high").drop("low", "high")
+    labelled = cut(labelled.join(known.drop("k1", "k2", "component"), "rep"))
     blocks = F.ceil(F.col("m") / _BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     # Row blocks of a long column meet pairwise: block i as the left side meets every block j, each in a task of its own.
-    ones = labelled.select("sh", own.alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("room").alias("ra"), F.col("component").alias("ca"))
-    twos = labelled.select("sh", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("i"), own.alias("j"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("room").alias("rb"), F.col("component").alias("cb"))
-    fits = F.least(F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")), "ra", "rb")
+    ones = labelled.select("sh", own.alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("room").alias("ra"), F.col("component").alias("ca"), *(F.col(b).alias(f"a_{b}") for b in BITS))
+    twos = labelled.select("sh", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("i"), own.alias("j"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("room").alias("rb"), F.col("component").alias("cb"), *(F.col(b).alias(f"b_{b}") for b in BITS))
+    fits = F.least(F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")), "ra", "rb", _most_common(F.col("na"), F.col("nb")))
     product = ones.join(twos, ["sh", "i", "j"]).where((F.col("ca") != F.col("cb")) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))).where(_enough(F.col("na"), F.col("nb"), fits, percent))
     overlap = product.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("overlap"))
     rest = lambda n: n - (n - F.ceil(n * percent / 100) + 1)
@@ -233,18 +253,12 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     seen = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     more = cut(overlap.where(_enough(F.col("na"), F.col("nb"), most, percent)).select("a", "b").join(seen, ["a", "b"], "left_anti"))
     if not more.isEmpty():
-        links = cut(links.unionByName(_verified(more, _texts_of(rows, more), size, percent)))
+        links = cut(links.unionByName(_verified(more, rows, size, percent)))
         joined = components(links)
     named = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
     return keyed.join(named, ["k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _texts_of(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The texts of the documents in the pairs, one row each."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    return rows.join(ids, "doc_id", "left_semi")
-
-
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90) -> DataFrame:
     """The rows, with all their columns, whose id is the smallest of its component, one for each id and text; and all without an id."""
     names = jaccard_classes(docs, doc_id, text, size, percent)

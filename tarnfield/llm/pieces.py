@@ -21,17 +21,23 @@ import math
 import re
 import struct
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnfield.llm.textkit import small_batches
+
 _SPACE_SIGN = "▁"
 #: From fine to coarse: spaces with a run of letters, of digits or of other signs behind them; or with any run.
 _SEGMENTS = (re.compile(r" *[^\W\d_²³¹¼½¾]+| *\d+| *(?:[^\w \n▁]|[_²³¹¼½¾])+| +|\n|▁|\w"), re.compile(" *[^ \n▁]+| +|\n|▁"))
 #: Segments remembered in each of two generations, and their greatest length.
-_MEMO, _MEMO_LENGTH = 250_000, 48
+_MEMO, _MEMO_LENGTH = 330_000, 40
+_IDS, _COST, _LOSS = itemgetter(0), itemgetter(1), itemgetter(2)
+#: Pieces decoded at once.
+_DECODE_BLOCK = 200_000
 #: Micro-nats of a byte piece.
 _BYTE_COST = 14_000_000
 
@@ -70,10 +76,13 @@ class PieceModel:
                 value = int(piece[3:5], 16)
                 self.bytes_of[i], self.byte_ids[value] = bytes([value]), i
             elif self.usable[i]:
-                node = tree
-                for c in piece:
-                    node = node.setdefault(c, {})
-                node[""] = (i, round(1e6 * (math.log(rank + 2.7) + scale)))
+                node, cost = tree, round(1e6 * (math.log(rank + 2.7) + scale))
+                for at, c in enumerate(piece, 1):
+                    found = node.get(c)
+                    if found is None or at == len(piece):
+                        # A node is its children, and the cost and number of the piece that ends there, if one does.
+                        found = node[c] = (found[0] if found else {}, cost if at == len(piece) else 0, i if at == len(piece) else -1)
+                    node = found[0]
                 self.bytes_of[i] = piece.replace(_SPACE_SIGN, " ").encode()
                 rank += 1
         whole = [p.replace(_SPACE_SIGN, " ") for i, p in enumerate(self.pieces) if self.usable[i] and not self.is_byte[i]]
@@ -81,48 +90,87 @@ class PieceModel:
         self._memo: dict[str, tuple[bytes, int, float]] = {}
         self._older: dict[str, tuple[bytes, int, float]] = {}
         self._searched: dict[tuple[str, int], list] = {}
+        self.longest = max(map(len, whole), default=1)
+        self._sizes = np.array([len(b) for b in self.bytes_of], np.int64)
+        self._places = np.cumsum(self._sizes) - self._sizes
+        self._flat = np.frombuffer(b"".join(self.bytes_of), np.uint8)
         self._tree = tree
 
-    def _forward(self, segment: str) -> tuple[list, list, list[list]]:
-        """For each place the least and second least cost from the start, and the pieces that end there."""
-        tree = self.tree
+    def _spelt(self, c: str) -> tuple[int, ...]:
+        return tuple(self.byte_ids[b] for b in (" " if c == _SPACE_SIGN else c).encode())
+
+    def _costs(self, segment: str) -> tuple[list, list, list]:
+        """For each place the least and second least cost from the start, and the last piece of the least."""
+        root, longest = self.tree, self.longest
         text = segment.replace(" ", _SPACE_SIGN)
         size = len(text)
-        least, second = [math.inf] * (size + 1), [math.inf] * (size + 1)
+        least, second, last = [math.inf] * (size + 1), [math.inf] * (size + 1), [None] * (size + 1)
         least[0] = 0
-        into: list[list] = [[] for _ in range(size + 1)]
-        for i in range(size):
-            one, two = least[i], second[i]
-            node, single = tree, False
-            edges = []
-            for j in range(i, size):
-                node = node.get(text[j])
-                if node is None:
-                    break
-                piece = node.get("")
-                if piece is not None:
-                    edges.append((j + 1, piece[1], piece[0]))
-                    single = single or j == i
-            if not single:
-                ids = tuple(self.byte_ids[b] for b in (" " if text[i] == _SPACE_SIGN else text[i]).encode())
-                edges.append((i + 1, _BYTE_COST * len(ids), ids))
-            for j, cost, piece in edges:
-                into[j].append((i, cost, piece))
+        for i, start in enumerate(text):
+            one, two, j = least[i], second[i], i + 1
+            found = root.get(start)
+            if found is None or found[2] < 0:
+                ids = self._spelt(start)
+                total, gap = one + _BYTE_COST * len(ids), two + _BYTE_COST * len(ids)
+                if total < least[j]:
+                    second[j] = least[j] if least[j] < gap else gap
+                    least[j], last[j] = total, (i, ids)
+                elif total < second[j]:
+                    second[j] = total
+                if found is None:
+                    continue
+                rest = text[j : i + longest]
+                node = found[0]
+            else:
+                rest = text[j : i + longest]
+                node, cost, piece = found
                 total = one + cost
                 if total < least[j]:
-                    least[j], second[j] = total, min(least[j], two + cost)
+                    second[j] = least[j] if least[j] < two + cost else two + cost
+                    least[j], last[j] = total, (i, piece)
                 elif total < second[j]:
                     second[j] = total
-                elif two + cost < second[j]:
-                    second[j] = two + cost
-        return least, second, into
+            for c in rest:
+                found = node.get(c)
+                if found is None:
+                    break
+                j += 1
+                node, cost, piece = found
+                if piece >= 0:
+                    total = one + cost
+                    if total < least[j]:
+                        second[j] = least[j] if least[j] < two + cost else two + cost
+                        least[j], last[j] = total, (i, piece)
+                    elif total < second[j]:
+                        second[j] = total
+        return least, second, last
+
+    def _edges_into(self, segment: str) -> list[list]:
+        """For each place the pieces that end there, as (start, cost, piece)."""
+        root = self.tree
+        text = segment.replace(" ", _SPACE_SIGN)
+        into: list[list] = [[] for _ in range(len(text) + 1)]
+        for i in range(len(text)):
+            node, single = root, False
+            for j in range(i, len(text)):
+                found = node.get(text[j])
+                if found is None:
+                    break
+                node, cost, piece = found
+                if piece >= 0:
+                    into[j + 1].append((i, cost, piece))
+                    single = single or j == i
+            if not single:
+                ids = self._spelt(text[i])
+                into[i + 1].append((i, _BYTE_COST * len(ids), ids))
+        return into
 
     def segment_best(self, segment: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
         """The ``n`` least (cost, pieces) of one segment in order; equal costs: the longer last piece first."""
         if segment == _SPACE_SIGN:
             ids = self._literal()
             return [(_BYTE_COST * len(ids), ids)]
-        least, _, into = self._forward(segment)
+        least, into = self._costs(segment)[0], self._edges_into(segment)
         out: list[tuple[int, tuple[int, ...]]] = []
         size = len(segment)
         heap: list[tuple] = [(least[size], size, 0, 0, None)]
@@ -159,14 +207,11 @@ class PieceModel:
             ids = self._literal()
             entry = np.array(ids, np.int32).tobytes(), _BYTE_COST * len(ids), math.inf
         else:
-            least, second, into = self._forward(segment)
+            least, second, last = self._costs(segment)
             place, back = len(segment), []
             while place:
-                for start, cost, piece in into[place]:
-                    if least[start] + cost == least[place]:
-                        break
+                place, piece = last[place]
                 back.append(piece)
-                place = start
             ids = [x for piece in reversed(back) for x in (piece if isinstance(piece, tuple) else (piece,))]
             entry = struct.pack(f"{len(ids)}i", *ids), least[-1], second[-1] - least[-1]
         if len(segment) <= _MEMO_LENGTH:
@@ -179,14 +224,16 @@ class PieceModel:
     def encode(self, text: str | None, n: int = 3) -> tuple[np.ndarray, list[tuple[int, list[tuple[int, int, tuple[int, ...]]]]]]:
         """The best pieces, and for each of the ``n`` best the cost and what it changes: (first, last, pieces instead)."""
         segments = self.segments(text or "")
-        get, first = self._memo.get if segments else None, self._first
-        entries = [get(s) or first(s) for s in segments]
-        ids = np.frombuffer(b"".join([e[0] for e in entries]), np.int32)
-        total = sum([e[1] for e in entries])
+        entries = list(map(self._memo.get, segments)) if segments else []
+        if None in entries:
+            first = self._first
+            entries = [e or first(s) for e, s in zip(entries, segments, strict=True)]
+        ids = np.frombuffer(b"".join(map(_IDS, entries)), np.int32)
+        total = sum(map(_COST, entries))
         if n <= 1 or not entries:
             return ids, [(total, [])]
         choices: list[tuple[int, list[tuple[int, int]]]] = [(total, [])]
-        losses = np.array([e[2] for e in entries])
+        losses = np.fromiter(map(_LOSS, entries), np.float64, len(entries))
         open_places = np.argsort(losses, kind="stable")[: n - 1] if len(losses) < 4 * n else np.sort(np.argpartition(losses, n - 1)[: n - 1])
         options = {}
         for i in open_places.tolist():
@@ -195,7 +242,7 @@ class PieceModel:
             options[i] = best = self._options(segments[i], n)
             merged = [(cost + option[0] - best[0][0], change + [(i, k)] if k else change) for cost, change in choices for k, option in enumerate(best)]
             choices = sorted(merged, key=lambda x: (x[0], sorted(x[1])))[:n]
-        at = {i: sum(len(e[0]) for e in entries[:i]) // 4 for i in options}
+        at = {i: sum(map(len, map(_IDS, entries[:i]))) // 4 for i in options}
         return ids, [(cost, [(at[i], at[i] + len(entries[i][0]) // 4, options[i][k][1]) for i, k in sorted(change)]) for cost, change in choices]
 
     def _options(self, segment: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
@@ -208,11 +255,20 @@ class PieceModel:
                 self._searched[segment, n] = found
         return found
 
+    def decoded_bytes(self, ids: np.ndarray) -> bytes:
+        """The bytes of the pieces without the space put before the text; gathered from one table, block by block."""
+        self.tree  # noqa: B018
+        out = []
+        for first in range(0, len(ids), _DECODE_BLOCK):
+            own = ids[first : first + _DECODE_BLOCK]
+            sizes = self._sizes[own]
+            before = np.cumsum(sizes) - sizes
+            out.append(self._flat[np.arange(int(sizes.sum())) + np.repeat(self._places[own] - before, sizes)].tobytes())
+        return b"".join(out).removeprefix(b" ")
+
     def decode(self, ids: list[int]) -> str:
         """The text of the pieces; bytes that are no UTF-8 become U+FFFD."""
-        self.tree  # noqa: B018
-        raw = b"".join(map(self.bytes_of.__getitem__, ids))
-        return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
+        return self.decoded_bytes(np.asarray(ids, np.int64)).decode("utf-8", "replace")
 
 
 def apply_changes(ids: list[int], changes: list[tuple[int, int, tuple[int, ...]]]) -> list[int]:
@@ -235,14 +291,14 @@ def encode_texts(docs: DataFrame, model: PieceModel, keep: tuple[str, ...] = ("d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = frozen.value
-        for batch in batches:
+        for batch in small_batches(batches):
             ids, best, sizes, good = [], [], [0], []
             for value in batch.column(len(keep)).to_pylist():
                 own, choices = pieces.encode(value, n)
                 ids.append(own)
                 sizes.append(sizes[-1] + len(own))
                 best.append([{"score": -cost / 1e6, "n_pieces": len(own) + sum(len(x) - (b - a) for a, b, x in changes), "changes": [{"first": a, "last": b, "ids": list(x)} for a, b, x in changes]} for cost, changes in choices])
-                good.append(pieces.decode(own.tolist()) == (value or ""))
+                good.append(pieces.decoded_bytes(own) == (value or "").encode())
             flat = np.concatenate([*ids, np.zeros(0, np.int32)])
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[: len(keep)], pa.array(np.diff(sizes), pa.int32()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat, pa.int32())), pa.array(best, _CHOICES), pa.array(good, pa.bool_())],
@@ -259,7 +315,7 @@ def decode_ids(rows: DataFrame, model: PieceModel, ids: str = "ids", text: str =
     at = rows.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             texts = [None if x is None else frozen.value.decode(x) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, text])
 
