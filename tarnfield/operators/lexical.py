@@ -107,7 +107,7 @@ def validated_pages(pages: DataFrame) -> DataFrame:
         .when(~safe_text(F.col("title"), 500), "title")
         .when(~safe_text(F.col("body"), 1 << 20, lines=True), "body")
         .when((F.size(refs) < 1) | (F.size(refs) > 100) | (F.size(F.array_distinct(refs)) != F.size(refs)), "source-refs")
-        .when(~F.forall(refs, safe_reference), "source-ref")
+        .when(~F.forall(refs, lambda r: safe_reference(r)), "source-ref")
     )
     return pages.withColumns({"source_refs": F.sort_array(refs), "problem": problem})
 
