@@ -1,23 +1,26 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words, their openings of four and six letters, and openings shared by several words of a text. The terms kept are those whose chi-square statistic against
-the label, on a bounded labelled sample, is large and speaks for label 1; their document frequencies are then counted
-over all documents. Examples lie in blocks, sorted by their heaviest terms, and each term keeps its largest weight in each
+Terms are words, their openings of four and six letters, and openings shared by several words of a text. All terms of the
+labelled sample count, whatever label they speak for; chi-square against the label only raises a term's weight by the
+factor 1 + chi2 / 5. Document frequencies are counted over all documents. Examples lie in blocks, sorted by their heaviest terms, and each term keeps its largest weight in each
 block. A query sums those maxima to a bound for each block, visits blocks in falling order of it and ends where no block
 left can reach the k-th best cosine, so the neighbours are exactly those of a full comparison. Their votes, weighted by
 similarity and by how much of its class an example stands for, are turned into a probability by an isotonic curve
 learned on the examples themselves, each left out of its own vote.
 
-Null and empty texts, and texts without a kept term, get the share of label 1 among such examples. With no labelled row the
-score is 0. Rows are independent, so repeated rows give repeated results.
+Null and empty texts, and texts that share no term with an example, get the share of label 1 among examples without a term,
+0 if there are none. With no labelled row the score is 0. Rows are independent, so repeated rows give repeated results.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +33,12 @@ _WORD = re.compile(r"[^\W\d_]+")
 _MEMO = 100_000
 #: Blocks that are read before the bound of the others is looked at.
 _AHEAD = 4
-Vector = tuple[tuple[int, ...], tuple[float, ...]]
+#: A term that one row in so many has is dense.
+_DENSE = 24
+_MOST_DENSE = 64
+#: Buckets for the document frequency of terms that no example has.
+OTHERS = 1 << 20
+Vector = tuple[Sequence[int], Sequence[float]]
 
 
 def openings(word: str) -> tuple[str, ...]:
@@ -49,79 +57,140 @@ def text_terms(text: str | None) -> Counter:
 
 
 class Terms:
-    """The kept terms and their idf, and text to vector of unit length."""
+    """The terms of the examples, their idf and factor, and text to vector of unit length.
 
-    def __init__(self, terms: list[str], documents: int, frequency: dict[str, int]):
+    A term of no example meets none in a product, but it counts in the length of a text's vector: with factor 1, and with
+    the documents of its crc32 bucket (``other``, counted over all documents) as its frequency.
+    """
+
+    def __init__(self, terms: list[str], documents: int, frequency: dict[str, int], factor: list[float] | None = None, other: np.ndarray | None = None):
         self.number = {t: i for i, t in enumerate(terms)}
-        self.idf = [math.log((1 + documents) / (1 + frequency.get(t, 0))) + 1 for t in terms]
-        self._opened = {t[: t.index("*") + 1] for t in terms if "*" in t}
+        factors = factor if factor is not None else [1.0] * len(terms)
+        self.own = np.array([(math.log((1 + documents) / (1 + frequency.get(t, 0))) + 1) * f for t, f in zip(terms, factors, strict=True)], np.float64)
+        self.square = None if other is None else (np.log((1 + documents) / (1 + other)) + 1) ** 2
         self._memo: dict[str, tuple[int, tuple[str, ...]]] = {}
+        self._places: dict[str, tuple[int, int, int]] = {}
 
     def counts(self, text: str | None) -> Counter:
-        """What ``text_terms`` gives for the kept terms, by their numbers."""
-        out: Counter = Counter()
+        """What ``text_terms`` gives for the terms of the examples, by their numbers."""
+        return Counter(self.numbered(text, False))
+
+    def numbered(self, text: str | None, others: bool = True) -> dict[int, int]:
+        """Term numbers to times; with ``others`` a term of no example has the number -1 - bucket, its times added up."""
+        out: dict[int, int] = {}
         if not text:
             return out
-        memo, number = self._memo, self.number
-        opened: Counter = Counter()
-        for word, n in Counter(_WORD.findall(text.lower())).items():
-            own = memo.get(word)
-            if own is None:
-                if len(memo) > _MEMO:
-                    memo.clear()
-                own = memo[word] = number.get(word, -1), tuple(o for o in openings(word) if o in self._opened)
-            if own[0] >= 0:
-                out[own[0]] = n
-            for o in own[1]:
-                opened[o] += 1
-        for opening, n in opened.items():
-            for term, times in ((opening, n), *((f"{opening}{level}", 1) for level in range(2, min(n, 3) + 1))):
-                if term in number:
-                    out[number[term]] = times
-        return out
+        memo, places = self._memo, self._places
+        if len(memo) > _MEMO:
+            memo.clear()
+            places.clear()
+        found = Counter(_WORD.findall(text.lower()))
+        known = [memo.get(word) or self._remember(word) for word in found]
+        for (at, _), n in zip(known, found.values(), strict=True):
+            out[at] = out[at] + n if at < 0 and at in out else n
+        for opening, n in Counter(chain.from_iterable(o for _, o in known)).items():
+            at = places[opening]
+            out[at[0]] = out[at[0]] + n if at[0] < 0 and at[0] in out else n
+            for more in at[1:n]:
+                out[more] = out[more] + 1 if more < 0 and more in out else 1
+        return out if others else {at: n for at, n in out.items() if at >= 0}
+
+    def _remember(self, word: str) -> tuple[int, tuple[str, ...]]:
+        own = self._memo[word] = self._place(word), openings(word)
+        for o in own[1]:
+            if o not in self._places:
+                self._places[o] = self._place(o), self._place(o + "2"), self._place(o + "3")
+        return own
+
+    def _place(self, term: str) -> int:
+        at = self.number.get(term)
+        return -1 - zlib.crc32(term.encode("utf-8", "surrogatepass")) % OTHERS if at is None else at
 
     def vector(self, text: str | None) -> Vector:
-        counts = sorted(self.counts(text).items())
-        weights = [(1 + math.log(n)) * self.idf[t] for t, n in counts]
-        norm = math.sqrt(sum(w * w for w in weights))
-        return tuple(t for t, _ in counts), tuple(w / norm for w in weights)
+        counts = self.numbered(text, self.square is not None)
+        if not counts:
+            return (), ()
+        at = np.fromiter(counts.keys(), np.int64, len(counts))
+        times = 1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))
+        order = np.argsort(at)
+        at, times = at[order], times[order]
+        first = int(np.searchsorted(at, 0))
+        weights = times[first:] * self.own[at[first:]]
+        rest = float((times[:first] ** 2 * self.square[-1 - at[:first]]).sum()) if first else 0.0
+        return at[first:], weights / math.sqrt(float((weights * weights).sum()) + rest)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_memo": {}, "_places": {}}
 
 
 class BlockMaxIndex:
-    """Postings of unit vectors in blocks of rows, with each term's largest weight in each block."""
+    """Postings of unit vectors in blocks of rows, with each term's largest weight in each block.
+
+    The terms that at least one row in ``_DENSE`` has, ``_MOST_DENSE`` of them at most, have an array of all rows in place of postings.
+    """
 
     def __init__(self, vectors: list[Vector], terms: int, block: int = 64):
-        heavy = [tuple(t for _, t in sorted(zip(v[1], v[0], strict=True), reverse=True)) for v in vectors]
-        self.rows = np.array(sorted(range(len(vectors)), key=lambda i: (heavy[i], i)), np.int64)
+        rows = np.repeat(np.arange(len(vectors)), [len(v[0]) for v in vectors])
+        term = np.concatenate([np.asarray(v[0], np.int64) for v in vectors] or [np.zeros(0, np.int64)])
+        weight = np.concatenate([np.asarray(v[1], np.float64) for v in vectors] or [np.zeros(0)])
+        # Rows with the same frequent terms (texts of one language) come together, so that blocks differ in their bounds.
+        often = np.bincount(term, minlength=terms)
+        common = [tuple(sorted((-int(often[t]), int(t)) for t in v[0])[:3]) for v in vectors]
+        self.rows = np.array(sorted(range(len(vectors)), key=lambda i: (common[i], i)), np.int64)
         self.block, self.blocks = block, -(-len(vectors) // block)
-        entries: list[list[tuple[int, float]]] = [[] for _ in range(terms)]
-        for place, i in enumerate(self.rows.tolist()):
-            for t, w in zip(*vectors[i], strict=True):
-                entries[t].append((place, w))
-        self.postings = [(np.array([p for p, _ in own], np.int64), np.array([w for _, w in own], np.float64)) for own in entries]
-        self.maxima: list[tuple[np.ndarray, np.ndarray]] = []
-        for places, weights in self.postings:
-            found, at = np.unique(places // block, return_index=True)
-            self.maxima.append((found, np.maximum.reduceat(weights, at) if len(at) else weights))
+        place = np.empty(len(vectors), np.int64)
+        place[self.rows] = np.arange(len(vectors))
+        place = place[rows]
+        often = np.where(often * _DENSE >= max(len(vectors), _DENSE * block), often, 0)
+        many = np.sort(np.argsort(-often, kind="stable")[: min(_MOST_DENSE, np.count_nonzero(often))])
+        self.dense_row = np.full(terms, -1, np.int64)
+        self.dense_row[many] = np.arange(len(many))
+        heavy = self.dense_row[term] >= 0
+        self.dense = np.zeros((self.blocks * block, len(many)))
+        self.dense[place[heavy], self.dense_row[term[heavy]]] = weight[heavy]
+        self.dense_most = self.dense.reshape(self.blocks, block, len(many)).max(axis=1)
+        term, place, weight = term[~heavy], place[~heavy], weight[~heavy]
+        order = np.lexsort((place, term))
+        term, self.places, self.weights = term[order], place[order], weight[order]
+        # A group is the postings of one term in one block.
+        at = np.flatnonzero(np.diff(term * self.blocks + self.places // block, prepend=-1))
+        self.most = np.maximum.reduceat(self.weights, at) if len(at) else self.weights
+        self.where = self.places[at] // block
+        self.first = np.append(at, len(term))
+        self.first_group = np.searchsorted(term[at], np.arange(terms + 1))
+
+    @staticmethod
+    def _entries(first: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the entries of the keys lie, one key after the other, and the number of entries of each."""
+        begin = first[keys]
+        sizes = first[keys + 1] - begin
+        ends = np.cumsum(sizes)
+        return np.repeat(begin - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0), sizes
 
     def nearest(self, query: Vector, k: int, without: int = -1) -> list[tuple[float, int]]:
         """(cosine, row) of the k nearest with a cosine above zero, nearest first, ties to the smaller row."""
-        bound = np.zeros(self.blocks)
-        for t, w in zip(*query, strict=True):
-            where, most = self.maxima[t]
-            bound[where] += w * most
+        terms, own = np.asarray(query[0], np.int64), np.asarray(query[1], np.float64)
+        at = self.dense_row[terms]
+        rare = at < 0
+        dense = np.zeros(self.dense.shape[1])
+        dense[at[~rare]] = own[~rare]
+        groups, sizes = self._entries(self.first_group, terms[rare])
+        own, where = np.repeat(own[rare], sizes), self.where[groups]
+        dense_bound = self.dense_most @ dense
+        bound = np.bincount(where, own * self.most[groups], self.blocks) + dense_bound
         # The few best blocks first; the k-th best cosine among them decides which others can still matter.
         open_blocks = bound > 0
         ahead = open_blocks.copy()
         if self.blocks > _AHEAD:
             ahead &= bound >= np.partition(bound, -_AHEAD)[-_AHEAD]
-        places = np.concatenate([self.postings[t][0] for t in query[0]])
-        weights = np.concatenate([w * self.postings[t][1] for t, w in zip(*query, strict=True)])
-        scores, rows = self._scored(places, weights, ahead, without)
+        inside = ahead[where]
+        scores, rows = self._scored(np.repeat(np.where(ahead, 0.0, -np.inf), self.block), dense, groups[inside], own[inside], without)
         least = np.partition(scores, -k)[-k] if len(scores) >= k else 0.0
         rest = open_blocks & ~ahead & (bound >= least - 1e-9)
         if rest.any():
-            more, others = self._scored(places, weights, rest, without)
+            inside = rest[where]
+            reach = np.repeat(np.where(rest, dense_bound - least + 1e-9, -np.inf), self.block)
+            more, others = self._scored(reach, dense, groups[inside], own[inside], without)
             scores, rows = np.concatenate((scores, more)), np.concatenate((rows, others))
         if len(scores) > k:
             near = scores >= np.partition(scores, -k)[-k]
@@ -129,14 +198,16 @@ class BlockMaxIndex:
         order = np.lexsort((rows, -scores))[:k]
         return list(zip(scores[order].tolist(), rows[order].tolist(), strict=True))
 
-    def _scored(self, places: np.ndarray, weights: np.ndarray, blocks: np.ndarray, without: int) -> tuple[np.ndarray, np.ndarray]:
-        """Cosines above zero, to twelve decimals, and rows of all entries in the blocks."""
-        inside = blocks[places // self.block]
-        totals = np.bincount(places[inside], weights[inside])
-        hit = np.flatnonzero(totals > 0)
+    def _scored(self, reach: np.ndarray, dense: np.ndarray, groups: np.ndarray, own: np.ndarray, without: int) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines above zero, to twelve decimals, and rows, of the places whose postings in the groups and ``reach`` are not below zero in sum."""
+        at, sizes = self._entries(self.first, groups)
+        totals = np.bincount(self.places[at], np.repeat(own, sizes) * self.weights[at], len(self.dense))
+        hit = np.flatnonzero(totals + reach >= 0)
+        totals = totals[hit] + self.dense[hit] @ dense
+        hit, totals = hit[totals > 0], totals[totals > 0]
         rows = self.rows[hit]
         keep = rows != without
-        return np.round(totals[hit][keep], 12), rows[keep]
+        return np.round(totals[keep], 12), rows[keep]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,11 +231,11 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
 class ToxicityModel:
     def __init__(self, terms: Terms, examples: list[tuple[int, int, Vector]], class_weight: tuple[float, float], k: int):
         """``examples``: id, label and vector. ``class_weight``: labelled rows that an example of either class stands for."""
-        bare = [(label, class_weight[label]) for _, label, v in examples if not v[0]]
+        bare = [(label, class_weight[label]) for _, label, v in examples if not len(v[0])]
         total = sum(w for _, w in bare)
         self.bare = sum(label * w for label, w in bare) / total if total else 0.0
         self.terms, self.k = terms, k
-        kept = sorted((i, label, v) for i, label, v in examples if v[0])
+        kept = sorted(((i, label, v) for i, label, v in examples if len(v[0])), key=lambda x: x[:2])
         self.ids, self.labels = [i for i, _, _ in kept], [label for _, label, _ in kept]
         self.weights = [class_weight[label] for label in self.labels]
         everyone = sum(class_weight[label] for _, label, _ in examples)
@@ -174,7 +245,7 @@ class ToxicityModel:
         if kept:
             votes = np.array([self._vote(self.index.nearest(v, k, i)) for i, (_, _, v) in enumerate(kept)])
             self.curve = isotonic(votes, np.array(self.labels, float), np.array(self.weights))
-        self._memo: dict[Vector, tuple[float, list]] = {}
+        self._memo: dict[bytes, tuple[float, list]] = {}
 
     def _vote(self, near: list[tuple[float, int]]) -> float:
         yes = sum(s * s * self.weights[i] for s, i in near if self.labels[i])
@@ -184,62 +255,61 @@ class ToxicityModel:
 
     def judge(self, text: str | None) -> tuple[float, list[tuple[int, float, int]]]:
         """The score, and the nearest three examples as (id, cosine, label)."""
-        vector = self.terms.vector(text)
-        if not vector[0]:
-            return self.bare, []
-        known = self._memo.get(vector)
+        key = hashlib.blake2b((text or "").encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        known = self._memo.get(key)
         if known is None:
             if len(self._memo) > _MEMO // 10:
                 self._memo.clear()
-            near = self.index.nearest(vector, self.k)
+            vector = self.terms.vector(text)
+            near = self.index.nearest(vector, self.k) if len(vector[0]) else []
             score = float(np.interp(self._vote(near), *self.curve)) if near else self.bare
-            known = self._memo[vector] = score, [(self.ids[i], s, self.labels[i]) for s, i in near[:3]]
+            known = self._memo[key] = score, [(self.ids[i], s, self.labels[i]) for i, s in ((i, s) for s, i in near[:3])]
         return known
 
 
-def select_terms(rows: list[tuple[int, set[str]]], most: int, least_chi2: float) -> list[str]:
-    """Terms that speak for label 1, by chi-square with one degree of freedom, at least in three examples."""
-    ones = sum(label for label, _ in rows)
-    zeros = len(rows) - ones
-    with_term = (Counter(), Counter())
+def term_factors(rows: Iterable[tuple[int, Iterable[str]]]) -> tuple[list[str], list[float]]:
+    """All terms of the rows, and for each 1 + chi2 / 5, by chi-square against the label with one degree of freedom."""
+    sizes, with_term = [0, 0], (Counter(), Counter())
     for label, terms in rows:
-        with_term[label].update(terms)
-    found = []
-    for term, a in with_term[1].items():
-        b = with_term[0].get(term, 0)
-        if a + b < 3 or a * zeros <= b * ones:
-            continue
+        sizes[label] += 1
+        with_term[label].update(set(terms))
+    zeros, ones = sizes
+    terms = sorted(with_term[0].keys() | with_term[1].keys())
+    factors = []
+    for term in terms:
+        a, b = with_term[1].get(term, 0), with_term[0].get(term, 0)
         c, d = ones - a, zeros - b
-        chi2 = len(rows) * (a * d - b * c) ** 2 / max(1, (a + b) * (c + d) * (a + c) * (b + d))
-        if chi2 >= least_chi2:
-            found.append((-chi2, term))
-    return [t for _, t in sorted(found)[:most]]
+        factors.append(1 + (zeros + ones) * (a * d - b * c) ** 2 / max(1, (a + b) * (c + d) * (a + c) * (b + d)) / 5)
+    return terms, factors
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample_rows: int = 4000, most_terms: int = 1500, least_chi2: float = 20.0, k: int = 15) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample_rows: int = 4000, k: int = 15) -> ToxicityModel:
     """Learns from at most ``sample_rows`` labelled rows, half of each class, by hash of the id; idf counts every document."""
     known = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_label")).where("_id is not null and _label in (0, 1)").dropDuplicates(["_id"])
     sizes = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
     sample = bounded_sample(known.where("_label = 0"), "_id", sample_rows // 2).unionByName(bounded_sample(known.where("_label = 1"), "_id", sample_rows // 2))
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(sample), "_id").dropDuplicates(["_id"])
     got = sorted((r["_id"], r["_label"], r["_text"] or "") for r in rows.collect())
-    words = [(label, set(text_terms(text))) for _, label, text in got]
-    terms = select_terms(words, most_terms, least_chi2)
-    del words
-    plain = Terms(terms, 0, {})
-    frozen = docs.sparkSession.sparkContext.broadcast(plain)
+    terms, factors = term_factors((label, text_terms(text)) for _, label, text in got)
+    frozen = docs.sparkSession.sparkContext.broadcast(Terms(terms, 0, {}))
+    size = len(terms) + OTHERS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen = 0, Counter()
+        total, seen = 0, np.zeros(size, np.int64)
         for batch in small_batches(batches):
             total += batch.num_rows
             for value in batch.column(0).to_pylist():
-                seen.update(frozen.value.counts(value).keys())
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *seen], pa.int32()), pa.array([total, *seen.values()], pa.int64())], ["term", "n"])
-
-    sums = docs.select(F.col(text)).mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    frequency = {r["term"]: r["n"] for r in sums}
-    final = Terms(terms, frequency.get(-1, 0), {t: frequency.get(i, 0) for t, i in plain.number.items()})
+                found = frozen.value.numbered(value)
+                # Negative numbers, those of buckets, count from the end.
+                seen[np.fromiter(found.keys(), np.int64, len(found))] += 1
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int32()), pa.array(np.append(seen[some], total), pa.int64())], ["term", "n"])
+
+    sums = docs.select(F.col(text)).mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    # One more place, the last, has the number of documents, under -1.
+    frequency = np.zeros(size + 1, np.int64)
+    frequency[sums.column("term").to_numpy()] = sums.column("n").to_numpy()
+    final = Terms(terms, int(frequency[-1]), dict(zip(terms, frequency[: len(terms)].tolist(), strict=True)), factors, frequency[len(terms) : -1][::-1])
     ones = sum(label for _, label, _ in got)
     weight = (sizes.get(0, 0) / max(1, len(got) - ones), sizes.get(1, 0) / max(1, ones))
     return ToxicityModel(final, [(i, label, final.vector(text)) for i, label, text in got], weight, k)

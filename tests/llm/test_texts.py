@@ -130,6 +130,23 @@ def test_toxicity(spark):
     assert all(r.predicted == 0 for r in toxicity.toxicity_query(docs, labels.limit(0)).collect())
 
 
+def test_toxicity_counts_every_term(spark):
+    """Rare insults, each in two of 200 examples, and clean texts find their like; no term is cut away."""
+    rows = [(i, f"alpha beta insult{chr(97 + i // 8 % 26)}x{chr(97 + i // 208)} gamma" if i % 4 == 1 else f"{('kind', 'calm')[i % 2]} alpha delta", None, None) for i in range(400)]
+    rows += [(1000, "quiet insultcxa gamma neverseen", None, None), (1001, "kind delta", None, None)]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 1)) for i in range(400)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit_toxicity(docs, labels)
+    assert set(model.terms.number) == {t for r in rows[:400] for t in toxicity.text_terms(r[1])}
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs, model).collect()}
+    assert got[1000].score >= 0.3 > got[1001].score
+    assert len(got[1000].evidence) == len(got[1001].evidence) == 3
+    assert [e.label for e in got[1001].evidence] == [0, 0, 0]
+    assert abs(got[0].evidence[0].similarity - 1) < 1e-9
+    # A term of no example lengthens the text's vector and so lowers its cosines.
+    assert model.judge("kind delta neverseen")[1][0][1] < model.judge("kind delta")[1][0][1]
+
+
 BASE = {
     "assign": r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
     "access": r"(AKIA[A-Z0-9]+)",
