@@ -4,6 +4,8 @@ The page is cut into blocks at block-level tags. Pass one decides blocks by stop
 and leaves short or middling ones open; pass two gives the open ones the label of their nearest decided neighbours.
 Parts that a page marks as something else (navigation, headers and footers of the page, sidebars, forms, notices,
 adverts, comments of readers) are left out beforehand, and where the page marks an article, that is where blocks come from.
+Inside an article only containers are left out by such a mark, in their class or role; headings, paragraphs and inline
+elements stay, and so does a section whose id merely names its subject.
 
 The stop words are found, not listed: those of the page's language are the most frequent words of all pages with that
 ``lang`` attribute. Null and empty pages give an empty text. Rows are independent, so repeated rows give repeated results.
@@ -25,17 +27,20 @@ from tarnfield.llm.textkit import small_batches
 # Element names of the HTML standard.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-_DROPPED = frozenset("script style noscript template svg math iframe object embed applet canvas audio video select option datalist textarea button head title nav aside footer form dialog menu".split())
+_DROPPED = frozenset("script style noscript template svg iframe object embed applet canvas audio video select option datalist textarea button head title nav aside footer form dialog menu".split())
 _RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "template", "svg")
 _CLOSES_P = _BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "li", "dd", "dt"} | {"p"}
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[A-Za-z][A-Za-z0-9:-]*)(?P<rest>(?:\s+|/)(?:[^>\"']|\"[^\"]*\"|'[^']*')*)?(?:>|\Z)", re.S)
 _RAW_END = {name: re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I) for name in _RAW}
-_NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*["']?true""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
 #: Parts of class, id and role values that mark something other than the article.
 _MARKS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|menu\w*|nav\w*|breadcrumbs?|sidebar\w*|side|aside|footer|masthead|site-?header|page-?header|topbar|toolbar|cookies?|consent|gdpr|notices?|notification\w*|alert\w*|popup|modal|overlay|newsletter|subscri\w*|signup|login|comments?|comment-\w+|commentlist|replies|reply|respond|disqus|discussion|share|sharing|social|related|recommend\w*|pagination|pager|copyright|legal|disclaimer|widget\w*|search|contentinfo|complementary|navigation)(?:$|[\s_-]|\d)", re.I)
+#: Inside an article, the ids that can't be the name of one of its own sections, and the elements whose marks count.
+_FOREIGN_ID = re.compile(r"(?:comments|commentlist|disqus_thread|respond|sidebar|newsletter|breadcrumbs?|pagination|pager|ads?|adsense|advert\w*)$", re.I)
+_CONTAINERS = frozenset("div section ul ol aside".split())
 _WORD = re.compile(r"[^\W\d_]+")
 _BLANK = re.compile(r"\s+")
 
@@ -54,11 +59,16 @@ def _dropped(name: str, rest: str, inside_article: bool) -> bool:
         return True
     if not rest:
         return False
-    if _HIDDEN.search(rest):
+    own: dict[str, str] = {}
+    for key, *values in _ATTRIBUTE.findall(rest):
+        own.setdefault(key.lower(), "".join(values))
+    if "hidden" in own or own.get("aria-hidden", "").lower() == "true" or _UNSEEN.search(own.get("style", "")):
         return True
-    if name in ("body", "html", "article", "main"):
+    if name in ("body", "html", "article", "main") or name in HEADINGS:
         return False
-    return any(_MARKS.search(" ".join(filter(None, m))) for m in _NAMES.findall(rest))
+    if inside_article:
+        return name in _CONTAINERS and (any(_MARKS.search(own.get(k, "")) for k in ("class", "role")) or bool(_FOREIGN_ID.match(own.get("id", ""))))
+    return any(_MARKS.search(own.get(k, "")) for k in ("class", "id", "role", "aria-label"))
 
 
 def page_blocks(page: str) -> list[Block]:

@@ -27,6 +27,21 @@ def test_html_blocks():
     assert html.main_text("<div>" * 3000 + "x", stop) == "x"
 
 
+@pytest.mark.parametrize("value", ["discussion", "Related_work", "legal-status", "social-history", "search-algorithms", "Side_effects", "copyright-law"])
+def test_html_keeps_named_parts_of_an_article(value):
+    page = f'<article><h2 id="{value}">Head</h2><section id="{value}"><p class="{value}">One <span id="{value}">two</span></p></section></article>'
+    assert html.main_text(page, {}) == "Head One two"
+    assert html.main_text(f'<h2 id="{value}">Head</h2>', {}) == "Head"
+
+
+def test_html_hidden_math_and_marks():
+    page = (
+        '<article><p title="the hidden cost" data-style="display:none">Cost</p><p>of <math><mi>x</mi></math></p><p hidden>A</p><p HIDDEN="">B</p>'
+        '<div style="display: none">C</div><p aria-hidden="true">D</p><div class="ad">E</div><section role="navigation">F</section><div id="comments">G</div></article>'
+    )
+    assert html.main_text(page, {}) == "Cost of x"
+
+
 def test_html_rows(spark):
     rows = [(1, "u", None, "x"), (1, "u", None, "x"), (2, None, "<article>Ä b</article>", "y")]
     got = html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
