@@ -68,6 +68,18 @@ def test_language(spark):
     assert langid.language_query(docs.limit(0)).count() == 0
 
 
+def test_language_keeps_small_languages(spark):
+    """One row in 400 of another language: it is sampled, keeps words and has n-grams, however small the bounds are."""
+    rows = [(i, f"common the and of word{chr(97 + i % 26)}", "en", None) for i in range(1596)] + [(2000 + i, "zhluk vznik", "cs", None) for i in range(4)]
+    docs = spark.createDataFrame(rows, DOCS)
+    model = langid.fit_language(docs, docs, sample_rows=40, vocabulary=2)
+    assert model.langs == ["cs", "en"]
+    assert {"zhluk", "vznik"} <= set(model.words)
+    assert "wor" in model.grams[3]
+    test = spark.createDataFrame([(1, "zhluk", None, None), (2, "vznikly zhluky", None, None), (3, "words", None, None)], DOCS)
+    assert {r.doc_id: r.lang_pred for r in langid.predict_language(test, model).collect()} == {1: "cs", 2: "cs", 3: "en"}
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = langid.language_query(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
