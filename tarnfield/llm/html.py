@@ -1,25 +1,33 @@
 """Main-text extraction from HTML by two-pass block rules.
 
-The page is cut into blocks at block-level tags. Pass one decides blocks by stop-word density, length and link density
-and leaves short or middling ones open; pass two gives the open ones the label of their nearest decided neighbours.
-Parts that a page marks as something else (navigation, headers and footers of the page, sidebars, forms, notices,
-adverts, comments of readers) are left out beforehand, and where the page marks an article, that is where blocks come from.
-Inside an article only containers are left out by such a mark, in their class or role; headings, paragraphs and inline
-elements stay, and so does a section whose id merely names its subject.
+The page is cut into blocks at block-level tags. Pass one decides blocks by link density, length and stop-word density:
+linked blocks are out, unless they are long and full of stop words, and so are long blocks without stop words; blocks with
+enough of them are in; short and middling ones stay open. Pass two gives each open block the label of its nearest decided
+neighbour, the better one if two are as near. With no decided block at all everything stays.
+
+What a page marks as something else (navigation, headers and footers of the page, sidebars, forms, notices, adverts,
+comments of readers) is left out beforehand, and where the page marks an article, that is where blocks come from. The
+rules hold inside it too, but as nothing else of an article may be lost, want of stop words leaves its blocks open there
+instead of deciding against them. Inside an article only containers are left out by a mark, in their class or role;
+headings, paragraphs and inline elements stay, and so does a section whose id merely names its subject.
 
 The stop words are found, not listed: those of the page's language are the most frequent words of all pages with that
-``lang`` attribute. Null and empty pages give an empty text. Rows are independent, so repeated rows give repeated results.
+``lang`` attribute; pages without one are a group of their own, and so is a language of few pages. Null and empty pages,
+and pages without text, give an empty text; an empty table gives no rows. Tags with an unbalanced quote end at the next
+``>``. Very long pages are read in time linear in their length. Rows are independent, so repeated rows give repeated
+results, and only the named columns are read.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnfield.llm.textkit import small_batches
@@ -31,7 +39,10 @@ _DROPPED = frozenset("script style noscript template svg iframe object embed app
 _RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "template", "svg")
 _CLOSES_P = _BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "li", "dd", "dt"} | {"p"}
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[A-Za-z][A-Za-z0-9:-]*)(?P<rest>(?:\s+|/)(?:[^>\"']|\"[^\"]*\"|'[^']*')*)?(?:>|\Z)", re.S)
+_TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
+    r"|<(?P<end>/?)(?P<name>[A-Za-z][A-Za-z0-9:-]*+)(?=[\s/>]|\Z)(?:(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|(?P<loose>[^>]*+)(?:>|\Z))", re.S
+)
 _RAW_END = {name: re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I) for name in _RAW}
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -45,6 +56,11 @@ _WORD = re.compile(r"[^\W\d_]+")
 _BLANK = re.compile(r"\s+")
 
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose text needs no stop words.
+_WORDLESS = frozenset("pre table td th tr figcaption dt dd math address".split())
+#: What ``learn_stop_words`` leaves out before it counts words.
+_NO_TEXT = re.compile(r"<(script|style|textarea|title|noscript|iframe|template|svg)\b.*?(?:</\1\b[^>]*+(?:>|\Z)|\Z)|<!--.*?(?:-->|\Z)", re.S | re.I)
+_ANY_TAG = re.compile(r"</?[A-Za-z!?][^>]*+(?:>|\Z)")
 
 
 class Block:
@@ -123,7 +139,7 @@ def page_blocks(page: str) -> list[Block]:
                 while len(stack) > depth:
                     leave()
             continue
-        rest = m["rest"] or ""
+        rest = m["rest"] or m["loose"] or ""
         if name in _RAW:
             end = _RAW_END[name].search(page, at)
             at = end.end() if end else len(page)
@@ -153,42 +169,40 @@ def page_blocks(page: str) -> list[Block]:
     return blocks
 
 
-def classify(blocks: list[Block], stop_words: frozenset[str], short: int = 70, long: int = 200, low: float = 0.15, high: float = 0.30, max_links: float = 0.3) -> list[bool]:
+def classify(blocks: list[Block], stop_words: frozenset[str], short: int = 70, long: int = 200, low: float = 0.08, high: float = 0.20, max_links: float = 0.3) -> list[bool]:
     """True for blocks of the main text. ``short`` and ``long`` are code points; ``low`` and ``high`` shares of stop words."""
     labels: list[bool | None] = []
     for b in blocks:
+        linked = b.link_chars > max_links * len(b.text)
+        if len(b.text) < short:
+            labels.append(False if linked else None)
+            continue
         words = _WORD.findall(b.text.lower())
         density = sum(w in stop_words for w in words) / len(words) if words else 0.0
-        if b.link_chars > max_links * len(b.text):
-            labels.append(False)
-        elif len(b.text) < short:
-            labels.append(None)
-        elif density >= high or len(b.text) > long and density >= low:
+        if linked:
+            labels.append(density >= high and len(b.text) >= long)
+        elif density >= high or density >= low and len(b.text) >= long:
             labels.append(True)
-        elif density >= low or b.in_article:
+        elif density >= low or len(b.text) < long or b.in_article or b.tag in _WORDLESS:
             labels.append(None)
         else:
             labels.append(False)
-    before: list[bool | None] = []
-    for x in labels:
-        before.append(x if x is not None else before[-1] if before else None)
-    after: list[bool | None] = []
-    for x in reversed(labels):
-        after.append(x if x is not None else after[-1] if after else None)
-    after.reverse()
-    out = []
-    for b, x, y, z in zip(blocks, labels, before, after, strict=True):
-        if x is None:
-            # Neighbours that agree decide; otherwise the mark of an article, or failing that a heading above good text.
-            near = [n for n in (y, z) if n is not None]
-            if near and all(near) or not near:
-                x = True
-            elif not any(near):
-                x = b.in_article
-            else:
-                x = b.in_article or b.tag in HEADINGS and z is True
-        out.append(bool(x))
-    return out
+
+    if True not in labels:
+        # Nothing speaks for any block: an article keeps what nothing speaks against.
+        labels = [True if x is None and b.in_article else x for x, b in zip(labels, blocks, strict=True)]
+
+    def reach(order: range) -> list[tuple[float, bool]]:
+        """For each block the distance and label of the last decided one in this order."""
+        out, far, label = [(math.inf, True)] * len(labels), math.inf, True
+        for i in order:
+            far, label = (0, labels[i]) if labels[i] is not None else (far + 1, label)
+            out[i] = far, label
+        return out
+
+    # Of neighbours as near as each other, one that is in decides.
+    pairs = zip(reach(range(len(labels))), reach(range(len(labels) - 1, -1, -1)), strict=True)
+    return [min(x, y, key=lambda z: (z[0], not z[1]))[1] for x, y in pairs]
 
 
 def main_text(page: str | None, stop_words: dict[str, frozenset[str]]) -> str:
@@ -202,10 +216,10 @@ def main_text(page: str | None, stop_words: dict[str, frozenset[str]]) -> str:
     return " ".join(b.text for b, keep in zip(blocks, kept, strict=True) if keep)
 
 
-def learn_stop_words(pages: DataFrame, page: str = "html", size: int = 60, longest: int = 5) -> dict[str, frozenset[str]]:
-    """The ``size`` most frequent words of at most ``longest`` letters by ``lang`` attribute, counted over all pages.
+def learn_stop_words(pages: DataFrame, page: str = "html", size: int = 60) -> dict[str, frozenset[str]]:
+    """The ``size`` most frequent words by ``lang`` attribute, counted over the visible text of all pages.
 
-    The empty name has the words of every language. Function words are short; longer words needn't be counted.
+    A language is named by two or three letters, so there are at most 18,252 of them, and pages without a name under "".
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,20 +228,23 @@ def learn_stop_words(pages: DataFrame, page: str = "html", size: int = 60, longe
             for value in batch.column(0).to_pylist():
                 lang = _LANG.search(value or "")
                 name = lang[1].lower() if lang else ""
-                text = _TAG.sub(" ", value or "")
-                seen.setdefault(name, Counter()).update(w for w in _WORD.findall(text.lower()) if len(w) <= longest)
+                text = html.unescape(_ANY_TAG.sub(" ", _NO_TEXT.sub(" ", value or "")))
+                seen.setdefault(name, Counter()).update(_WORD.findall(text.lower()))
+            if sum(map(len, seen.values())) > 500_000:
+                yield packed(seen)
+                seen = {}
+        yield packed(seen)
+
+    def packed(seen: dict[str, Counter]) -> pa.RecordBatch:
         rows = [(k, w, n) for k, c in seen.items() for w, n in c.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], ["lang", "word", "n"])
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], ["lang", "word", "n"])
 
     counts = pages.select(F.col(page)).mapInArrow(run, "lang string, word string, n long")
-    from pyspark.sql import Window
-
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     ranked = counts.groupBy("lang", "word").agg(F.sum("n").alias("n")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= size)
     out: dict[str, set[str]] = {}
-    for r in ranked.orderBy(F.desc("n"), "lang", "word").limit(200 * size).collect():
+    for r in ranked.select("lang", "word").toLocalIterator():
         out.setdefault(r["lang"], set()).add(r["word"])
-        out.setdefault("", set()).add(r["word"])
     return {k: frozenset(v) for k, v in out.items()}
 
 

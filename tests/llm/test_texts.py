@@ -1,5 +1,6 @@
 import hashlib
 import itertools
+import random
 import re
 
 import numpy as np
@@ -42,6 +43,55 @@ def test_html_hidden_math_and_marks():
     assert html.main_text(page, {}) == "Cost of x"
 
 
+FUNCTION_WORDS = {"": frozenset("the of and is it in to that we".split())}
+PROSE = "It is the custom of the house that we go to the well in the morning and that the bread is cut in the yard. " * 2
+LIST = "Alpha beta gamma delta, epsilon zeta eta theta; iota kappa lambda mu, nu xi omicron pi; rho sigma tau upsilon, phi chi psi omega. " * 2
+
+
+def test_html_stop_words_decide_on_pages_without_an_article():
+    page = f"<body><p>Top</p><p>{LIST}</p><p>Tags</p><h2>Head</h2><p>{PROSE}</p><p>Near.</p><p>Neither here nor there, but of some length; the rest is silence, as they say.</p></body>"
+    assert html.main_text(page, FUNCTION_WORDS) == f"Head {PROSE.strip()} Near. Neither here nor there, but of some length; the rest is silence, as they say."
+    # Without stop words the prose is no better than the list, and nothing is in.
+    assert html.main_text(page, {}) == ""
+
+
+def test_html_length_and_links_decide():
+    link = '<a href="/x">the news of the day</a> '
+    page = f"<body><div>{link * 3}</div><p>by hand</p><p>{PROSE}</p><div>{link * 3}</div></body>"
+    assert html.main_text(page, FUNCTION_WORDS) == f"by hand {PROSE.strip()}"
+    # Nothing decided: everything stays. Equally near neighbours: the better one counts.
+    assert html.main_text("<p>one</p><p>two</p>", FUNCTION_WORDS) == "one two"
+    assert html.main_text(f"<p>{LIST}</p><p>between</p><p>{PROSE}</p>", FUNCTION_WORDS) == f"between {PROSE.strip()}"
+
+
+def test_html_rules_hold_inside_an_article():
+    menu = "<ul>" + "".join(f'<li><a href="/{i}">Read more of the page {i}</a></li>' for i in range(4)) + "</ul>"
+    cited = f'<p><a href="/y">{PROSE}</a></p>'
+    page = f"<article><h1>Title</h1><p>{PROSE}</p><p>{LIST}</p>{cited}<p>Last.</p><p>More</p>{menu}<p>More still</p></article>"
+    kept = html.main_text(page, FUNCTION_WORDS)
+    assert kept == f"Title {PROSE.strip()} {LIST.strip()} {PROSE.strip()} Last."
+    # Without stop words the cited prose counts as links, and as no block is in for sure, the others stay.
+    assert html.main_text(page, {}) == f"Title {PROSE.strip()} {LIST.strip()} Last. More More still"
+
+
+def test_html_loose_markup_and_long_tags():
+    import time
+
+    assert html.main_text('<p>one <a href="x>two</a> three</p>', {}) == "one two three"
+    assert html.main_text('<p>a <b title="x > y">bold</b> 3 < 4 and <5</p><', {}) == "a bold 3 < 4 and <5 <"
+    began = time.perf_counter()
+    for page in ("<a" + " " * 20_000 + '"', "<a " + " " * 200_000, '<a "' * 20_000, "<" * 100_000, "<!--" * 20_000, "<p" + " x" * 100_000 + ">hi"):
+        html.main_text(page, {})
+    assert time.perf_counter() - began < 3
+
+
+def test_stop_words_are_counted_in_visible_text_only(spark):
+    rows = [('<html lang="en"><script>script script script</script><style>p{}</style><p>the&nbsp;the amp &amp; the internationally</p><!-- hidden hidden --></html>',), ("<p>plain</p>",), (None,)]
+    found = html.learn_stop_words(spark.createDataFrame(rows, "html string"), size=10)
+    assert found == {"en": frozenset({"the", "amp", "internationally"}), "": frozenset({"plain"})}
+    assert html.learn_stop_words(spark.createDataFrame([], "html string")) == {}
+
+
 def test_html_rows(spark):
     rows = [(1, "u", None, "x"), (1, "u", None, "x"), (2, None, "<article>Ä b</article>", "y")]
     got = html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
@@ -193,18 +243,56 @@ def test_base_matches_equal_the_plain_patterns(text):
 
 def test_secret_rows(spark):
     rows = [(1, "x token=abcdefgh y", None, None), (2, None, None, None), (3, "key Zq8fK2mVx9LrT4wBn7YcP1sD is here", None, None), (4, "internationalization of the counterrevolutionaries", None, None)]
+    rows += [(5, f"Zq8fK2mVx9LrT4wB{'0123456789' * 3}n7YcP1sDqX", None, None), (6, "", None, None), (6, "", None, None)]
     docs = spark.createDataFrame(rows, DOCS)
     model = secrets.fit_markov(docs)
     got = {r.doc_id: r for r in secrets.secret_digest(secrets.scan_secrets(docs, model)).collect()}
     assert got[1].spans == "assign:2:16"
     assert got[1].base_sha256 == hashlib.sha256(b"assign:2:16").hexdigest()
-    assert (got[2].spans, got[4].spans) == ("", "")
+    assert (got[2].spans, got[4].spans, got[6].spans) == ("", "", "")
     assert got[3].spans == "random:4:28"
     assert got[3].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert got[5].spans == "random:0:56,hex:16:46"
+    assert got[5].base_sha256 == hashlib.sha256(b"hex:16:46").hexdigest()
     clean = {r.doc_id: r.text for r in secrets.redact(docs, model).collect()}
     assert clean[1] == "x [secret] y"
     assert clean[2] is None
     assert clean[4] == rows[3][1]
+    assert clean[5] == "[secret]"
+    assert secrets.scan_secrets(docs.limit(0), secrets.fit_markov(docs.limit(0))).count() == 0
+
+
+def test_random_tokens_found_by_the_models_alone(spark):
+    """Keys of 12 to 40 characters without a keyword among ordinary tokens: no pattern finds one of them."""
+    rnd = random.Random(99)
+    alphabets = ["0123456789abcdef", secrets._SYMBOLS[:62], secrets._SYMBOLS[:26] + "0123456789", secrets._SYMBOLS[:64], secrets._SYMBOLS[26:62]]
+    keys = ["".join(rnd.choices(a, k=n)) for a in alphabets for n in range(12, 24) for _ in range(5)] + ["".join(rnd.choices(a, k=n)) for a in alphabets[1:] for n in range(24, 41)]
+    plain = (
+        "getUserNameFromRequest2 kubernetes-deployment-v1beta1 2024-05-17T12-30-00 src/main/java/com/example/HttpServletRequestWrapper internationalization UTF-8-encoded-string "
+        "node_modules/react-dom/index sha256-checksum ISO-8859-15 en/docs/v2/api-reference/2023 covid19-vaccination-rates MAX_BUFFER_SIZE_4096 192-168-001-254 python3-dev-3-11-4 "
+        "EC2InstanceType-m5-xlarge antidisestablishmentarianism 4952935900253052 555-7713-2290 ---------------- ================ DONAUDAMPFSCHIFF"
+    ).split()
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    model = secrets.fit_markov(docs)
+    text = " ".join(x for pair in zip(keys, plain * (len(keys) // len(plain) + 1), strict=False) for x in pair)
+    base, spans = secrets.text_spans(text, model)
+    assert base == secrets.text_spans(text, None)[1] == []
+    found = {text[s:e] for s, k, e in spans if k == 3}
+    assert len(found & set(keys)) / len(keys) > 0.97
+    assert not found - set(keys)
+    # The corpus's own tokens are ordinary.
+    extra = secrets.secret_digest(secrets.scan_secrets(docs, model)).agg({"n_random": "sum"}).first()[0]
+    assert extra <= 1
+
+
+def test_spans_of_many_matches_take_one_sweep():
+    import time
+
+    text = " ".join(f"token=abc{i}defgh {'ab' * 20}{i}" for i in range(20_000))
+    model = secrets.MarkovPair.fit([secrets.transitions(x)] if (x := secrets.labelled_strings()[0]) else [], [secrets.transitions(secrets.labelled_strings()[1])])
+    began = time.perf_counter()
+    secrets.text_spans(text, model)
+    assert time.perf_counter() - began < 5
 
 
 def test_neighbours_against_brute_force(spark):
