@@ -319,6 +319,31 @@ def test_neighbours_against_brute_force(spark):
     assert vectors.neighbours_query(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("clusters", "most_share"), [(60, 0.1), (0, 0.6)])
+def test_neighbours_recall_and_share(spark, monkeypatch, clusters, most_share):
+    """Thousands of vectors of 64 components. In clusters, a few hundredths of the table are scored; without any structure, about half."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(6000, 64))
+    if clusters:
+        x = rng.normal(size=(clusters, 64))[rng.integers(0, clusters, 6000)] + 0.35 * x
+    x[200:500] = x[200]
+    shares, measure = [], vectors.measured_share
+    monkeypatch.setattr(vectors, "measured_share", lambda *a: shares.append(measure(*a)) or shares[-1])
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(5)
+    got = {}
+    for r in vectors.neighbours_query(frame).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    recall = []
+    for q in range(0, 6000, 20):
+        scores = np.round(x @ x[q], 9)
+        scores[q] = -np.inf
+        best = np.lexsort((np.arange(6000), -scores))[:20]
+        recall.append(len(set(got[q]) & set(best.tolist())) / 20)
+        assert len(got[q]) == 20
+    assert np.mean(recall) >= 0.9
+    assert shares[0] < most_share
+
+
 def test_walk_takes_pairs_in_order():
     rng = np.random.default_rng(0)
     books = vectors.CodeBooks.fit(rng.normal(size=(400, 6)), 5)
