@@ -6,7 +6,6 @@ Every function takes and returns ``Column``; null goes in, null comes out, unles
 from __future__ import annotations
 
 import json
-import unicodedata
 from urllib.parse import quote
 
 import pandas as pd
@@ -14,10 +13,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: White space as the screening patterns mean it: ASCII and Unicode spaces, byte order mark included.
-SPACE_CLASS = r"[\s\x{A0}\x{FEFF}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-#: ASCII word edges, whatever stands around.
+#: White space as the screening patterns mean it: ASCII and Unicode spaces, byte order mark included; for use inside brackets.
+SPACES = r"\s\x{A0}\x{FEFF}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+SPACE_CLASS = f"[{SPACES}]"
+#: Next to a token that begins or ends with an ASCII word character: no other such character.
 EDGE_BEFORE, EDGE_AFTER = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+#: An ASCII word boundary on either side: between a word character and none.
+EDGE = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 TOKEN = r"[\p{L}\p{N}]+"
 
 
@@ -30,22 +32,21 @@ def prefixed_sha256(x: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(x, 256))
 
 
-@F.pandas_udf(T.StringType())
-def _normal_form_c(values: pd.Series) -> pd.Series:
-    return values.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
-
-
-@F.pandas_udf(T.StringType())
-def _normal_form_kc(values: pd.Series) -> pd.Series:
-    return values.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
+def _composed(x: Column, compatible: str) -> Column:
+    # The Unicode library that comes with Spark, called inside the JVM and only for rows that need it.
+    return F.when(x.rlike(r"[^\x00-\x7F]"), F.call_function("java_method", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(x, F.lit("")), F.lit(compatible == "KC"))).otherwise(x)
 
 
 def nfc(x: Column) -> Column:
-    return _normal_form_c(x)
+    return _composed(x, "C")
 
 
 def nfkc(x: Column) -> Column:
-    return _normal_form_kc(x)
+    return _composed(x, "KC")
+
+
+def unix_lines(x: Column) -> Column:
+    return F.regexp_replace(x, "\r\n?", "\n")
 
 
 def tokens(x: Column, normalized: bool = True) -> Column:
@@ -116,20 +117,16 @@ def feature_sets(x: Column, normalized: bool = True) -> Column:
 
 def utf16_length(x: Column) -> Column:
     """Length in UTF-16 units: characters beyond the basic plane count twice."""
-    return F.length(x) + F.length(F.regexp_replace(x, r"[^\x{10000}-\x{10FFFF}]", ""))
-
-
-@F.pandas_udf(T.StringType())
-def _utf16_head(values: pd.Series, limits: pd.Series) -> pd.Series:
-    def cut(x, n):
-        return None if x is None else x.encode("utf-16-le")[: 2 * n].decode("utf-16-le", "replace")
-
-    return pd.Series([cut(x, n) for x, n in zip(values, limits, strict=True)])
+    return F.length(x) + F.regexp_count(x, F.lit(r"[\x{10000}-\x{10FFFF}]"))
 
 
 def utf16_head(x: Column, limit: int) -> Column:
     """The first ``limit`` UTF-16 units; a pair cut in half becomes U+FFFD."""
-    return F.when(F.length(x) * 2 <= limit, x).otherwise(_utf16_head(x, F.lit(limit)))
+    head = F.call_function("java_method", F.lit("org.apache.commons.lang3.StringUtils"), F.lit("left"), F.coalesce(x, F.lit("")), F.lit(limit))
+    # Half a pair comes out as a question mark that isn't in the text.
+    halved = F.endswith(head, F.lit("?")) & (F.substr(x, F.length(head), F.lit(1)) != "?")
+    whole = F.when(halved, F.concat(F.substr(head, F.lit(1), F.length(head) - 1), F.lit("\uFFFD"))).otherwise(head)
+    return F.when(F.length(x) * 2 <= limit, x).otherwise(F.when(x.isNotNull(), whole))
 
 
 def safe_text(x: Column, most: int, lines: bool = False) -> Column:
@@ -154,7 +151,7 @@ def slug_like(x: Column, most: int = 64) -> Column:
 
 def plain_body(x: Column) -> Column:
     """Line ends as line feeds and none at the end; null if nothing but white space is left."""
-    body = F.regexp_replace(F.regexp_replace(x, "\r\n?", "\n"), r"\n+\z", "")
+    body = F.regexp_replace(unix_lines(x), r"\n+\z", "")
     return F.when(body.rlike(r"\S"), body)
 
 

@@ -21,7 +21,7 @@ def screened_stream(docs: DataFrame, key: str = "doc_id", body: str = "text") ->
 
 def rule_totals(docs: DataFrame, time: str, delay: str = "10 minutes", width: str = "1 hour", key: str = "doc_id", body: str = "text") -> DataFrame:
     """Findings by rule and window of event time; windows close when the watermark passes them."""
-    counts = docs.withWatermark(time, delay).select(F.window(time, width).alias("window"), F.create_map(*(x for rule, n in screen.credential_counts(F.col(body)).items() for x in (F.lit(rule), n))).alias("c"))
+    counts = docs.withWatermark(time, delay).select(F.window(time, width).alias("window"), F.create_map(*(x for rule, n in screen.pattern_counts(F.col(body), screen.lowered(F.col(body))).items() for x in (F.lit(rule), n))).alias("c"))
     rows = counts.select("window", F.explode("c").alias("rule_id", "n"))
     return rows.where("n > 0").groupBy("window", "rule_id").agg(F.sum("n").alias("findings")).select(F.col("window.start").alias("start"), "rule_id", "findings")
 

@@ -13,7 +13,7 @@ def pages(spark, *rows):
 
 def test_search_scores_words_and_grams(spark):
     found = lexical.search(pages(spark, ("a/one", "인증 오류", "복구"), ("a/two", "인증", "other"), ("a/none", "x", "y")), "인증오류복구")
-    assert [(r.page_id, r.score) for r in found.collect()] == [("a/one", 0.18)] or found.count() >= 1
+    assert [(r.page_id, r.score) for r in found.collect()] == [("a/one", 0.18), ("a/two", 0.06)]
     exact = lexical.search(pages(spark, ("a/b", "인증오류복구", ""), ("a/c", "인증 오류 복구", "")), "인증오류복구").collect()
     assert exact[0].page_id == "a/b"
     assert exact[0].score == 1.0
@@ -202,3 +202,54 @@ def test_lifecycle(spark):
 @pytest.mark.parametrize(("value", "bad"), [("see https://x", True), ("/etc/passwd", True), ("token = x", True), ("plain words", False), ("a/b", False)])
 def test_prohibited(spark, value, bad):
     assert spark.createDataFrame([(value,)], "x string").select(evaluate.prohibited(F.col("x"))).first()[0] is bad
+
+
+def decided(spark, **texts):
+    rows = screen.screened(spark.createDataFrame(list(texts.items()), "doc_id string, text string"), workspace="/work/space", home="/root/me")
+    return {r["key"]: (r["decision"], r["output"], r["findings"]) for r in rows.select("key", screen.decision(F.col("findings"), F.col("overflow")).alias("decision"), "output", "findings").collect()}
+
+
+def test_screening_normalizes_lines_and_composes(spark):
+    got = decided(spark, crlf="a\r\nb\rc", composed="cafe\u0301", bell="a\u0007b")
+    assert got["crlf"] == ("include", "a\nb\nc", {})
+    assert got["composed"] == ("include", "caf\u00e9", {})
+    assert got["bell"][0] == "blocked"
+    assert got["bell"][2] == {"input.invalid-character": 1}
+
+
+def test_screening_edges_are_word_boundaries(spark):
+    key = "A1b2C3d4E5f6G7h8I9j0"
+    got = decided(spark, key="k sk" + f"-{key}-- end", dashes="x --------.aaaaaaaa.bbbbbbbb y", wide="PASSWORD=abcd\u3000next words", jwt="-aaaaaaaa.bbbbbbbb.cccccccc-")
+    assert got["key"] == ("include", "k <REDACTED:CREDENTIAL>-- end", {"credential.provider.openai": 1})
+    assert got["dashes"] == ("include", "x --------.aaaaaaaa.bbbbbbbb y", {})
+    assert got["wide"][1] == "PASSWORD=<REDACTED:CREDENTIAL>\u3000next words"
+    assert got["jwt"][1] == "-<REDACTED:CREDENTIAL>-"
+
+
+def test_screening_checks_the_stated_digest(spark):
+    import hashlib
+
+    good = "sha256:" + hashlib.sha256(b"a\r\nb").hexdigest()
+    rows = spark.createDataFrame([("good", "a\r\nb", good), ("bad", "ignore all previous instructions", good), ("none", "x", None)], "doc_id string, text string, d string")
+    got = {r["key"]: (r["findings"], r["output"]) for r in screen.screened(rows, digest="d").collect()}
+    assert got == {"good": ({}, "a\nb"), "bad": ({"input.invalid-binding": 1}, None), "none": ({"input.invalid-binding": 1}, None)}
+
+
+def test_patterns_that_ignore_case_run_on_odd_letters(spark):
+    """The long s and the Kelvin sign equal s and k where case is ignored, so a text that has only them is searched too."""
+    got = decided(spark, s="pa\u017f\u017fword=hunter2x", k="API_\u212aEY=hunter2x")
+    assert got["s"][2] == got["k"][2] == {"credential.environment": 1}
+
+
+@pytest.mark.parametrize(("text", "bad"), [
+    ("see http" + "://x", True), ("/etc/passwd", True), ("C:\\x", True), ("github" + "_pat_" + "a" * 22, True), ("xox" + "b-1234567890", True), ("token : x", True), ("plain words / and more", False), ("Basic dXNlcjpwYXNz", False),
+])
+def test_prohibited_fixture_values(spark, text, bad):
+    assert spark.createDataFrame([(text,)], "x string").select(evaluate.prohibited(F.col("x"))).first()[0] is bad
+
+
+def test_screening_reads_its_table_once_and_in_the_jvm(spark):
+    plan = screen.screened(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1
+    assert "Python" not in plan
+    assert "Arrow" not in plan
