@@ -6,7 +6,6 @@ Every function takes and returns ``Column``; null goes in, null comes out, unles
 from __future__ import annotations
 
 import json
-from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column
@@ -179,12 +178,16 @@ def shannon_entropy(x: Column) -> Column:
 
 def percent_encoded(x: Column) -> Column:
     """Like the URI component encoding of browsers: UTF-8 bytes but letters, digits and ``-_.!~*'()``."""
+    out = F.replace(F.url_encode(x), F.lit("+"), F.lit("%20"))
+    for code, char in (("%7E", "~"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")")):
+        out = F.replace(out, F.lit(code), F.lit(char))
+    return out
 
-    @F.pandas_udf(T.StringType())
-    def encode(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else quote(v, safe="~()*!.'-_"))
 
-    return encode(x)
+def component_decoded(x: Column) -> Column:
+    """The text of a percent-encoded URI component; null unless it is encoded in just the way of ``percent_encoded``."""
+    text = F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B")))
+    return F.when(percent_encoded(text) == x, text)
 
 
 def canonical_json(x: Column, indent: int | None = None) -> Column:

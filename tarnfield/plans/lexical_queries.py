@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnfield.functions.text import hangul_grams, tokens
-from tarnfield.operators import evaluate, fusion, lexical
+from tarnfield.operators import evaluate, fusion, index, lexical
 from tarnfield.plans.tables import table
 
 QUERY = "The tion of and with erin"
@@ -177,8 +177,9 @@ def candidate_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     rankings, relevant, queries = _evaluation(spark, sf_dir)
     one = evaluate.hits_at(rankings.where("mode = 'lexical'").drop("mode"), relevant, queries, 20)
     two = evaluate.hits_at(rankings.where("mode = 'semantic'").drop("mode"), relevant, queries, 20)
-    found = evaluate.metrics(rankings, relevant, queries).where("mode = 'lexical'")
-    return evaluate.candidate_comparison(one, two, found, found)
+    both = index.fused_rankings(*(rankings.where(F.col("mode") == m) for m in ("lexical", "semantic"))).select(F.lit("m").alias("mode"), "query_id", "page_id", "rank")
+    base = rankings.where("mode = 'semantic'").withColumn("mode", F.lit("m"))
+    return evaluate.candidate_comparison(one, two, evaluate.metrics(both, relevant, queries), evaluate.metrics(base, relevant, queries))
 
 
 COMPARE_SQL = f"""
@@ -187,8 +188,13 @@ h AS (SELECT qs.query_id, qs.category, bool_or(coalesce(rk.mode = 'lexical' AND
       FROM qs LEFT JOIN (SELECT rk.* FROM rk JOIN rel USING (query_id, doc_id)) rk USING (query_id) GROUP BY ALL),
 f AS (SELECT coalesce(bool_or(category = 'korean-spacing-morphology' AND now AND NOT before), false) AS gained,
              coalesce(bool_or(category = 'korean-spacing-morphology' AND NOT now AND before), false) AS lost,
-             coalesce(bool_and(now) FILTER (WHERE category = 'code-symbol-korean'), false) AS code_found, false AS hybrid_lower FROM h)
-SELECT *, gained AND NOT lost AND code_found AND NOT hybrid_lower AS passed FROM f"""
+             coalesce(bool_and(now) FILTER (WHERE category = 'code-symbol-korean'), false) AS code_found FROM h),
+fs AS (SELECT query_id, doc_id, {_ROUND.format(f"{_ROUND.format('0.5::DOUBLE / rank')} + {_ROUND.format('0.5::DOUBLE / (101 - rank)')}")} AS score FROM br WHERE rank <= 100),
+fr AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fs),
+fh AS (SELECT query_id, count(*) FILTER (WHERE rank <= 5) AS hits, min(rank) AS first FROM fr JOIN rel USING (query_id, doc_id) GROUP BY ALL),
+fm AS (SELECT category, {_ROUND.format("avg(CASE WHEN n.n > 0 THEN coalesce(hits, 0) / n.n::DOUBLE ELSE 0 END)")} AS r, {_ROUND.format("avg(coalesce(1.0::DOUBLE / first, 0))")} AS m FROM qs LEFT JOIN n USING (query_id) LEFT JOIN fh USING (query_id) GROUP BY category),
+lo AS (SELECT coalesce(bool_or(fm.category IS NULL OR fm.r < mt.recall_at_5 OR fm.m < mt.mrr), false) AS hybrid_lower FROM mt LEFT JOIN fm USING (category) WHERE mt.mode = 'semantic')
+SELECT *, gained AND NOT lost AND code_found AND NOT hybrid_lower AS passed FROM f, lo"""
 COMPARE_SQL = COMPARE_SQL.replace("h AS (SELECT qs", "hh AS (SELECT qs").replace("FROM h)", "FROM hh)")
 
 
