@@ -72,14 +72,15 @@ o AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id, d
 SELECT file, "offset", length, 1::BIGINT AS n_records, sha256(digest || ':' || length || ':1') AS hash, CASE page_id % 101 WHEN 0 THEN 'changed' WHEN 1 THEN 'lost' ELSE 'ok' END AS status FROM o"""
 
 OP7_SQL = f"""
-WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOW.format("text")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
-s AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
-n AS (SELECT doc_id, len(s) AS n FROM s),
-u AS (SELECT doc_id, unnest(s) AS g FROM s),
-c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM u a JOIN u b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
-l AS (SELECT c.a, c.b FROM c JOIN n x ON c.a = x.doc_id JOIN n y ON c.b = y.doc_id WHERE 100 * common >= 90 * (x.n + y.n - common)),
-r(a, b) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
-SELECT n.doc_id, any_value(n.n) AS n_shingles, min(r.b) AS component_id FROM n JOIN r ON n.doc_id = r.a GROUP BY n.doc_id"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_LOW.format("text")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+s AS (SELECT row, doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+n AS (SELECT row, doc_id, len(s) AS n FROM s),
+u AS (SELECT row, unnest(s) AS g FROM s),
+c AS (SELECT a.row AS a, b.row AS b, count(*) AS common FROM u a JOIN u b ON a.g = b.g AND a.row <> b.row GROUP BY ALL),
+l AS (SELECT x.doc_id AS a, y.doc_id AS b FROM c JOIN n x ON c.a = x.row JOIN n y ON c.b = y.row WHERE 100 * common >= 90 * (x.n + y.n - common)),
+r(a, b) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+m AS (SELECT a, min(b) AS least FROM r GROUP BY a)
+SELECT n.doc_id, n.n AS n_shingles, m.least AS component_id FROM n JOIN m ON n.doc_id = m.a"""
 
 OP8_SQL = f"""
 WITH w AS (SELECT doc_id, regexp_extract_all({_LOW.format("text")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),

@@ -136,3 +136,14 @@ def fold_rule(doc_id: str, modulus: int, remainder: int) -> Column:
 def bounded_sample(rows: DataFrame, key: str, limit: int) -> DataFrame:
     """At most ``limit`` rows, those with the smallest hashes of the key: the same rows on every run."""
     return rows.orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(limit)
+
+
+def fresh_names(taken: list[str], *wanted: str) -> list[str]:
+    """Column names like those wanted that a table with the columns ``taken`` doesn't have, whatever their case."""
+    used, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        out.append(name)
+    return out
