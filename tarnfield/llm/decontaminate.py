@@ -21,6 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnfield.llm.graph import cut
 from tarnfield.llm.textkit import LOWER, byte_set, chunked, find_words, text_bytes
 
 WORD_BYTES = byte_set((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
@@ -163,19 +164,15 @@ def merged(ranges) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str, window: int, block_bytes: int) -> list[Broadcast]:
-    """The items as broadcast searches of about ``block_bytes`` of text each, so that no broadcast grows with the table."""
-    items = benchmark.select(F.col(item_id).cast("string").alias("_id"), F.col(text).alias("_text")).where("_id is not null and _text is not null")
+def _blocks(benchmark: DataFrame, item_id: str, text: str, window: int, block_bytes: int) -> Iterator[tuple[Broadcast, bool]]:
+    """The items as broadcast searches of about ``block_bytes`` of text each, so that no broadcast grows with the table; and whether it is the last."""
+    items = benchmark.select(F.col(item_id).cast("string").alias("_id"), F.col(text).alias("_text")).where("_id is not null and _text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     parts = max(1, -(-total // block_bytes))
     context = benchmark.sparkSession.sparkContext
-    out = []
     for i in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("_id"), F.lit(parts)) == i).collect()
-        search = WindowSearch([(r["_id"], r["_text"]) for r in rows], window)
-        out.append(context.broadcast(search))
-        del search, rows
-    return out
+        rows = items.where(F.pmod(F.xxhash64("_id", "_text"), F.lit(parts)) == i).collect()
+        yield context.broadcast(WindowSearch([(r["_id"], r["_text"]) for r in rows], window)), i == parts - 1
 
 
 _RANGES = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
@@ -184,14 +181,13 @@ _RANGES = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
     """Per row: the id, ``n_words``, ``spans`` (hit words as ranges, end exclusive) and ``items`` (ids as sorted strings).
 
-    A benchmark of more than ``block_bytes`` is searched block by block, in as many passes over the rows.
+    A benchmark of more than ``block_bytes`` is searched block by block, in as many passes over the rows; what a pass found
+    is written to the shared folder, and its block given up, before the next.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     out = "doc_id {}, n_words long, spans array<struct<first:int,last:int>>, items array<string>".format(kind)
-    blocks = _blocks(benchmark, item_id, item_text, window, block_bytes)
-    for i, block in enumerate(blocks):
-        final = i == len(blocks) - 1
+    for i, (block, final) in enumerate(_blocks(benchmark, item_id, item_text, window, block_bytes)):
 
         def run(batches: Iterator[pa.RecordBatch], block=block, final=final, started=i > 0) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -206,6 +202,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
         rows = rows.mapInArrow(run, out if final else f"{out}, text string")
+        if not final:
+            rows = cut(rows)
+            block.destroy()
     return rows
 
 
@@ -217,11 +216,14 @@ def contamination_digest(found: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
     """The rows, with all their columns, in which no window of the benchmark occurs."""
     at = docs.columns.index(text)
-    for block in _blocks(benchmark, item_id, item_text, window, block_bytes):
+    for block, final in _blocks(benchmark, item_id, item_text, window, block_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield batch.filter(pa.array([not spans for _, spans, _ in block.value.hits(batch.column(at))], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if not final:
+            docs = cut(docs)
+            block.destroy()
     return docs

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnfield.llm.textkit import small_batches
+from tarnfield.llm.textkit import fresh_names, small_batches
 
 _SPACE_SIGN = "▁"
 #: From fine to coarse: spaces with a run of letters, of digits or of other signs behind them; or with any run.
@@ -286,9 +286,14 @@ SCHEMA = "n_pieces int, ids array<int>, best array<struct<score:double,n_pieces:
 
 def encode_texts(docs: DataFrame, model: PieceModel, keep: tuple[str, ...] = ("doc_id",), text: str = "text", n: int = 3) -> DataFrame:
     """Per row: the ``keep`` columns, the best pieces, the ``n`` best segmentations by falling score, and whether decoding
-    the best gives back the text (null as empty). ``best`` tells each by what it changes in the first."""
+    the best gives back the text (null as empty). ``best`` tells each by what it changes in the first.
+
+    A kept column with the name of a result has underscores put before its own.
+    """
     frozen = docs.sparkSession.sparkContext.broadcast(model)
 
+    names = fresh_names(["n_pieces", "ids", "best", "round_trip"], *keep)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = frozen.value
         for batch in small_batches(batches):
@@ -302,15 +307,18 @@ def encode_texts(docs: DataFrame, model: PieceModel, keep: tuple[str, ...] = ("d
             flat = np.concatenate([*ids, np.zeros(0, np.int32)])
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[: len(keep)], pa.array(np.diff(sizes), pa.int32()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat, pa.int32())), pa.array(best, _CHOICES), pa.array(good, pa.bool_())],
-                [*keep, "n_pieces", "ids", "best", "round_trip"],
+                [*names, "n_pieces", "ids", "best", "round_trip"],
             )
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, f"{kinds}, {SCHEMA}")
+    kinds = ", ".join(f"`{name}` {docs.schema[c].dataType.simpleString()}" for name, c in zip(names, keep, strict=True))
+    return docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias(fresh_names(list(keep), "text")[0])).mapInArrow(run, f"{kinds}, {SCHEMA}")
 
 
 def decode_ids(rows: DataFrame, model: PieceModel, ids: str = "ids", text: str = "text") -> DataFrame:
-    """The rows with a column more, the text of their pieces; null where the pieces are null."""
+    """The rows with the text of their pieces as last column, in place of a column of that name; null where the pieces are null."""
+    rows = rows.select(*(F.col(f"`{c}`") for c in rows.columns if c.lower() != text.lower() or c == ids))
+    if text.lower() == ids.lower():
+        raise ValueError("the text needs another name than the pieces")
     frozen = rows.sparkSession.sparkContext.broadcast(model)
     at = rows.columns.index(ids)
 

@@ -109,11 +109,13 @@ def _calibrate(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 def fit_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample_rows: int = 6000) -> SupportVectors:
     """Learns from at most ``sample_rows`` rows of ``labels`` (half for each class, if there are as many), by hash of the id.
 
-    The bound holds the fit to seconds at any table size; scoring reads every row.
+    The bound holds the fit to seconds at any table size; scoring reads every row. An id with both labels counts as 0, and
+    of an id with several texts the smallest is learned from, once.
     """
-    known = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_label")).where("_id is not null and _label in (0, 1)").dropDuplicates(["_id"])
+    known = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_label")).where("_id is not null and _label in (0, 1)").groupBy("_id").agg(F.min("_label").alias("_label"))
     sample = bounded_sample(known.where("_label = 0"), "_id", sample_rows // 2).unionByName(bounded_sample(known.where("_label = 1"), "_id", sample_rows // 2))
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(sample), "_id")
+    rows = docs.select(F.col(doc_id).alias("_id"), F.coalesce(text, F.lit("")).alias("_text")).join(F.broadcast(sample), "_id")
+    rows = rows.groupBy("_id").agg(F.min("_text").alias("_text"), F.first("_label").alias("_label"))
     got = rows.select("_label", "_text").mapInArrow(_features, "label int, features binary").collect()
     got = sorted((int(r["label"]), bytes(r["features"])) for r in got)
     return fit_nbsvm([np.frombuffer(b, np.int32) for _, b in got], np.array([k for k, _ in got]))

@@ -284,12 +284,16 @@ def term_factors(rows: Iterable[tuple[int, Iterable[str]]]) -> tuple[list[str],
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample_rows: int = 4000, k: int = 15) -> ToxicityModel:
-    """Learns from at most ``sample_rows`` labelled rows, half of each class, by hash of the id; idf counts every document."""
-    known = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_label")).where("_id is not null and _label in (0, 1)").dropDuplicates(["_id"])
+    """Learns from at most ``sample_rows`` labelled rows, half of each class, by hash of the id; idf counts every document.
+
+    An id with both labels counts as toxic, and of an id with several texts the smallest is learned from, once.
+    """
+    known = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_label")).where("_id is not null and _label in (0, 1)").groupBy("_id").agg(F.max("_label").alias("_label"))
     sizes = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
     sample = bounded_sample(known.where("_label = 0"), "_id", sample_rows // 2).unionByName(bounded_sample(known.where("_label = 1"), "_id", sample_rows // 2))
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(sample), "_id").dropDuplicates(["_id"])
-    got = sorted((r["_id"], r["_label"], r["_text"] or "") for r in rows.collect())
+    rows = docs.select(F.col(doc_id).alias("_id"), F.coalesce(text, F.lit("")).alias("_text")).join(F.broadcast(sample), "_id")
+    rows = rows.groupBy("_id").agg(F.first("_label").alias("_label"), F.min("_text").alias("_text"))
+    got = sorted((r["_id"], r["_label"], r["_text"]) for r in rows.collect())
     terms, factors = term_factors((label, text_terms(text)) for _, label, text in got)
     frozen = docs.sparkSession.sparkContext.broadcast(Terms(terms, 0, {}))
     size = len(terms) + OTHERS

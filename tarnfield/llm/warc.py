@@ -12,7 +12,7 @@ hash of all of theirs in order; a record that stands twice in one replica and on
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnfield.llm.graph import cut
@@ -45,8 +45,6 @@ def lay_out(records: DataFrame, file: Column, order: list[str], length: str = "l
     ``file`` should deal out a bounded number of records to each file, as writers of archives do; then no task
     holds more than such a file's rows.
     """
-    from pyspark.sql import Window
-
     before = Window.partitionBy("file").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return records.withColumn("file", file).withColumn("offset", F.coalesce(F.sum(length).over(before), F.lit(0)))
 
@@ -108,15 +106,55 @@ def fixity_audit(first: DataFrame, second: DataFrame, digest: str = "digest", gr
     return known.join(located, ["file", "offset"], "left").select("file", "offset", "length", "n_records", "hash", F.coalesce("status", F.lit("ok")).alias("status"))
 
 
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """The records of the WARC/1.1 files at ``path``: file, offset, length, digest, type, uri, date, payload, and complete.
+
+    Files are split between tasks at record starts, so a large archive isn't read by one task (a compressed one is, and its
+    offsets are those of the plain bytes). ``complete`` is false where the bytes after the head are not those that
+    Content-Length states, as in a file cut off, or in a payload that has a record's first line in it.
+    """
+    start = "WARC/1.1\r\n"
+    meta = F.col("_metadata")
+    rows = spark.read.option("lineSep", start).text(path)
+    rows = rows.select(F.regexp_extract(meta["file_path"], r"[^/]*$", 0).alias("file"), meta["file_path"].alias("path"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").cast("binary").alias("rest"))
+    # What comes before the first record of a file is one entry too: empty in an archive.
+    length = F.octet_length("rest").cast("long") + len(start)
+    before = Window.partitionBy("path").orderBy("block", "at").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("path").orderBy("block", "at")
+    rows = rows.withColumns({"length": length, "first": F.row_number().over(order) == 1})
+    rows = rows.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)) - len(start)).where("not (first and length(rest) = 0)")
+    record = F.concat(F.lit(start).cast("binary"), "rest")
+    text = F.decode("rest", "ISO-8859-1")
+    cut_at = F.instr(text, "\r\n\r\n")
+    head = F.concat(F.lit("\r\n"), F.substring(text, F.lit(1), cut_at), F.lit("\r\n"))
+    field = lambda name: F.nullif(F.trim(F.regexp_extract(head, rf"(?i)\r\n{name}:[ \t]*([^\r\n]*)", 1)), F.lit(""))
+    stated = field("Content-Length").cast("long")
+    whole = (cut_at > 0) & (F.octet_length("rest") == cut_at + 3 + stated + 4)
+    return rows.select(
+        "file", "offset", "length", record_digest(record).alias("digest"), field("WARC-Type").alias("type"), field("WARC-Target-URI").alias("uri"), field("WARC-Date").alias("date"),
+        F.when(cut_at > 0, F.substring(F.col("rest"), cut_at + 4, F.coalesce(stated, F.lit(0)).cast("int"))).alias("payload"), F.coalesce(whole, F.lit(False)).alias("complete"),
+    )
+
+
 def archive_index(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", per_file: int = 256) -> DataFrame:
-    """``pages`` as archive files of ``per_file`` consecutive page ids (null ids share one file), without the bodies:
-    page_id, file, offset, length and digest of each record, and ``hurt``, its digest with one byte changed."""
+    """``pages`` as archive files of ``per_file`` consecutive page ids, without the bodies: page_id, file, offset, length and
+    digest of each record, and ``hurt``, its digest with one byte changed.
+
+    Null ids have files of their own. A file of many more records, as repeated and null ids make, is dealt out to several,
+    numbered after its name; which of them a record falls into is fixed only once the index is written.
+    """
     file = F.concat(F.lit("pages-"), F.lpad(F.coalesce(F.floor(F.col("page_id") / per_file), F.lit(-1)).cast("string"), 12, "0"), F.lit(".warc"))
     record = warc_record(F.col("url"), F.lit(date), F.col("html"))
     rows = pages.select("page_id", record.alias("record"))
     hurt = F.concat(F.substring("record", 1, 40), F.lit("#").cast("binary"), F.expr("substring(record, 42)"))
     rows = rows.select("page_id", F.coalesce(F.octet_length("record"), F.lit(0)).cast("long").alias("length"), record_digest(F.col("record")).alias("digest"), record_digest(hurt).alias("hurt"))
-    return lay_out(rows, file, ["page_id", "digest"])
+    rows = rows.withColumn("name", file)
+    large = rows.groupBy("name").agg(F.count("*").alias("rows")).where(F.col("rows") > 4 * per_file)
+    rows = rows.join(large, "name", "left")
+    part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.ceil(F.col("rows") / per_file))
+    file = F.when(F.col("rows").isNull(), F.col("name")).otherwise(F.concat("name", F.lit("."), part.cast("string")))
+    rows = rows.withColumn("file", file).drop("name", "rows")
+    return lay_out(rows, F.col("file"), ["page_id", "digest"])
 
 
 def damaged(index: DataFrame) -> DataFrame:

@@ -384,3 +384,41 @@ def test_warc_record_bytes(spark):
     assert body == "Ä".encode() + b"\r\n\r\n"
     assert b"Content-Length: 2" in head
     assert head.startswith(b"WARC/1.1\r\n")
+
+
+def test_read_warc(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    pages = [(f"http://a/{i}", "Ä b\r\n\r\nc" * (i % 50) if i % 7 else "") for i in range(300)]
+    frame = spark.createDataFrame(pages, "url string, html string")
+    raw = [bytes(r[0]) for r in frame.select(warc.warc_record(F.col("url"), F.lit("2024-01-01T00:00:00Z"), F.col("html"))).collect()]
+    (tmp_path / "one").mkdir()
+    (tmp_path / "two").mkdir()
+    (tmp_path / "one" / "a.warc").write_bytes(b"".join(raw))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        got = sorted(warc.read_warc(spark, f"{tmp_path}/one").collect(), key=lambda r: r.offset)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [(r.file, r.uri, bytes(r.payload).decode(), r.type, r.complete) for r in got] == [("a.warc", u, h, "resource", True) for u, h in pages]
+    starts = np.cumsum([0, *map(len, raw)]).tolist()
+    assert [(r.offset, r.length) for r in got] == [(a, len(x)) for a, x in zip(starts, raw, strict=False)]
+    assert [r.digest for r in got] == [hashlib.sha256(x).hexdigest() for x in raw]
+    hurt = list(raw)
+    hurt[151] = hurt[151][:-5] + b"#" + hurt[151][-4:]
+    (tmp_path / "two" / "a.warc").write_bytes(b"".join(hurt[:-1]) + raw[-1][:-9])
+    first, second = (warc.read_warc(spark, f"{tmp_path}/{x}") for x in ("one", "two"))
+    assert [r.uri for r in second.where("not complete").collect()] == ["http://a/299"]
+    found = {r.offset: r.status for r in warc.fixity_audit(first, second, granule=1000, fanout=4, levels=3).where("status <> 'ok'").collect()}
+    assert found == {starts[151]: "changed", starts[299]: "changed"}
+
+
+def test_archive_files_stay_bounded(spark):
+    rows = [(None, f"u{i % 3}", "same") for i in range(500)] + [(7, "u", "x")] * 300 + [(i, "u", None) for i in range(20)]
+    index = warc.archive_index(spark.createDataFrame(rows, "page_id long, url string, html string"), per_file=16).collect()
+    assert len(index) == len(rows)
+    sizes = {}
+    for r in index:
+        sizes[r.file] = sizes.get(r.file, 0) + 1
+    assert max(sizes.values()) <= 64
+    assert sizes["pages-000000000001.warc"] == 4
