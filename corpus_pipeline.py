@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and returns a DataFrame; all but the
 last return the columns of ``documents``. Labels and the benchmark come from ``sf_dir``. Rows with null or empty text are
-judged like any others: the classifier decides on them, and later stages keep them.
+judged like any others: the classifier decides on them, and later stages keep them. Empty tables give no rows, very long
+texts are read whole, and extra columns stay as they are, whatever their names. Rows that repeat an id are judged each by its
+own text; of rows that repeat id and text the near-duplicate stage keeps one. Ties are settled by the smallest id.
 """
 
 from __future__ import annotations
@@ -58,11 +60,22 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _forget(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of the shared file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over ``documents``; each result is written to the shared folder and read again."""
+    """All stages in order over ``documents``; each result is written to the shared folder and read again.
+
+    A stage's rows are deleted when those of the next are written; the last ones stay, as the result is read from them.
+    """
     folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     docs = _table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        if i:
+            _forget(spark, f"{folder}/{i - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
