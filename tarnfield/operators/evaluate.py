@@ -22,15 +22,14 @@ def relevant_pages(judgements: DataFrame, documents: DataFrame) -> DataFrame:
     return judgements.join(documents.select("evidence_id", "page_id"), "evidence_id").select("query_id", "page_id").distinct()
 
 
-def metrics(rankings: DataFrame, relevant: DataFrame, queries: DataFrame, depth: int = 5) -> DataFrame:
+def metrics(rankings: DataFrame, relevant: DataFrame, queries: DataFrame, modes: tuple[str, ...], depth: int = 5) -> DataFrame:
     """mode, category, query_count, recall_at_5, mrr. ``rankings``: mode, query_id, page_id, rank over whole results.
 
-    A query without a relevant page, or without results, counts with zeros in every mode.
+    A query without a relevant page, or without results, counts with zeros in each of the ``modes``.
     """
     hits = rankings.join(relevant, ["query_id", "page_id"]).groupBy("mode", "query_id").agg(F.count_if(F.col("rank") <= depth).alias("hits"), F.min("rank").alias("first"))
     sizes = relevant.groupBy("query_id").agg(F.count("*").alias("n"))
-    # Modes are few: the product with the queries is as long as the report's raw rows.
-    every = queries.select("query_id", "category").join(F.broadcast(rankings.select("mode").distinct()))
+    every = queries.select("query_id", "category", F.explode(F.array(*map(F.lit, modes))).alias("mode"))
     rows = every.join(sizes, "query_id", "left").join(hits, ["mode", "query_id"], "left")
     recall = F.when(F.col("n") > 0, F.coalesce("hits", F.lit(0)) / F.col("n").cast("double")).otherwise(0.0)
     scored = rows.select("mode", "category", recall.alias("r"), F.coalesce(F.lit(1.0) / F.col("first"), F.lit(0.0)).alias("m"))

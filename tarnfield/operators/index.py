@@ -104,7 +104,7 @@ def evaluation(pages: DataFrame, queries: DataFrame, relevant: DataFrame, semant
     for mode, found in modes.items():
         part = found.select(F.lit(mode).alias("mode"), "query_id", "page_id", "rank")
         every = part if every is None else every.unionByName(part)
-    return evaluate.gated(evaluate.metrics(every, relevant, queries))
+    return evaluate.gated(evaluate.metrics(every, relevant, queries, tuple(modes)))
 
 
 def known_warnings(codes: Column) -> Column:

@@ -36,23 +36,26 @@ def query_features(spark, text: str) -> dict[str, list[str]]:
     return {k: list(row[k]) for k in KINDS}
 
 
-def search(pages: DataFrame, query: str, page_id: str = "page_id", fields: tuple[str, ...] = FIELDS, limit: int | None = 20) -> DataFrame:
-    """Ranked pages for one query: rank, page_id, score, word, bigram, trigram. Pages that score 0 are left out.
-
-    The query's features are literals, so this is one scan, a projection and a top-k, without a join. Rank is worked
-    out after the cut, on ``limit`` rows; with ``limit`` none it takes a global order.
-    """
+def scores(pages: DataFrame, query: str, page_id: str = "page_id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """Pages that score above 0 for one query: page_id, score, word, bigram, trigram, in no order. One scan and a projection."""
     wanted = query_features(pages.sparkSession, query)
     whole = F.array_distinct(F.flatten(F.array(*(tokens(F.coalesce(F.col(f), F.lit(""))) for f in fields))))
     found = pages.select(F.col(page_id).alias("page_id"), whole.alias("_words"))
     sets = {"word": F.col("_words"), "bigram": hangul_grams(F.col("_words"), 2), "trigram": hangul_grams(F.col("_words"), 3)}
     coverage = {k: share(F.size(F.array_intersect(sets[k], F.array(*map(F.lit, wanted[k])))), F.lit(len(wanted[k]))) if wanted[k] else F.lit(None).cast("double") for k in KINDS}
     scored = found.select("page_id", *(coverage[k].alias(k) for k in KINDS))
-    scored = scored.withColumn("score", weighted_score({k: F.col(k) for k in KINDS})).where("score > 0")
+    return scored.select("page_id", weighted_score({k: F.col(k) for k in KINDS}).alias("score"), *KINDS).where("score > 0")
+
+
+def search(pages: DataFrame, query: str, page_id: str = "page_id", fields: tuple[str, ...] = FIELDS, limit: int = 20) -> DataFrame:
+    """Ranked pages for one query: rank, page_id, score, word, bigram, trigram. Pages that score 0 are left out.
+
+    The query's features are literals, so this is one scan, a projection and a top-k, without a join. Rank is worked
+    out after the cut, on ``limit`` rows.
+    """
     order = [F.desc("score"), F.asc("page_id")]
-    if limit is not None:
-        scored = scored.orderBy(*order).limit(limit)
-    return scored.select(F.row_number().over(Window.orderBy(*order)).alias("rank"), "page_id", "score", *KINDS)
+    best = scores(pages, query, page_id, fields).orderBy(*order).limit(limit)
+    return best.select(F.row_number().over(Window.orderBy(*order)).alias("rank"), "page_id", "score", *KINDS)
 
 
 def postings(pages: DataFrame, page_id: str = "page_id", fields: tuple[str, ...] = FIELDS) -> DataFrame:

@@ -112,9 +112,9 @@ SEMANTIC_SQL = f"WITH {_SEMANTIC} SELECT vec_id, rank, {_ROUND.format('1.0::DOUB
 
 
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = lexical.search(table(spark, sf_dir, "documents"), QUERY, "doc_id", ("text",), limit=None)
-    meaning = fusion.semantic_ranks(table(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir))
-    return fusion.fused(words, meaning).select("rank", F.col("page_id").alias("doc_id"), "score", "lexical_rank", "semantic_rank")
+    words = lexical.scores(table(spark, sf_dir, "documents"), QUERY, "doc_id", ("text",))
+    meaning = fusion.semantic_scores(table(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir))
+    return fusion.hybrid(words, meaning).select("rank", F.col("page_id").alias("doc_id"), "score", "lexical_rank", "semantic_rank")
 
 
 HYBRID_SQL = f"""
@@ -126,25 +126,26 @@ SELECT row_number() OVER (ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id,
 
 
 def _evaluation(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rankings, relevant pages and queries: an item's relevant pages are labelled good and agree with it modulo 97."""
+    """Rankings, relevant pages and queries: an item's relevant pages are those labelled good among five ids that follow from its own."""
     items = table(spark, sf_dir, "benchmark")
     category = F.element_at(F.array(*map(F.lit, evaluate.CATEGORIES)), (F.col("item_id") % 5 + 1).cast("int"))
     queries = items.select(F.col("item_id").alias("query_id"), category.alias("category"))
-    good = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("page_id"), (F.col("doc_id") % 97).alias("m"))
-    relevant = items.select(F.col("item_id").alias("query_id"), (F.col("item_id") % 97).alias("m")).join(good, "m").select("query_id", "page_id").distinct()
+    good = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("page_id"))
+    wanted = items.select(F.col("item_id").alias("query_id"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"))
+    relevant = wanted.select("query_id", (F.col("query_id") * 13 + F.col("k")).alias("page_id")).join(good, "page_id", "left_semi").distinct()
     found = _batch(spark, sf_dir, 100).select("query_id", "page_id", "rank")
     back = found.select("query_id", "page_id", (F.lit(101) - F.col("rank")).alias("rank"))
     return found.select(F.lit("lexical").alias("mode"), "*").unionByName(back.select(F.lit("semantic").alias("mode"), "*")), relevant, queries
 
 
 def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.metrics(*_evaluation(spark, sf_dir))
+    return evaluate.metrics(*_evaluation(spark, sf_dir), ("lexical", "semantic"))
 
 
 _CATEGORY = "CASE item_id % 5 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(evaluate.CATEGORIES)) + " END"
 _METRICS = f"""{_BATCH.lstrip()},
 qs AS (SELECT item_id AS query_id, {_CATEGORY} AS category FROM benchmark),
-rel AS (SELECT DISTINCT item_id AS query_id, l.doc_id FROM benchmark JOIN labels l ON item_id % 97 = l.doc_id % 97 WHERE l.quality = 1),
+rel AS (SELECT DISTINCT item_id AS query_id, l.doc_id FROM benchmark CROSS JOIN range(5) k(k) JOIN labels l ON l.doc_id = item_id * 13 + k.k WHERE l.quality = 1),
 rk AS (SELECT 'lexical' AS mode, query_id, doc_id, rank FROM br WHERE rank <= 100 UNION ALL SELECT 'semantic', query_id, doc_id, 101 - rank FROM br WHERE rank <= 100),
 hit AS (SELECT mode, query_id, count(*) FILTER (WHERE rank <= 5) AS hits, min(rank) AS first FROM rk JOIN rel USING (query_id, doc_id) GROUP BY ALL),
 n AS (SELECT query_id, count(*) AS n FROM rel GROUP BY ALL),
@@ -179,7 +180,7 @@ def candidate_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     two = evaluate.hits_at(rankings.where("mode = 'semantic'").drop("mode"), relevant, queries, 20)
     both = index.fused_rankings(*(rankings.where(F.col("mode") == m) for m in ("lexical", "semantic"))).select(F.lit("m").alias("mode"), "query_id", "page_id", "rank")
     base = rankings.where("mode = 'semantic'").withColumn("mode", F.lit("m"))
-    return evaluate.candidate_comparison(one, two, evaluate.metrics(both, relevant, queries), evaluate.metrics(base, relevant, queries))
+    return evaluate.candidate_comparison(one, two, evaluate.metrics(both, relevant, queries, ("m",)), evaluate.metrics(base, relevant, queries, ("m",)))
 
 
 COMPARE_SQL = f"""

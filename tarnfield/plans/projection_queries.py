@@ -64,7 +64,7 @@ hs AS (SELECT query_id, doc_id, {_R.format(f"coalesce({_R.format('0.5::DOUBLE /
 hy AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM hs),
 rk AS (SELECT 'lexical' AS mode, * FROM lx UNION ALL SELECT 'semantic', * FROM sm UNION ALL SELECT 'hybrid', * FROM hy UNION ALL SELECT 'word-only', query_id, doc_id, rank FROM wo),
 qs AS (SELECT item_id AS query_id, CASE item_id % 5 WHEN 0 THEN 'korean-exact' WHEN 1 THEN 'korean-spacing-morphology' WHEN 2 THEN 'korean-synonym' WHEN 3 THEN 'korean-to-english' ELSE 'code-symbol-korean' END AS category FROM benchmark),
-rel AS (SELECT DISTINCT item_id AS query_id, l.doc_id FROM benchmark JOIN labels l ON item_id % 97 = l.doc_id % 97 WHERE l.quality = 1),
+rel AS (SELECT DISTINCT item_id AS query_id, l.doc_id FROM benchmark CROSS JOIN range(5) k(k) JOIN labels l ON l.doc_id = item_id * 13 + k.k WHERE l.quality = 1),
 hit AS (SELECT mode, query_id, count(*) FILTER (WHERE rank <= 5) AS hits, min(rank) AS first FROM rk JOIN rel USING (query_id, doc_id) GROUP BY ALL),
 n AS (SELECT query_id, count(*) AS n FROM rel GROUP BY ALL),
 per AS (SELECT v.mode, qs.category, CASE WHEN n.n > 0 THEN coalesce(hits, 0) / n.n::DOUBLE ELSE 0 END AS r, coalesce(1.0::DOUBLE / first, 0) AS m

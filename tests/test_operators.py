@@ -55,7 +55,7 @@ def test_recall_and_mrr(spark):
     ranks = spark.createDataFrame([("m", "q", p, i + 1) for i, p in enumerate(["x", "r1", "y", "z", "w", "r2"])], "mode string, query_id string, page_id string, rank int")
     relevant = spark.createDataFrame([("q", p) for p in ("r1", "r2", "r3", "r4")], "query_id string, page_id string")
     queries = spark.createDataFrame([("q", "c")], "query_id string, category string")
-    row = evaluate.metrics(ranks, relevant, queries).first()
+    row = evaluate.metrics(ranks, relevant, queries, ("m",)).first()
     assert (row.recall_at_5, row.mrr, row.query_count) == (0.25, 0.5, 1)
 
 
@@ -253,3 +253,19 @@ def test_screening_reads_its_table_once_and_in_the_jvm(spark):
     assert plan.count("Scan parquet") == 1
     assert "Python" not in plan
     assert "Arrow" not in plan
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_hybrid_equals_fusing_whole_rankings(spark, seed):
+    import random
+
+    rnd = random.Random(seed)
+    lex = {i: rnd.choice([0.1, 0.2, 0.3, 0.4]) for i in rnd.sample(range(60), 40)}
+    sem = {i: rnd.choice([0.5, 0.6, 0.7]) for i in rnd.sample(range(60), (45, 45, 3, 0)[seed])}
+    ranks = [{p: k + 1 for k, (p, _) in enumerate(sorted(x.items(), key=lambda e: (-e[1], e[0])))} for x in (lex, sem)]
+    half = lambda r: int(500_000 / r + 0.5) / 1e6 if r else 0.0
+    expected = sorted(((round(half(ranks[0].get(p)) + half(ranks[1].get(p)), 6), -p) for p in lex.keys() | sem.keys()), reverse=True)[:5]
+    frames = [spark.createDataFrame(list(x.items()), "page_id long, score double") for x in (lex, sem)]
+    got = fusion.hybrid(*frames, limit=5).orderBy("rank").collect()
+    assert [(r.score, -r.page_id) for r in got] == expected
+    assert all((r.lexical_rank, r.semantic_rank) == (ranks[0].get(r.page_id), ranks[1].get(r.page_id)) for r in got)
