@@ -67,27 +67,12 @@ def json_object(text: Column, schema: str | T.StructType) -> Column:
     return F.from_json(text, schema, {"mode": "PERMISSIVE"})
 
 
-@F.pandas_udf(T.IntegerType())
-def _json_depth(values: pd.Series) -> pd.Series:
-    def depth(text):
-        if text is None:
-            return None
-        level = most = 0
-        inside = escaped = False
-        for c in text:
-            if inside:
-                inside = escaped or c != '"'
-                escaped = c == "\\" and not escaped
-            elif c == '"':
-                inside, escaped = True, False
-            elif c in "[{":
-                level += 1
-                most = max(most, level)
-            elif c in "]}":
-                level -= 1
-        return most
-
-    return values.map(depth)
+def _json_depth(text: Column) -> Column:
+    """The deepest nesting of brackets outside strings."""
+    brackets = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\]|\\(?s:.))*+(?:"|\z)', ""), r"[^\[\]{}]", "")
+    step = lambda acc, c: F.struct((acc["now"] + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("now"), F.greatest(acc["most"], acc["now"] + 1).alias("most"))
+    closing = lambda acc, c: F.when(c.isin("[", "{"), step(acc, c)).otherwise(F.struct((acc["now"] - 1).alias("now"), acc["most"].alias("most")))
+    return F.aggregate(F.filter(F.split(brackets, ""), lambda c: c != ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), closing, lambda acc: acc["most"])
 
 
 @F.pandas_udf(T.BooleanType())

@@ -42,10 +42,15 @@ def distinct_events(events: DataFrame, key: str = "event_id", time: str = "ts",
 
 
 def upsert_writer(path: str, key: str) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: writes each batch under its own number, so a batch that is run again replaces itself."""
+    """For ``foreachBatch``: writes each batch under its own number, so a batch that is run again replaces itself.
+
+    Of rows of a batch with one key the largest by its other columns is kept, so a second run writes the same.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.dropDuplicates([key]).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        others = [c for c in batch.columns if c != key]
+        one = batch.groupBy(key).agg(F.max(F.struct(*others)).alias("r")).select(key, *(F.col(f"r.{c}").alias(c) for c in others))
+        one.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write
 
