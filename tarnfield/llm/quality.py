@@ -5,6 +5,8 @@ upper, lower, digit and each punctuation byte) and of which neighbouring words a
 magnitude of the word count. Indicators are scaled by the log ratio of the classes' smoothed feature shares, and a
 linear hinge-loss model is fitted to them by dual coordinate descent. Null and empty texts get the score of the bare
 length feature. With no labelled row, or rows of one class only, every score is the class share (0.5 if there is none).
+A score of just 0.5 counts as label 1. Rows are independent, so repeated rows give repeated scores; an empty table gives no
+rows, very long texts are read whole, and columns but the named ones are left alone.
 """
 
 from __future__ import annotations

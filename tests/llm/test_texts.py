@@ -224,6 +224,56 @@ def test_toxicity_counts_every_term(spark):
     assert model.judge("kind delta neverseen")[1][0][1] < model.judge("kind delta")[1][0][1]
 
 
+def test_toxicity_neighbours_by_brute_force(spark):
+    """The whole query against plain TF-IDF cosines over all terms of all examples."""
+    rnd = random.Random(5)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(80)]
+    rows = [(i, " ".join(rnd.choices(words[: 40 if i % 3 else 80], k=rnd.randint(1, 25))), None, None) for i in range(150)] + [(200, None, None, None), (201, "", None, None)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(100)] + [(5, 1, 1)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit_toxicity(docs, labels)
+    tags = {i: int(i % 3 == 0 or i == 5) for i in range(100)}
+    terms = {i: toxicity.text_terms(t) for i, t, *_ in rows}
+    own = set().union(*(terms[i] for i in tags))
+    frequency = {}
+    for found in terms.values():
+        for t in found:
+            frequency[t] = frequency.get(t, 0) + 1
+    zeros, ones = sum(v == 0 for v in tags.values()), sum(tags.values())
+
+    def weight(t, n):
+        out = (1 + np.log(n)) * (np.log((1 + len(rows)) / (1 + frequency[t])) + 1)
+        if t in own:
+            a, b = (sum(t in terms[i] for i, v in tags.items() if v == k) for k in (1, 0))
+            c, d = ones - a, zeros - b
+            out *= 1 + (zeros + ones) * (a * d - b * c) ** 2 / max(1, (a + b) * (c + d) * (a + c) * (b + d)) / 5
+        return out
+
+    vectors_ = {i: {t: weight(t, n) for t, n in found.items()} for i, found in terms.items()}
+    for v in vectors_.values():
+        norm = np.sqrt(sum(x * x for x in v.values()))
+        for t in v:
+            v[t] /= norm
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs, model).collect()}
+    for i, v in vectors_.items():
+        scores = sorted(((round(sum(x * vectors_[j].get(t, 0.0) for t, x in v.items()), 9), -j) for j in tags), reverse=True)[:3]
+        scores = [(s, j) for s, j in scores if s > 0]
+        assert [round(e.similarity, 9) for e in got[i].evidence] == pytest.approx([s for s, _ in scores], abs=2e-9)
+        assert all(e.label == tags[e.doc_id] for e in got[i].evidence)
+        assert 0 <= got[i].score <= 1
+
+
+def test_toxicity_held_out_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    rows = queries.op6_toxicity(spark, sf).join(labels, "doc_id").where("held_out").collect()
+    toxic = [r for r in rows if r.toxic == 1]
+    clean = [r for r in rows if r.toxic == 0]
+    assert np.mean([r.predicted for r in toxic]) >= 0.6
+    assert np.mean([r.predicted for r in clean]) <= 0.06
+    assert all(r.evidence for r in rows if r.score > 0.5)
+
+
 BASE = {
     "assign": r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
     "access": r"(AKIA[A-Z0-9]+)",
