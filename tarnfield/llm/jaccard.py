@@ -43,6 +43,8 @@ _SEVERAL = 0xFFFF
 _FEW_IDS = 1_000_000
 #: Rows that one task compares with the same row of the matrix, or multiplies in one block.
 _BLOCK = 512
+#: Partitions that the ranges are dealt to at most.
+_MOST_PARTITIONS = 1 << 14
 #: Set sizes within this factor are one band.
 _BAND = 1.04
 
@@ -213,7 +215,8 @@ def linkable_ids(rows: DataFrame, shingles: int, size: int, percent: int) -> Dat
     ``shingles`` is the sum of all set sizes. Hashes that agree in the bits sent count as shared, which only keeps more.
     """
     bits = min(24, max(4, math.ceil(math.log2(max(1, shingles / _RANGE)))))
-    sent = rows.mapInArrow(_send(size, bits), _SENT).repartition(max(8, 1 << bits), "part").sortWithinPartitions("part")
+    # A task goes through its ranges one after the other, so there may be more of them than Spark takes partitions.
+    sent = rows.mapInArrow(_send(size, bits), _SENT).repartition(min(1 << bits, _MOST_PARTITIONS), "part").sortWithinPartitions("part")
     told = sent.mapInArrow(_tell, _TOLD).repartition("chunk").sortWithinPartitions("chunk", F.col("ids").isNull())
     return told.mapInArrow(_decide(percent), "doc_id long").distinct()
 

@@ -3,7 +3,9 @@
 A word of the learned vocabulary scores by its relative frequency in each language. Any other word is read from
 left to right by the longest known character n-gram at each place, from ``MAX_ORDER`` characters down to one, and
 the steps' log frequencies are averaged and lowered by a fixed back-off cost. Texts that are null or have no letter
-are ``und`` with score 0; so is everything if no labelled row exists.
+are ``und`` with score 0; so is everything if no labelled row exists. Of languages with equal sums the first by name wins.
+Rows are independent, so repeated rows give repeated results (in training they count as often as they stand there); an
+empty table gives no rows, very long texts are read whole, and columns but the named ones are left alone.
 """
 
 from __future__ import annotations
