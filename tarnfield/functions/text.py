@@ -119,6 +119,11 @@ def utf16_length(x: Column) -> Column:
     return F.length(x) + F.regexp_count(x, F.lit(r"[\x{10000}-\x{10FFFF}]"))
 
 
+def code_unit_order(x: Column) -> Column:
+    """A key that sorts texts by UTF-16 units, as scripts do: characters beyond the basic plane before U+E000, not after U+FFFF."""
+    return F.encode(x, "UTF-16BE")
+
+
 def utf16_head(x: Column, limit: int) -> Column:
     """The first ``limit`` UTF-16 units; a pair cut in half becomes U+FFFD."""
     head = F.call_function("java_method", F.lit("org.apache.commons.lang3.StringUtils"), F.lit("left"), F.coalesce(x, F.lit("")), F.lit(limit))

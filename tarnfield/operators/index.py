@@ -120,7 +120,7 @@ def snapshot_token(pages: DataFrame, excluded: DataFrame | None = None, warnings
     """A digest of the pages, what was left out of them, and the warnings: equal before and after a search, or the corpus has drifted."""
     parts = [lexical.corpus_digest(pages, list(columns)).first()["digest"]]
     if excluded is not None:
-        parts.append(lexical.corpus_digest(excluded, excluded.columns, excluded.columns[0]).first()["digest"])
+        parts.append(lexical.corpus_digest(excluded, excluded.columns).first()["digest"])
     row = pages.sparkSession.range(1).select(prefixed_sha256(F.to_json(F.array(*map(F.lit, [*parts, *warnings]))))).first()
     return row[0]
 

@@ -115,12 +115,14 @@ def validated_pages(pages: DataFrame) -> DataFrame:
     return pages.withColumns({"source_refs": F.sort_array(refs), "problem": problem})
 
 
-def corpus_digest(pages: DataFrame, columns: list[str], page_id: str = "page_id", buckets: int = 4096) -> DataFrame:
+def corpus_digest(pages: DataFrame, columns: list[str]) -> DataFrame:
     """One row that names the corpus whatever its order: a digest of bucket digests, each over its rows' digests.
 
-    A bucket gathers the digests of about 1/``buckets`` of the rows, never their texts.
+    A bucket, of 4,096, gathers the digests of rows with the same first three digits, never their texts.
     """
-    own = pages.select(F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256).alias("d"), F.pmod(F.xxhash64(page_id), F.lit(buckets)).alias("b"))
-    parts = own.groupBy("b").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("d"))
+    own = pages.select(F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256).alias("d"))
+    # Repeated rows stay one entry with its number.
+    counted = own.groupBy("d").agg(F.count("*").alias("n"))
+    parts = counted.groupBy(F.substring("d", 1, 3).alias("b")).agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "d", "n"))), ""), 256).alias("d"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), "")
     return parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pages"), prefixed_sha256(joined).alias("digest"))

@@ -200,12 +200,17 @@ COMPARE_SQL = COMPARE_SQL.replace("h AS (SELECT qs", "hh AS (SELECT qs").replace
 
 
 def corpus_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.corpus_digest(table(spark, sf_dir, "documents"), ["doc_id", "text", "lang"], "doc_id")
+    return lexical.corpus_digest(table(spark, sf_dir, "documents"), ["doc_id", "text", "lang"])
 
 
+DIGEST_SQL = """
+WITH o AS (SELECT sha256(to_json({'doc_id': doc_id, 'text': text, 'lang': lang})::VARCHAR) AS d, count(*) AS n FROM documents GROUP BY 1),
+p AS (SELECT substr(d, 1, 3) AS b, sum(n) AS n, sha256(string_agg(d || ':' || n, '' ORDER BY d || ':' || n)) AS d FROM o GROUP BY 1)
+SELECT sum(n)::BIGINT AS pages, 'sha256:' || sha256(string_agg(d, '' ORDER BY b)) AS digest FROM p"""
+
 QUERIES = {f.__name__: f for f in (lexical_search, token_stats, hangul_ngrams, field_evidence, postings_sizes, batch_search, semantic_rank, hybrid_search, eval_metrics, eval_gates, eval_regression, candidate_compare, corpus_digest)}
 ORACLES = {
     "lexical_search": LEXICAL_SQL, "token_stats": TOKENS_SQL, "hangul_ngrams": HANGUL_SQL, "field_evidence": EVIDENCE_SQL, "postings_sizes": POSTINGS_SQL,
     "batch_search": BATCH_SQL, "semantic_rank": SEMANTIC_SQL, "hybrid_search": HYBRID_SQL, "eval_metrics": METRICS_SQL, "eval_gates": GATES_SQL,
-    "eval_regression": REGRESSION_SQL, "candidate_compare": COMPARE_SQL,
+    "eval_regression": REGRESSION_SQL, "candidate_compare": COMPARE_SQL, "corpus_digest": DIGEST_SQL,
 }

@@ -146,8 +146,13 @@ def corpus_permission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projection.corpus_denied(docs)
 
 
+FINGERPRINT_SQL = """
+WITH o AS (SELECT source, sha256(to_json({'doc_id': doc_id, 'lang': lang})::VARCHAR) AS d FROM documents),
+p AS (SELECT source, substr(d, 1, 3) AS b, count(*) AS n, sha256(string_agg(d, '' ORDER BY d)) AS d FROM o GROUP BY ALL)
+SELECT source, sum(n)::BIGINT AS entries, 'sha256:' || sha256(string_agg(d, '' ORDER BY b)) AS fingerprint FROM p GROUP BY source"""
+
 # A text with a finding in the screening queries' own SQL is one here; those rows' samples and conversations are left out.
 PERMISSION_SQL = screening_queries._FINDINGS + "SELECT (SELECT count(*) FROM documents) AS pages, count(DISTINCT key) AS found, count(DISTINCT key) > 0 AS denied FROM f WHERE n > 0 AND starts_with(key, 'd-')"
 
 QUERIES = {f.__name__: f for f in (index_size, word_only_search, evaluation_report, sync_summary, plan_fingerprints, completeness, recorded_hashes, page_union_problems, corpus_permission)}
-ORACLES = {"index_size": INDEX_SQL, "word_only_search": WORD_ONLY_SQL, "evaluation_report": REPORT_SQL, "sync_summary": SYNC_SQL, "completeness": COMPLETE_SQL, "recorded_hashes": HASH_SQL, "page_union_problems": UNION_SQL, "corpus_permission": PERMISSION_SQL}
+ORACLES = {"index_size": INDEX_SQL, "word_only_search": WORD_ONLY_SQL, "evaluation_report": REPORT_SQL, "sync_summary": SYNC_SQL, "completeness": COMPLETE_SQL, "recorded_hashes": HASH_SQL, "page_union_problems": UNION_SQL, "corpus_permission": PERMISSION_SQL, "plan_fingerprints": FINGERPRINT_SQL}

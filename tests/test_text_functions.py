@@ -75,3 +75,9 @@ def test_rendering(spark):
     frame = spark.createDataFrame([(["x", "y"], {"b": "2", "a": "1"})], "l array<string>, m map<string,string>")
     row = frame.select(T.bullets(F.col("l")), T.record_line(F.col("m")), T.document_text(F.lit("T"), T.section("S", F.lit("b")), T.section("E", F.lit("")))).first()
     assert tuple(row) == ("- x\n- y", "a: 1; b: 2", "# T\n\n## S\n\nb")
+
+
+def test_code_unit_order(spark):
+    rows = ["￿", "\U0001f600", "a", "", "", "ab"]
+    got = [r.x for r in spark.createDataFrame([(x,) for x in rows], "x string").orderBy(T.code_unit_order(F.col("x"))).collect()]
+    assert got == sorted(rows, key=lambda x: x.encode("utf-16-be"))
