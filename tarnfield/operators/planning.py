@@ -1,6 +1,7 @@
 """Validators of planning artifacts given as JSON text, and the state of a profile against what is stored.
 
 Each validator is a column expression over a parsed variant: null for a good artifact, or a word for what is wrong.
+``schema`` is the schema_version that the artifact must state.
 """
 
 from __future__ import annotations
@@ -82,12 +83,12 @@ def _view(x: Column, keys: tuple[str, ...], texts: tuple[str, ...] = ()) -> Colu
     return _all(_exact(x, keys), *((_kind(_get(x, k)) == "STRING") if k in texts else _texts(_get(x, k)) for k in keys))
 
 
-def spec_problem(text: Column, project: Column) -> Column:
+def spec_problem(text: Column, project: Column, schema: str) -> Column:
     """keys, not-eligible (schema, project, approval, intake digest, lists, or open decisions left) or view."""
     x = F.try_parse_json(text)
     lists = [_items(_get(x, k)).isNotNull() for k in ("clarifying_question_disposition", "evidence", "open_decisions")]
     eligible = _all(
-        _text(_get(x, "schema_version")) == "p2a.spec.v1", _text(_get(x, "project_id")) == project, _text(_get(x, "approval")) == "approved", _kind(_get(x, "source_intake")) == "STRING",
+        _text(_get(x, "schema_version")) == schema, _text(_get(x, "project_id")) == project, _text(_get(x, "approval")) == "approved", _kind(_get(x, "source_intake")) == "STRING",
         _text(_get(x, "source_intake_sha256")).rlike(r"\A[a-f0-9]{64}\z"), *lists, F.size(_items(_get(x, "open_decisions"))) == 0,
     )
     views = _view(_get(x, "implementation"), IMPLEMENTATION_KEYS) & _view(_get(x, "product"), PRODUCT_KEYS, ("problem",))
@@ -127,10 +128,10 @@ def _evidence(x: Column) -> Column:
     return _all(_exact(x, ("source_id", "title", "url", "used_for")), _text(_get(x, "source_id")).rlike(r"\A(?:WEB|USER|LOCAL)-[0-9]+\z"), _filled(_get(x, "title")), _kind(_get(x, "url")) == "STRING", _filled(_get(x, "used_for")))
 
 
-def intake_problem(text: Column) -> Column:
+def intake_problem(text: Column, schema: str) -> Column:
     """keys, or the first part that is wrong: schema, facts, assumptions, questions, decisions, status or evidence."""
     x = F.try_parse_json(text)
-    head = _all(_text(_get(x, "schema_version")) == "p2a.intake.v1", _filled(_get(x, "idea")), _filled(_get(x, "summary")))
+    head = _all(_text(_get(x, "schema_version")) == schema, _filled(_get(x, "idea")), _filled(_get(x, "summary")))
     status = F.coalesce(_text(_get(x, "status")).isin("blocked_on_user", "ready_for_spec"), F.lit(False))
     return (
         F.when(~_allowed(x, INTAKE_KEYS), "keys").when(~head, "schema").when(~_texts(_get(x, "known_facts")), "facts").when(~_each(_get(x, "assumptions"), _assumption), "assumptions")
@@ -138,15 +139,15 @@ def intake_problem(text: Column) -> Column:
     )
 
 
-def current_spec_problem(text: Column, project: Column) -> Column:
+def current_spec_problem(text: Column, project: Column, schema: str) -> Column:
     x = F.try_parse_json(text)
-    good = _all(_text(_get(x, "schema_version")) == "p2a.current_spec.v1", _text(_get(x, "project_id")) == project, _items(_get(x, "closed_iterations")).isNotNull())
+    good = _all(_text(_get(x, "schema_version")) == schema, _text(_get(x, "project_id")) == project, _items(_get(x, "closed_iterations")).isNotNull())
     return F.when(~_allowed(x, CURRENT_SPEC_KEYS), "keys").when(~good, "schema")
 
 
-def iteration_problem(text: Column, project: Column, iteration: Column) -> Column:
+def iteration_problem(text: Column, project: Column, iteration: Column, schema: str) -> Column:
     x = F.try_parse_json(text)
-    good = _all(_text(_get(x, "schema_version")) == "p2a.iteration_metadata.v1", _text(_get(x, "project_id")) == project, _text(_get(x, "iteration_id")) == iteration, _absent_or(_get(x, "idea"), _filled(_get(x, "idea"))))
+    good = _all(_text(_get(x, "schema_version")) == schema, _text(_get(x, "project_id")) == project, _text(_get(x, "iteration_id")) == iteration, _absent_or(_get(x, "idea"), _filled(_get(x, "idea"))))
     return F.when(~_allowed(x, ITERATION_KEYS), "keys").when(~good, "schema")
 
 

@@ -62,8 +62,9 @@ def source_identity(source: Column, kind: Column, project: Column, repository: s
     return F.when(F.coalesce(common & (planning | execution), F.lit(False)), fields)
 
 
-def contract_digest(task: Column) -> Column:
-    """SHA-256 of a task given as JSON text, in canonical form and without its status, blockReason and blockNote; null if it is no JSON object."""
+def contract_digest(task: Column, schema: str) -> Column:
+    """SHA-256 of a task given as JSON text, in canonical form, under its ``schema`` and without its status, blockReason and
+    blockNote; null if it is no JSON object."""
 
     @F.pandas_udf(T.StringType())
     def contract(rows):
@@ -77,7 +78,7 @@ def contract_digest(task: Column) -> Column:
             if not isinstance(found, dict):
                 return None
             kept = {k: v for k, v in found.items() if k not in ("status", "blockReason", "blockNote")}
-            return json.dumps({"schema_version": "p2a.task_contract.v1", "task": kept})
+            return json.dumps({"schema_version": schema, "task": kept})
 
         return rows.map(one)
 
@@ -90,10 +91,11 @@ _INDEX = T.StructType([T.StructField("projectId", T.StringType()), T.StructField
 _MOST_RUNS = 10_000
 
 
-def run_index(indexes: DataFrame, text: str, project: str) -> DataFrame:
+def run_index(indexes: DataFrame, text: str, project: str, schema: str) -> DataFrame:
     """``indexes`` with ``decoded`` (the index, null if refused) and ``problem``: unsupported_schema, project_mismatch or run_reference_invalid.
 
-    ``text``: the index as JSON; ``project``: the column of the expected project id. Objects must have exactly their keys.
+    ``text``: the index as JSON; ``project``: the column of the expected project id; ``schema``: the schema_version it must
+    state. Objects must have exactly their keys.
     """
     source, found = F.col(text), F.from_json(F.col(text), _INDEX)
     keys = lambda x, names: F.array_sort(F.json_object_keys(x)) == F.array(*map(F.lit, sorted(names)))
@@ -109,7 +111,7 @@ def run_index(indexes: DataFrame, text: str, project: str) -> DataFrame:
     good_task = lambda t: F.coalesce(task_id(t["taskId"]) & F.forall(t["runIds"], lambda x: F.coalesce(run_id(x), F.lit(False))) & (t["latestRunId"].isNull() | run_id(t["latestRunId"])), F.lit(False))
     ids = F.transform("_x.runs", lambda r: r["runId"])
     rows = indexes.withColumns({"_x": found, "_runs": raw("$.runs"), "_tasks": raw("$.tasks")})
-    shape = F.coalesce(keys(source, _INDEX.names) & (F.col("_x.schema_version") == "p2a.run_index.v1"), F.lit(False))
+    shape = F.coalesce(keys(source, _INDEX.names) & (F.col("_x.schema_version") == schema), F.lit(False))
     entries = F.coalesce(
         (F.size("_x.runs") <= _MOST_RUNS) & (F.size("_x.tasks") <= _MOST_RUNS) & F.forall("_runs", lambda r: F.coalesce(keys(r, _RUN.names), F.lit(False))) & F.forall("_x.runs", good_run)
         & (F.size(F.array_distinct(ids)) == F.size(ids)) & F.forall("_tasks", lambda t: F.coalesce(keys(t, _TASK.names), F.lit(False))) & F.forall("_x.tasks", good_task), F.lit(False),

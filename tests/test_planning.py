@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from tarnfield.operators import planning
 
 SPEC = {
-    "schema_version": "p2a.spec.v1", "project_id": "p", "approval": "approved", "source_intake": "i", "source_intake_sha256": "a" * 64, "clarifying_question_disposition": [], "evidence": [], "open_decisions": [],
+    "schema_version": "app.spec.v1", "project_id": "p", "approval": "approved", "source_intake": "i", "source_intake_sha256": "a" * 64, "clarifying_question_disposition": [], "evidence": [], "open_decisions": [],
     "implementation": {k: ["x"] for k in planning.IMPLEMENTATION_KEYS}, "product": {k: [] for k in planning.PRODUCT_KEYS} | {"problem": "why"},
 }
 DECISION = {"id": "ND-1", "question": "q", "options": [{"id": "a", "label": "l", "description": "d"}] * 2, "impact": "i", "default": "d", "status": "open"}
 INTAKE = {
-    "schema_version": "p2a.intake.v1", "idea": "i", "summary": "s", "known_facts": ["f"], "assumptions": [{"id": "A-1", "statement": "s", "risk": "low", "confirmation_needed": False}],
+    "schema_version": "app.intake.v1", "idea": "i", "summary": "s", "known_facts": ["f"], "assumptions": [{"id": "A-1", "statement": "s", "risk": "low", "confirmation_needed": False}],
     "clarifying_questions": [{"id": "CQ-1", "question": "q", "why_it_matters": "w", "blocks": []}], "needs_user_decision": [DECISION], "status": "ready_for_spec", "evidence": [{"source_id": "WEB-1", "title": "t", "url": "", "used_for": "u"}],
 }
 
@@ -23,7 +23,7 @@ def problems(spark, rule, *texts):
 
 
 def test_specs(spark):
-    rule = lambda t: planning.spec_problem(t, F.lit("p"))
+    rule = lambda t: planning.spec_problem(t, F.lit("p"), "app.spec.v1")
     got = problems(
         spark, rule, SPEC, SPEC | {"extra": 1}, SPEC | {"project_id": "q"}, SPEC | {"approval": "draft"}, SPEC | {"open_decisions": [1]}, SPEC | {"source_intake_sha256": "A" * 64}, SPEC | {"evidence": {}},
         SPEC | {"product": SPEC["product"] | {"problem": ["x"]}}, SPEC | {"product": SPEC["product"] | {"goals": [1]}}, SPEC | {"implementation": {}}, "[]", "{",
@@ -40,14 +40,14 @@ def test_specs(spark):
     ({"status": "done"}, "status"), ({"evidence": [INTAKE["evidence"][0] | {"source_id": "X-1"}]}, "evidence"), ({"evidence": []}, None),
 ])
 def test_intakes(spark, change, problem):
-    assert problems(spark, planning.intake_problem, INTAKE | change) == [problem]
+    assert problems(spark, lambda t: planning.intake_problem(t, "app.intake.v1"), INTAKE | change) == [problem]
 
 
 def test_other_artifacts(spark):
-    current = {"schema_version": "p2a.current_spec.v1", "project_id": "p", "closed_iterations": []}
-    assert problems(spark, lambda t: planning.current_spec_problem(t, F.lit("p")), current, current | {"closed_iterations": None}, current | {"x": 1}) == [None, "schema", "keys"]
-    iteration = {"schema_version": "p2a.iteration_metadata.v1", "project_id": "p", "iteration_id": "i"}
-    rule = lambda t: planning.iteration_problem(t, F.lit("p"), F.lit("i"))
+    current = {"schema_version": "app.current_spec.v1", "project_id": "p", "closed_iterations": []}
+    assert problems(spark, lambda t: planning.current_spec_problem(t, F.lit("p"), "app.current_spec.v1"), current, current | {"closed_iterations": None}, current | {"x": 1}) == [None, "schema", "keys"]
+    iteration = {"schema_version": "app.iteration_metadata.v1", "project_id": "p", "iteration_id": "i"}
+    rule = lambda t: planning.iteration_problem(t, F.lit("p"), F.lit("i"), "app.iteration_metadata.v1")
     assert problems(spark, rule, iteration, iteration | {"idea": ""}, iteration | {"iteration_id": "j"}, iteration | {"x": 1}) == [None, "schema", "schema", "keys"]
     assert problems(spark, planning.closed_iteration_problem, {"status": 1}, {"x": 1}, {}) == [None, "keys", None]
     counts = {"blocked": 0, "done": 3, "in_progress": 0, "todo": 1}

@@ -131,9 +131,9 @@ def test_source_identities(spark):
 
 def test_task_contracts(spark):
     task = {"id": "task-1", "title": "ä", "status": "open", "blockNote": "x", "deps": [{"b": 1, "a": None}]}
-    expected = hashlib.sha256('{"schema_version":"p2a.task_contract.v1","task":{"deps":[{"a":null,"b":1}],"id":"task-1","title":"ä"}}'.encode()).hexdigest()
+    expected = hashlib.sha256('{"schema_version":"app.task_contract.v1","task":{"deps":[{"a":null,"b":1}],"id":"task-1","title":"ä"}}'.encode()).hexdigest()
     rows = [(json.dumps(task),), (json.dumps(task | {"status": "done", "blockReason": "y"}),), ("[1]",), ("{",), (None,)]
-    got = [r.d for r in spark.createDataFrame(rows, "t string").select(projection.contract_digest(F.col("t")).alias("d")).collect()]
+    got = [r.d for r in spark.createDataFrame(rows, "t string").select(projection.contract_digest(F.col("t"), "app.task_contract.v1").alias("d")).collect()]
     assert got == [expected, expected, None, None, None]
 
 
@@ -143,7 +143,7 @@ def run(**changes):
 
 def test_run_indexes(spark):
     task = {"latestRunId": None, "runIds": ["run-1"], "taskId": "task-1"}
-    whole = lambda runs, tasks=(task,), **more: json.dumps({"projectId": "p", "schema_version": "p2a.run_index.v1", "runs": list(runs), "tasks": list(tasks)} | more)
+    whole = lambda runs, tasks=(task,), **more: json.dumps({"projectId": "p", "schema_version": "app.run_index.v1", "runs": list(runs), "tasks": list(tasks)} | more)
     cases = [
         (whole([run()]), None), (whole([]), None), (whole([run(), run(runId="run-2", runRef="run-2.json")]), None), (whole([run(finishedAt="2024-01-02T00:00:00+01:00", status="finished")]), None),
         ("{", "unsupported_schema"), (whole([], schema_version="v2"), "unsupported_schema"), (whole([], extra=1), "unsupported_schema"), (whole([run()], projectId="q"), "project_mismatch"),
@@ -152,7 +152,7 @@ def test_run_indexes(spark):
         (whole([], [task | {"latestRunId": "x"}]), "run_reference_invalid"), (whole([], [task | {"runIds": ["x"]}]), "run_reference_invalid"), (whole([], [{"taskId": "task-1"}]), "run_reference_invalid"),
     ]
     frame = spark.createDataFrame([(i, t, "p") for i, (t, _) in enumerate(cases)], "n int, t string, p string")
-    got = projection.run_index(frame, "t", "p").orderBy("n").collect()
+    got = projection.run_index(frame, "t", "p", "app.run_index.v1").orderBy("n").collect()
     assert [r.problem for r in got] == [p for _, p in cases]
     assert [r.decoded is None for r in got] == [p is not None for _, p in cases]
     assert got[2].decoded.runs[1].runId == "run-2"
