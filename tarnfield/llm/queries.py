@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfield.llm import decontaminate, html, jaccard, langid, pieces, quality, secrets, toxicity, vectors, warc
+from tarnfield.llm import codes, decontaminate, fim, html, jaccard, langid, linededup, pieces, quality, secrets, toxicity, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,8 +56,20 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(secrets.scan_secrets(docs, secrets.fit_markov(docs)))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_digest(_table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.middle_digest(fim.fill_in_middle(_table(spark, sf_dir, "documents")))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.codes_query(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_text, op2_merkle_fixity, op3_language_id, op4_neighbours, op5_quality, op6_toxicity, op7_ngram_jaccard, op8_decontamination, op9_pieces, op10_secrets)}
+    return {f.__name__: f for f in (op1_html_text, op2_merkle_fixity, op3_language_id, op4_neighbours, op5_quality, op6_toxicity, op7_ngram_jaccard, op8_decontamination, op9_pieces, op10_secrets, op11_line_dedup, op12_fill_in_middle, op13_vector_codes)}
 
 
 _LOW = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -94,6 +106,45 @@ SELECT w.doc_id, len(w.w) AS n_words, coalesce(p.n, 0) AS n_hit, coalesce(t.n, 0
 FROM w LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)"""
 
 
+OP11_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+u AS (SELECT row, doc_id, unnest(l) AS line, unnest(range(len(l))) AS pos FROM d),
+k AS (SELECT *, {_LOW.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM u),
+f AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+m AS (SELECT k.*, coalesce(f.last <> k.doc_id, false) AS gone FROM k LEFT JOIN f USING (key))
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY row"""
+
+OP12_SQL = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') AS u, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+s AS (SELECT *, len(u) AS n, ('0x' || h[1:8])::UBIGINT AS h1, ('0x' || h[9:16])::UBIGINT AS h2, ('0x' || h[17:24])::UBIGINT AS h3, ('0x' || h[25:32])::UBIGINT AS h4 FROM t),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM s),
+p AS (SELECT *, array_to_string(u[1:a], '') AS x, array_to_string(u[a + 1:b], '') AS y, array_to_string(u[b + 1:n], '') AS z FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(x) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(y) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y ELSE '<S>' || z || '<P>' || x || '<M>' || y END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+
+def _op13_sql(rounds: int = 4, entries: int = 256, parts: int = 4) -> str:
+    """Lloyd's rounds written out one after the other over all pairs of parts and entries."""
+    steps = [
+        "k AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS q FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"p AS (SELECT vec_id, label, part, q[part * (len(q) // {parts}) + 1 : (part + 1) * (len(q) // {parts})] AS v FROM k, (SELECT unnest(range({parts})) AS part))",
+        f"b0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, v AS c FROM p QUALIFY entry < {entries})",
+    ]
+    for i in range(rounds + 1):
+        distance = "list_inner_product(v, v) - 2 * list_inner_product(v, c) + list_inner_product(c, c)"
+        steps.append(f"a{i} AS (SELECT vec_id, part, any_value(v) AS v, min_by(entry, (d, entry)) AS entry, min(d) AS d FROM (SELECT vec_id, part, v, entry, {distance} AS d FROM p JOIN b{i} USING (part)) GROUP BY vec_id, part)")
+        if i < rounds:
+            means = f"SELECT part, entry, place, floor(sum(x) / count(*)) AS m FROM (SELECT part, entry, unnest(v) AS x, unnest(range(len(v))) AS place FROM a{i}) GROUP BY ALL"
+            steps.append(f"b{i + 1} AS (SELECT part, entry, coalesce(n.c, b.c) AS c FROM b{i} b LEFT JOIN (SELECT part, entry, list(m ORDER BY place) AS c FROM ({means}) GROUP BY ALL) n USING (part, entry))")
+    steps.append(f"e AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id)")
+    steps.append(f"h AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: x::BIGINT), ','), ',' ORDER BY part, entry)) AS h FROM b{rounds})")
+    return "WITH " + ",\n".join(steps) + "\nSELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256 FROM e JOIN k USING (vec_id), h"
+
+
+OP13_SQL = _op13_sql()
+
+
 def oracle_sql() -> dict[str, str]:
     """The other queries are fitted models, rules over markup or approximate searches: they are tested otherwise."""
-    return {"op2_merkle_fixity": OP2_SQL, "op7_ngram_jaccard": OP7_SQL, "op8_decontamination": OP8_SQL}
+    return {"op2_merkle_fixity": OP2_SQL, "op7_ngram_jaccard": OP7_SQL, "op8_decontamination": OP8_SQL, "op11_line_dedup": OP11_SQL, "op12_fill_in_middle": OP12_SQL, "op13_vector_codes": OP13_SQL}
