@@ -1,15 +1,18 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words, their openings of four and six letters, and openings shared by several words of a text. All terms of the
-labelled sample count, whatever label they speak for; chi-square against the label only raises a term's weight by the
-factor 1 + chi2 / 5. Document frequencies are counted over all documents. Examples lie in blocks, sorted by their heaviest terms, and each term keeps its largest weight in each
-block. A query sums those maxima to a bound for each block, visits blocks in falling order of it and ends where no block
-left can reach the k-th best cosine, so the neighbours are exactly those of a full comparison. Their votes, weighted by
-similarity and by how much of its class an example stands for, are turned into a probability by an isotonic curve
-learned on the examples themselves, each left out of its own vote.
+Terms are words, their openings of four and six letters, and openings shared by several words of a text. A text's vector has
+all its terms: idf is that of the indexed examples, so a term of no example has a known frequency, 0, and counts in the
+vector's length like any other. Examples lie in blocks, sorted by their heaviest terms, and each term keeps its largest
+weight in each block. Queries come in batches: a sparse product with those maxima bounds every block for every query, the few
+best blocks are worked out first, and then all others whose bound reaches the k-th best cosine so far, so the neighbours are exactly
+those of a full comparison. A neighbour's vote counts by the squared cosine of the same two texts with terms that speak for a label
+raised, by 1 + chi2 / 5 if their chi-square is significant, and by how many labelled rows of its class it stands for: chi-square decides who
+is heard among the nearest, not who is near. Votes are turned into a probability by an isotonic curve learned on the examples
+themselves, each left out of its own vote.
 
 Null and empty texts, and texts that share no term with an example, get the share of label 1 among examples without a term,
-0 if there are none. With no labelled row the score is 0. Rows are independent, so repeated rows give repeated results.
+0 if there are none. With no labelled row the score is 0. Rows are independent, so repeated rows give repeated results and an empty
+table gives none; very long texts are read whole. Equal cosines go to the smaller id. Only the id and the text are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -17,7 +20,6 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 from itertools import chain
@@ -31,13 +33,13 @@ from tarnfield.llm.textkit import bounded_sample, fold_rule, small_batches
 
 _WORD = re.compile(r"[^\W\d_]+")
 _MEMO = 100_000
+#: Queries that are searched at once.
+BATCH = 64
 #: Blocks that are read before the bound of the others is looked at.
-_AHEAD = 4
-#: A term that one row in so many has is dense.
-_DENSE = 24
-_MOST_DENSE = 64
-#: Buckets for the document frequency of terms that no example has.
-OTHERS = 1 << 20
+_AHEAD = 6
+#: A term that one row in so many has lies in an array of all rows, for the most frequent ``_MOST_DENSE``; the rest in postings.
+_DENSE = 64
+_MOST_DENSE = 256
 Vector = tuple[Sequence[int], Sequence[float]]
 
 
@@ -56,77 +58,117 @@ def text_terms(text: str | None) -> Counter:
     return out
 
 
-class Terms:
-    """The terms of the examples, their idf and factor, and text to vector of unit length.
+class _Rows:
+    """Rows of three numbers, added one by one and read many at once."""
+
+    def __init__(self):
+        self.n, self._new, self._rows = 0, [], np.zeros((1024, 3), np.int64)
+
+    def add(self, row: tuple[int, int, int]) -> int:
+        self._new.append(row)
+        self.n += 1
+        return self.n - 1
+
+    def read(self, at: Sequence[int]) -> np.ndarray:
+        if self._new:
+            while self.n > len(self._rows):
+                self._rows = np.concatenate((self._rows, np.zeros_like(self._rows)))
+            self._rows[self.n - len(self._new) : self.n] = self._new
+            self._new.clear()
+        return self._rows[at]
 
-    A term of no example meets none in a product, but it counts in the length of a text's vector: with factor 1, and with
-    the documents of its crc32 bucket (``other``, counted over all documents) as its frequency.
-    """
 
-    def __init__(self, terms: list[str], documents: int, frequency: dict[str, int], factor: list[float] | None = None, other: np.ndarray | None = None):
+class Terms:
+    """The terms of the examples with their idf and factors, and text to vectors of unit length."""
+
+    def __init__(self, terms: list[str], examples: int, frequency: Sequence[int], factor: Sequence[float]):
         self.number = {t: i for i, t in enumerate(terms)}
-        factors = factor if factor is not None else [1.0] * len(terms)
-        self.own = np.array([(math.log((1 + documents) / (1 + frequency.get(t, 0))) + 1) * f for t, f in zip(terms, factors, strict=True)], np.float64)
-        self.square = None if other is None else (np.log((1 + documents) / (1 + other)) + 1) ** 2
-        self._memo: dict[str, tuple[int, tuple[str, ...]]] = {}
-        self._places: dict[str, tuple[int, int, int]] = {}
-
-    def counts(self, text: str | None) -> Counter:
-        """What ``text_terms`` gives for the terms of the examples, by their numbers."""
-        return Counter(self.numbered(text, False))
-
-    def numbered(self, text: str | None, others: bool = True) -> dict[int, int]:
-        """Term numbers to times; with ``others`` a term of no example has the number -1 - bucket, its times added up."""
-        out: dict[int, int] = {}
-        if not text:
-            return out
-        memo, places = self._memo, self._places
-        if len(memo) > _MEMO:
-            memo.clear()
-            places.clear()
-        found = Counter(_WORD.findall(text.lower()))
-        known = [memo.get(word) or self._remember(word) for word in found]
-        for (at, _), n in zip(known, found.values(), strict=True):
-            out[at] = out[at] + n if at < 0 and at in out else n
-        for opening, n in Counter(chain.from_iterable(o for _, o in known)).items():
-            at = places[opening]
-            out[at[0]] = out[at[0]] + n if at[0] < 0 and at[0] in out else n
-            for more in at[1:n]:
-                out[more] = out[more] + 1 if more < 0 and more in out else 1
-        return out if others else {at: n for at, n in out.items() if at >= 0}
-
-    def _remember(self, word: str) -> tuple[int, tuple[str, ...]]:
-        own = self._memo[word] = self._place(word), openings(word)
-        for o in own[1]:
-            if o not in self._places:
-                self._places[o] = self._place(o), self._place(o + "2"), self._place(o + "3")
+        self.idf = np.log((1 + examples) / (1 + np.asarray(frequency, np.float64))) + 1
+        self.factor = np.asarray(factor, np.float64)
+        #: Of a term that no example has.
+        self.other = math.log(1 + examples) + 1
+        self._reset()
+
+    def _reset(self) -> None:
+        # Each term met gets a number, those of no example beyond the examples' own.
+        self._met, self._memo, self._places = len(self.number), {}, {}
+        # By word met: its number and the places of its openings, -1 for none. By place: the numbers of the opening and its levels.
+        self._words, self._openings = _Rows(), _Rows()
+
+    def _fresh(self, n: int) -> tuple[int, ...]:
+        self._met += n
+        return tuple(range(self._met - n, self._met))
+
+    def _remember(self, word: str) -> int:
+        number, where = self.number.get, []
+        for o in openings(word):
+            place = self._places.get(o)
+            if place is None:
+                base = number(o)
+                # Where no example has the opening, none has it more than once.
+                row = self._fresh(3) if base is None else (base, *(self._fresh(1)[0] if x is None else x for x in (number(o + "2"), number(o + "3"))))
+                place = self._places[o] = self._openings.add(row)
+            where.append(place)
+        base = number(word)
+        own = self._memo[word] = self._words.add((self._fresh(1)[0] if base is None else base, *where, *(-1,) * (2 - len(where))))
         return own
 
-    def _place(self, term: str) -> int:
-        at = self.number.get(term)
-        return -1 - zlib.crc32(term.encode("utf-8", "surrogatepass")) % OTHERS if at is None else at
-
-    def vector(self, text: str | None) -> Vector:
-        counts = self.numbered(text, self.square is not None)
-        if not counts:
-            return (), ()
-        at = np.fromiter(counts.keys(), np.int64, len(counts))
-        times = 1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))
+    def numbered(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and times of the text's terms, as ``text_terms`` has them; equal numbers are equal terms within one text."""
+        if not text:
+            return np.zeros(0, np.int64), np.zeros(0)
+        if len(self._memo) > _MEMO:
+            self._reset()
+        found, memo = Counter(_WORD.findall(text.lower())), self._memo
+        rows = [memo[w] if w in memo else self._remember(w) for w in found]
+        words = self._words.read(rows)
+        opened, times = np.unique(words[:, 1:], return_counts=True)
+        times = times[opened >= 0]
+        levels = self._openings.read(opened[opened >= 0])
+        two, three = levels[times > 1, 1], levels[times > 2, 2]
+        at = np.concatenate((words[:, 0], levels[:, 0], two, three))
+        return at, np.concatenate((np.fromiter(found.values(), np.float64, len(rows)), times, np.ones(len(two) + len(three))))
+
+    def vectors(self, text: str | None) -> tuple[Vector, Vector]:
+        """The text's plain vector of unit length on the terms of the examples, and what the factors add.
+
+        Lengths are over all terms. The second has the terms with a factor, each weight times sqrt(factor^2 - 1), and is
+        divided by the length with factors; its first entry, under -1, is the ratio of the plain length to that.
+        """
+        at, times = self.numbered(text)
+        weight = 1 + np.log(times)
+        mine = at < len(self.number)
+        rest = float((weight[~mine] ** 2).sum()) * self.other**2
+        at, weight = at[mine], weight[mine]
         order = np.argsort(at)
-        at, times = at[order], times[order]
-        first = int(np.searchsorted(at, 0))
-        weights = times[first:] * self.own[at[first:]]
-        rest = float((times[:first] ** 2 * self.square[-1 - at[:first]]).sum()) if first else 0.0
-        return at[first:], weights / math.sqrt(float((weights * weights).sum()) + rest)
+        at, weight = at[order], weight[order] * self.idf[at[order]]
+        length = math.sqrt(float((weight * weight).sum()) + rest) or 1.0
+        more = self.factor[at] > 1
+        raised = weight[more] * np.sqrt(self.factor[at[more]] ** 2 - 1)
+        long = math.sqrt(length * length + float((raised * raised).sum()))
+        return (at, weight / length), (np.append(-1, at[more]), np.append(length, raised) / long)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_memo": {}, "_places": {}}
+        return {k: v for k, v in self.__dict__.items() if k[0] != "_"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        self._reset()
+
+
+def _entries(first: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the entries of the keys lie, one key after the other, and the number of entries of each."""
+    begin = first[keys]
+    sizes = first[keys + 1] - begin
+    ends = np.cumsum(sizes)
+    return np.repeat(begin - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0), sizes
 
 
 class BlockMaxIndex:
     """Postings of unit vectors in blocks of rows, with each term's largest weight in each block.
 
-    The terms that at least one row in ``_DENSE`` has, ``_MOST_DENSE`` of them at most, have an array of all rows in place of postings.
+    The most frequent terms have an array of all rows in place of postings. ``pairs`` and ``scored`` count the pairs of query
+    and block met so far and those of them that were worked out.
     """
 
     def __init__(self, vectors: list[Vector], terms: int, block: int = 64):
@@ -137,77 +179,84 @@ class BlockMaxIndex:
         often = np.bincount(term, minlength=terms)
         common = [tuple(sorted((-int(often[t]), int(t)) for t in v[0])[:3]) for v in vectors]
         self.rows = np.array(sorted(range(len(vectors)), key=lambda i: (common[i], i)), np.int64)
-        self.block, self.blocks = block, -(-len(vectors) // block)
+        self.block, self.blocks, self.terms = block, -(-len(vectors) // block), terms
+        self.pairs = self.scored = 0
         place = np.empty(len(vectors), np.int64)
         place[self.rows] = np.arange(len(vectors))
         place = place[rows]
-        often = np.where(often * _DENSE >= max(len(vectors), _DENSE * block), often, 0)
+        often = np.where(often * _DENSE >= max(len(vectors), _DENSE), often, 0)
         many = np.sort(np.argsort(-often, kind="stable")[: min(_MOST_DENSE, np.count_nonzero(often))])
         self.dense_row = np.full(terms, -1, np.int64)
         self.dense_row[many] = np.arange(len(many))
         heavy = self.dense_row[term] >= 0
-        self.dense = np.zeros((self.blocks * block, len(many)))
-        self.dense[place[heavy], self.dense_row[term[heavy]]] = weight[heavy]
-        self.dense_most = self.dense.reshape(self.blocks, block, len(many)).max(axis=1)
+        self.dense = np.zeros((self.blocks, block, len(many)))
+        self.dense[place[heavy] // block, place[heavy] % block, self.dense_row[term[heavy]]] = weight[heavy]
+        self.dense_most = self.dense.max(axis=1)
         term, place, weight = term[~heavy], place[~heavy], weight[~heavy]
         order = np.lexsort((place, term))
-        term, self.places, self.weights = term[order], place[order], weight[order]
+        term, place, self.weights = term[order], place[order], weight[order]
+        self.inner = place % block
         # A group is the postings of one term in one block.
-        at = np.flatnonzero(np.diff(term * self.blocks + self.places // block, prepend=-1))
+        at = np.flatnonzero(np.diff(term * self.blocks + place // block, prepend=-1))
         self.most = np.maximum.reduceat(self.weights, at) if len(at) else self.weights
-        self.where = self.places[at] // block
+        self.where = place[at] // block
         self.first = np.append(at, len(term))
         self.first_group = np.searchsorted(term[at], np.arange(terms + 1))
 
-    @staticmethod
-    def _entries(first: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the entries of the keys lie, one key after the other, and the number of entries of each."""
-        begin = first[keys]
-        sizes = first[keys + 1] - begin
-        ends = np.cumsum(sizes)
-        return np.repeat(begin - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0), sizes
-
     def nearest(self, query: Vector, k: int, without: int = -1) -> list[tuple[float, int]]:
-        """(cosine, row) of the k nearest with a cosine above zero, nearest first, ties to the smaller row."""
-        terms, own = np.asarray(query[0], np.int64), np.asarray(query[1], np.float64)
+        return self.nearest_many([query], k, [without])[0]
+
+    def nearest_many(self, queries: list[Vector], k: int, without: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """Of each query: (cosine, row) of the k nearest with a cosine above zero, nearest first, ties to the smaller row."""
+        n = len(queries)
+        query = np.repeat(np.arange(n), [len(q[0]) for q in queries])
+        terms = np.concatenate([np.asarray(q[0], np.int64) for q in queries])
+        own = np.concatenate([np.asarray(q[1], np.float64) for q in queries])
         at = self.dense_row[terms]
         rare = at < 0
-        dense = np.zeros(self.dense.shape[1])
-        dense[at[~rare]] = own[~rare]
-        groups, sizes = self._entries(self.first_group, terms[rare])
-        own, where = np.repeat(own[rare], sizes), self.where[groups]
-        dense_bound = self.dense_most @ dense
-        bound = np.bincount(where, own * self.most[groups], self.blocks) + dense_bound
-        # The few best blocks first; the k-th best cosine among them decides which others can still matter.
-        open_blocks = bound > 0
-        ahead = open_blocks.copy()
+        dense = np.zeros((n, self.dense.shape[2]))
+        dense[query[~rare], at[~rare]] = own[~rare]
+        groups, sizes = _entries(self.first_group, terms[rare])
+        own, query = np.repeat(own[rare], sizes), np.repeat(query[rare], sizes)
+        cell = query * self.blocks + self.where[groups]
+        bound = np.bincount(cell, own * self.most[groups], n * self.blocks).reshape(n, self.blocks) + dense @ self.dense_most.T
+        scores = np.zeros((n, self.blocks, self.block))
+        open_cells = bound > 0
+        ahead = open_cells.copy()
         if self.blocks > _AHEAD:
-            ahead &= bound >= np.partition(bound, -_AHEAD)[-_AHEAD]
-        inside = ahead[where]
-        scores, rows = self._scored(np.repeat(np.where(ahead, 0.0, -np.inf), self.block), dense, groups[inside], own[inside], without)
-        least = np.partition(scores, -k)[-k] if len(scores) >= k else 0.0
-        rest = open_blocks & ~ahead & (bound >= least - 1e-9)
-        if rest.any():
-            inside = rest[where]
-            reach = np.repeat(np.where(rest, dense_bound - least + 1e-9, -np.inf), self.block)
-            more, others = self._scored(reach, dense, groups[inside], own[inside], without)
-            scores, rows = np.concatenate((scores, more)), np.concatenate((rows, others))
-        if len(scores) > k:
-            near = scores >= np.partition(scores, -k)[-k]
-            scores, rows = scores[near], rows[near]
-        order = np.lexsort((rows, -scores))[:k]
-        return list(zip(scores[order].tolist(), rows[order].tolist(), strict=True))
-
-    def _scored(self, reach: np.ndarray, dense: np.ndarray, groups: np.ndarray, own: np.ndarray, without: int) -> tuple[np.ndarray, np.ndarray]:
-        """Cosines above zero, to twelve decimals, and rows, of the places whose postings in the groups and ``reach`` are not below zero in sum."""
-        at, sizes = self._entries(self.first, groups)
-        totals = np.bincount(self.places[at], np.repeat(own, sizes) * self.weights[at], len(self.dense))
-        hit = np.flatnonzero(totals + reach >= 0)
-        totals = totals[hit] + self.dense[hit] @ dense
-        hit, totals = hit[totals > 0], totals[totals > 0]
-        rows = self.rows[hit]
-        keep = rows != without
-        return np.round(totals[keep], 12), rows[keep]
+            ahead &= bound >= np.partition(bound, -_AHEAD, axis=1)[:, [-_AHEAD]]
+        self._score(scores, ahead, dense, groups, own, cell)
+        if without is not None:
+            self._leave_out(scores, without)
+        flat = scores.reshape(n, -1)
+        least = np.partition(flat, -k, axis=1)[:, [-k]] if flat.shape[1] >= k else np.zeros((n, 1))
+        rest = open_cells & ~ahead & (bound >= least - 1e-9)
+        self._score(scores, rest, dense, groups, own, cell)
+        if without is not None:
+            self._leave_out(scores, without)
+        self.pairs, self.scored = self.pairs + n * self.blocks, self.scored + int(ahead.sum() + rest.sum())
+        return [self._best(row, k) for row in flat]
+
+    def _leave_out(self, scores: np.ndarray, without: list[int]) -> None:
+        for i, row in enumerate(without):
+            if row >= 0:
+                scores[i].ravel()[np.flatnonzero(self.rows == row)] = 0
+
+    def _score(self, scores: np.ndarray, wanted: np.ndarray, dense: np.ndarray, groups: np.ndarray, own: np.ndarray, cell: np.ndarray) -> None:
+        """Fills in the cosines, to twelve decimals, of the wanted pairs of query and block."""
+        inside = wanted.ravel()[cell]
+        at, sizes = _entries(self.first, groups[inside])
+        place = np.repeat(cell[inside] * self.block, sizes) + self.inner[at]
+        scores += np.bincount(place, np.repeat(own[inside], sizes) * self.weights[at], scores.size).reshape(scores.shape)
+        for b in np.flatnonzero(wanted.any(0)):
+            some = np.flatnonzero(wanted[:, b])
+            scores[some, b] = np.round(scores[some, b] + dense[some] @ self.dense[b].T, 12)
+
+    def _best(self, scores: np.ndarray, k: int) -> list[tuple[float, int]]:
+        at = np.flatnonzero(scores >= max(np.partition(scores, -k)[-k], 1e-12)) if len(scores) > k else np.flatnonzero(scores > 0)
+        rows, found = self.rows[at], scores[at]
+        order = np.lexsort((rows, -found))[:k]
+        return list(zip(found[order].tolist(), rows[order].tolist(), strict=True))
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -229,62 +278,89 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
 
 
 class ToxicityModel:
-    def __init__(self, terms: Terms, examples: list[tuple[int, int, Vector]], class_weight: tuple[float, float], k: int):
-        """``examples``: id, label and vector. ``class_weight``: labelled rows that an example of either class stands for."""
-        bare = [(label, class_weight[label]) for _, label, v in examples if not len(v[0])]
+    def __init__(self, terms: Terms, examples: list[tuple[object, int, Vector, Vector]], class_weight: tuple[float, float], k: int):
+        """``examples``: id, label, plain and raised vector. ``class_weight``: labelled rows that an example of either class stands for."""
+        bare = [(label, class_weight[label]) for _, label, v, _ in examples if not len(v[0])]
         total = sum(w for _, w in bare)
         self.bare = sum(label * w for label, w in bare) / total if total else 0.0
         self.terms, self.k = terms, k
-        kept = sorted(((i, label, v) for i, label, v in examples if len(v[0])), key=lambda x: x[:2])
-        self.ids, self.labels = [i for i, _, _ in kept], [label for _, label, _ in kept]
-        self.weights = [class_weight[label] for label in self.labels]
-        everyone = sum(class_weight[label] for _, label, _ in examples)
-        self.prior = sum(class_weight[label] for _, label, _ in examples if label) / everyone if everyone else 0.0
-        self.index = BlockMaxIndex([v for _, _, v in kept], len(terms.number))
+        kept = sorted(((i, label, v, r) for i, label, v, r in examples if len(v[0])), key=lambda x: x[:2])
+        self.ids, self.labels = [i for i, *_ in kept], np.array([label for _, label, *_ in kept], np.int64)
+        self.weights = np.array([class_weight[label] for label in self.labels.tolist()])
+        everyone = sum(class_weight[label] for _, label, *_ in examples)
+        self.prior = sum(class_weight[label] for _, label, *_ in examples if label) / everyone if everyone else 0.0
+        self.index = BlockMaxIndex([v for _, _, v, _ in kept], len(terms.number))
+        # What factors add, row by row, to be read for neighbours only.
+        self.ratio = np.array([r[1][0] for *_, r in kept])
+        self.first = np.cumsum([0, *(len(r[0]) - 1 for *_, r in kept)])
+        self.at = np.concatenate([np.asarray(r[0][1:], np.int64) for *_, r in kept] or [np.zeros(0, np.int64)])
+        self.raised = np.concatenate([np.asarray(r[1][1:], np.float64) for *_, r in kept] or [np.zeros(0)])
         self.curve = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
         if kept:
-            votes = np.array([self._vote(self.index.nearest(v, k, i)) for i, (_, _, v) in enumerate(kept)])
-            self.curve = isotonic(votes, np.array(self.labels, float), np.array(self.weights))
+            votes = []
+            for first in range(0, len(kept), BATCH):
+                some = kept[first : first + BATCH]
+                near = self.index.nearest_many([v for _, _, v, _ in some], k, list(range(first, first + len(some))))
+                votes += [self._vote(r, n) for (*_, r), n in zip(some, near, strict=True)]
+            self.curve = isotonic(np.array(votes), self.labels.astype(float), self.weights)
         self._memo: dict[bytes, tuple[float, list]] = {}
 
-    def _vote(self, near: list[tuple[float, int]]) -> float:
-        yes = sum(s * s * self.weights[i] for s, i in near if self.labels[i])
-        total = sum(s * s * self.weights[i] for s, i in near)
-        least = 0.05 * (sum(self.weights) / max(1, len(self.weights)))
-        return (yes + least * self.prior) / (total + least)
-
-    def judge(self, text: str | None) -> tuple[float, list[tuple[int, float, int]]]:
-        """The score, and the nearest three examples as (id, cosine, label)."""
-        key = hashlib.blake2b((text or "").encode("utf-8", "surrogatepass"), digest_size=16).digest()
-        known = self._memo.get(key)
-        if known is None:
-            if len(self._memo) > _MEMO // 10:
-                self._memo.clear()
-            vector = self.terms.vector(text)
-            near = self.index.nearest(vector, self.k) if len(vector[0]) else []
-            score = float(np.interp(self._vote(near), *self.curve)) if near else self.bare
-            known = self._memo[key] = score, [(self.ids[i], s, self.labels[i]) for i, s in ((i, s) for s, i in near[:3])]
-        return known
-
-
-def term_factors(rows: Iterable[tuple[int, Iterable[str]]]) -> tuple[list[str], list[float]]:
-    """All terms of the rows, and for each 1 + chi2 / 5, by chi-square against the label with one degree of freedom."""
+    def _vote(self, raised: Vector, near: list[tuple[float, int]]) -> float:
+        """The share of label 1 among the neighbours, each by the square of its cosine with factors."""
+        least = 0.05 * float(self.weights.mean())
+        rows = np.array([i for _, i in near], np.int64)
+        if not len(rows):
+            return self.prior
+        terms, own = raised[0][1:], raised[1][1:]
+        at, sizes = _entries(self.first, rows)
+        met = np.minimum(np.searchsorted(terms, self.at[at]), max(0, len(terms) - 1))
+        both = np.where(terms[met] == self.at[at], own[met] * self.raised[at], 0.0) if len(terms) else np.zeros(len(at))
+        close = np.array([s for s, _ in near]) * raised[1][0] * self.ratio[rows] + np.bincount(np.repeat(np.arange(len(rows)), sizes), both, len(rows))
+        shares = np.round(close, 12) ** 2 * self.weights[rows]
+        return (float(shares[self.labels[rows] == 1].sum()) + least * self.prior) / (float(shares.sum()) + least)
+
+    def judge_many(self, texts: list[str | None]) -> list[tuple[float, list[tuple[object, float, int]]]]:
+        """Of each text: the score, and the nearest three examples as (id, cosine, label). Equal texts are judged once."""
+        keys = [hashlib.blake2b((t or "").encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts]
+        if len(self._memo) > _MEMO // 10:
+            self._memo.clear()
+        new = {key: t for key, t in zip(keys, texts, strict=True) if key not in self._memo}
+        todo = [(key, *self.terms.vectors(t)) for key, t in new.items()]
+        search = [x for x in todo if len(x[1][0])] if self.ids else []
+        near = dict(zip((key for key, _, _ in search), self.index.nearest_many([v for _, v, _ in search], self.k), strict=True)) if search else {}
+        for key, _, raised in todo:
+            own = near.get(key)
+            score = float(np.interp(self._vote(raised, own), *self.curve)) if own else self.bare
+            self._memo[key] = score, [(self.ids[i], s, int(self.labels[i])) for s, i in (own or [])[:3]]
+        return [self._memo[key] for key in keys]
+
+    def judge(self, text: str | None) -> tuple[float, list[tuple[object, float, int]]]:
+        return self.judge_many([text])[0]
+
+
+def label_factors(rows: Iterable[tuple[int, Iterable[str]]]) -> tuple[list[str], list[int], list[float]]:
+    """All terms of the rows, the rows that have each, and its factor: 1 + chi2 / 5 by chi-square against the label, 1 where that is below 3.841.
+
+    With one degree of freedom a term without a bearing on the label exceeds that once in twenty.
+    """
     sizes, with_term = [0, 0], (Counter(), Counter())
     for label, terms in rows:
         sizes[label] += 1
         with_term[label].update(set(terms))
     zeros, ones = sizes
     terms = sorted(with_term[0].keys() | with_term[1].keys())
-    factors = []
+    held, factors = [], []
     for term in terms:
         a, b = with_term[1].get(term, 0), with_term[0].get(term, 0)
         c, d = ones - a, zeros - b
-        factors.append(1 + (zeros + ones) * (a * d - b * c) ** 2 / max(1, (a + b) * (c + d) * (a + c) * (b + d)) / 5)
-    return terms, factors
+        held.append(a + b)
+        chi2 = (zeros + ones) * (a * d - b * c) ** 2 / max(1, (a + b) * (c + d) * (a + c) * (b + d))
+        factors.append(1 + chi2 / 5 if chi2 >= 3.841 else 1.0)
+    return terms, held, factors
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample_rows: int = 4000, k: int = 15) -> ToxicityModel:
-    """Learns from at most ``sample_rows`` labelled rows, half of each class, by hash of the id; idf counts every document.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample_rows: int = 4000, k: int = 50) -> ToxicityModel:
+    """Learns from at most ``sample_rows`` labelled rows, half of each class, by hash of the id.
 
     An id with both labels counts as toxic, and of an id with several texts the smallest is learned from, once.
     """
@@ -294,46 +370,25 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
     rows = docs.select(F.col(doc_id).alias("_id"), F.coalesce(text, F.lit("")).alias("_text")).join(F.broadcast(sample), "_id")
     rows = rows.groupBy("_id").agg(F.first("_label").alias("_label"), F.min("_text").alias("_text"))
     got = sorted((r["_id"], r["_label"], r["_text"]) for r in rows.collect())
-    terms, factors = term_factors((label, text_terms(text)) for _, label, text in got)
-    frozen = docs.sparkSession.sparkContext.broadcast(Terms(terms, 0, {}))
-    size = len(terms) + OTHERS
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen = 0, np.zeros(size, np.int64)
-        for batch in small_batches(batches):
-            total += batch.num_rows
-            for value in batch.column(0).to_pylist():
-                found = frozen.value.numbered(value)
-                # Negative numbers, those of buckets, count from the end.
-                seen[np.fromiter(found.keys(), np.int64, len(found))] += 1
-        some = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int32()), pa.array(np.append(seen[some], total), pa.int64())], ["term", "n"])
-
-    sums = docs.select(F.col(text)).mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    # One more place, the last, has the number of documents, under -1.
-    frequency = np.zeros(size + 1, np.int64)
-    frequency[sums.column("term").to_numpy()] = sums.column("n").to_numpy()
-    final = Terms(terms, int(frequency[-1]), dict(zip(terms, frequency[: len(terms)].tolist(), strict=True)), factors, frequency[len(terms) : -1][::-1])
+    terms = Terms(*(lambda t, held, f: (t, len(got), held, f))(*label_factors((label, text_terms(text)) for _, label, text in got)))
     ones = sum(label for _, label, _ in got)
     weight = (sizes.get(0, 0) / max(1, len(got) - ones), sizes.get(1, 0) / max(1, ones))
-    return ToxicityModel(final, [(i, label, final.vector(text)) for i, label, text in got], weight, k)
-
-
-_EVIDENCE = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())]))
+    return ToxicityModel(terms, [(i, label, *terms.vectors(text)) for i, label, text in got], weight, k)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: the id, ``score`` (0 to 1) and ``evidence``, the nearest examples. Only the id and the text are read."""
     frozen = docs.sparkSession.sparkContext.broadcast(model)
+    kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
-            found = [frozen.value.judge(t) for t in batch.column(1).to_pylist()]
+        for batch in small_batches(batches, BATCH):
+            found = frozen.value.judge_many(batch.column(1).to_pylist())
             near = [[{"doc_id": i, "similarity": s, "label": label} for i, s, label in e] for _, e in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in found], pa.float64()), pa.array(near, _EVIDENCE)], ["doc_id", "score", "evidence"])
+            evidence = pa.list_(pa.struct([("doc_id", batch.column(0).type), ("similarity", pa.float64()), ("label", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in found], pa.float64()), pa.array(near, evidence)], ["doc_id", "score", "evidence"])
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id), F.col(text)).mapInArrow(run, f"doc_id {kind}, score double, evidence array<struct<doc_id:long,similarity:double,label:int>>")
+    return docs.select(F.col(doc_id), F.col(text)).mapInArrow(run, f"doc_id {kind}, score double, evidence array<struct<doc_id:{kind},similarity:double,label:int>>")
 
 
 def toxicity_query(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -189,12 +189,64 @@ def test_block_max_search_is_exact():
         np.testing.assert_allclose([s for s, _ in got], scores[best], atol=1e-11)
 
 
+def test_block_max_search_in_batches_skips_blocks():
+    rng = np.random.default_rng(4)
+
+    def vector(topic):
+        terms = np.unique(np.concatenate((rng.integers(0, 5, 2), 20 + 40 * topic + rng.integers(0, 40, 8))))
+        weights = rng.random(len(terms)) + 0.1
+        return terms, weights / np.linalg.norm(weights)
+
+    rows = [vector(i // 100) for i in range(2000)]
+    index = toxicity.BlockMaxIndex(rows, 1000, block=16)
+    queries = [vector(i % 20) for i in range(64)]
+    own = [-1 if i % 2 else int(rng.integers(2000)) for i in range(64)]
+    got = index.nearest_many(queries, 10, own)
+    dense, wanted = (np.zeros((len(x), 1000)) for x in (rows, queries))
+    for m, x in ((dense, rows), (wanted, queries)):
+        for i, (t, w) in enumerate(x):
+            m[i, t] = w
+    for i, scores in enumerate(np.round(wanted @ dense.T, 12)):
+        if own[i] >= 0:
+            scores[own[i]] = 0
+        best = [j for j in np.lexsort((np.arange(2000), -scores))[:10] if scores[j] > 0]
+        assert [j for _, j in got[i]] == best
+    assert index.scored < 0.6 * index.pairs
+
+
 def test_term_counts_agree():
     text = "Réeuxa réeuxb réeuxc réeuxa the THE cat"
     terms = sorted(toxicity.text_terms(text))
-    kept = toxicity.Terms(terms, 10, {})
-    assert {t: kept.counts(text)[i] for t, i in kept.number.items()} == dict(toxicity.text_terms(text))
-    assert kept.vector(None) == ((), ())
+    own = sorted(toxicity.text_terms("Réeuxa réeuxb the dog"))
+    some = toxicity.Terms(own, 10, [1] * len(own), [1.0] * len(own))
+    at, times = some.numbered(text)
+    assert len(at) == len(set(at.tolist())) == len(terms)
+    assert {t: times[at.tolist().index(i)] for t, i in some.number.items() if t in terms} == {t: toxicity.text_terms(text)[t] for t in own if t in terms}
+    assert sorted(times.tolist()) == sorted(toxicity.text_terms(text).values())
+    assert not len(some.vectors(None)[0][0])
+
+
+def test_votes_use_the_cosine_with_factors():
+    texts = [("alpha bad words here", 1), ("alpha calm words here", 0), ("beta bad bad thing", 1), ("gamma calm thing", 0)] * 5
+    terms = toxicity.Terms(*(lambda t, held, f: (t, len(texts), held, f))(*toxicity.label_factors((y, toxicity.text_terms(t)) for t, y in texts)))
+    assert max(terms.factor) > 2 > min(terms.factor) == 1.0
+    model = toxicity.ToxicityModel(terms, [(i, y, *terms.vectors(t)) for i, (t, y) in enumerate(texts)], (1.0, 1.0), 6)
+
+    def weights(text, raised):
+        out = {}
+        for t, n in toxicity.text_terms(text).items():
+            i = terms.number.get(t)
+            out[t] = (1 + np.log(n)) * (terms.other if i is None else terms.idf[i] * (terms.factor[i] if raised else 1))
+        norm = np.sqrt(sum(x * x for x in out.values()))
+        return {t: x / norm for t, x in out.items()}
+
+    cosine = lambda a, b, raised: sum(x * weights(b, raised).get(t, 0) for t, x in weights(a, raised).items())
+    query = "unseen alpha bad thing"
+    near = model.index.nearest(terms.vectors(query)[0], 6)
+    assert [s for s, _ in near] == pytest.approx(sorted((cosine(query, t, False) for t, _ in texts), reverse=True)[:6])
+    shares = [(cosine(query, texts[i][0], True) ** 2, texts[i][1]) for _, i in near]
+    want = (sum(s for s, y in shares if y) + 0.05 * 0.5) / (sum(s for s, _ in shares) + 0.05)
+    assert model._vote(terms.vectors(query)[1], near) == pytest.approx(want)
 
 
 def test_toxicity(spark):
@@ -234,20 +286,11 @@ def test_toxicity_neighbours_by_brute_force(spark):
     model = toxicity.fit_toxicity(docs, labels)
     tags = {i: int(i % 3 == 0 or i == 5) for i in range(100)}
     terms = {i: toxicity.text_terms(t) for i, t, *_ in rows}
-    own = set().union(*(terms[i] for i in tags))
     frequency = {}
-    for found in terms.values():
-        for t in found:
+    for i in tags:
+        for t in terms[i]:
             frequency[t] = frequency.get(t, 0) + 1
-    zeros, ones = sum(v == 0 for v in tags.values()), sum(tags.values())
-
-    def weight(t, n):
-        out = (1 + np.log(n)) * (np.log((1 + len(rows)) / (1 + frequency[t])) + 1)
-        if t in own:
-            a, b = (sum(t in terms[i] for i, v in tags.items() if v == k) for k in (1, 0))
-            c, d = ones - a, zeros - b
-            out *= 1 + (zeros + ones) * (a * d - b * c) ** 2 / max(1, (a + b) * (c + d) * (a + c) * (b + d)) / 5
-        return out
+    weight = lambda t, n: (1 + np.log(n)) * (np.log((1 + len(tags)) / (1 + frequency.get(t, 0))) + 1)
 
     vectors_ = {i: {t: weight(t, n) for t, n in found.items()} for i, found in terms.items()}
     for v in vectors_.values():
