@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnfield.operators import ordering
+
 #: Roots whose changes don't last; a project adds its own.
 TRANSIENT_ROOTS = ("dist", "node_modules", "plans")
 #: Record types that leave a scope active.
@@ -112,11 +114,12 @@ def normalized_verification(rows: Column) -> Column:
 def chain_check(ledger: DataFrame, scope: str | None = None, line: str = "line", seq: str = "seq", prev: str = "prev_sha256") -> DataFrame:
     """``ledger`` with ``chain_ok``: numbered without gaps from 1, and naming the digest of the line before.
 
-    One chain is ordered within ``scope``; a table of many ledgers is checked in parallel by scope.
+    One chain for the table, or one for each ``scope``. Either way the rows are checked in ranges of their order, side by
+    side, however many a chain has.
     """
-    order = (Window.partitionBy(scope) if scope else Window.partitionBy(F.lit(0))).orderBy(seq)
-    before = F.lag(F.sha2(F.col(line), 256)).over(order)
-    return ledger.withColumn("chain_ok", (F.row_number().over(order) == F.col(seq)) & before.eqNullSafe(F.col(prev)))
+    rows = ledger.withColumn("_digest", F.sha2(F.col(line), 256))
+    rows = ordering.sequenced(rows, [seq], "_digest", [scope] if scope else None)
+    return rows.withColumn("chain_ok", (F.col("place") == F.col(seq)) & F.col("before").eqNullSafe(F.col(prev))).drop("_digest", "place", "before")
 
 
 def newest_by_scope(ledger: DataFrame, scope: str = "scope_ref", seq: str = "seq") -> DataFrame:
@@ -140,3 +143,27 @@ def back_references(ledger: DataFrame, scope: str = "scope_ref", seq: str = "seq
     """``ledger`` with ``reference_ok``: the record names the one before it in its scope, or none if it is the first."""
     before = F.lag(seq).over(Window.partitionBy(scope).orderBy(seq))
     return ledger.withColumn("reference_ok", before.eqNullSafe(F.col(back)))
+
+
+#: Record types that speak for a scope, and those whose reference must name the newest of them.
+SCOPE_TYPES = ("gate.what.approved", "gate.what.revoked", "scope.added", "scope.removed")
+
+
+def references(ledger: DataFrame, scope: str = "scope_ref", seq: str = "seq", back: str = "prev_seq", kind: str = "type") -> DataFrame:
+    """``ledger`` with ``reference``: what the record's back reference, to any earlier row, amounts to.
+
+    none (it names no row), missing, not-earlier, and for records that speak for a scope: inactive (the row named leaves no scope
+    active), other-scope, superseded (the scope has a newer record before this one), or ok. The row named is looked up
+    by its number; the newest record before each row comes from the order of its scope, in ranges.
+    """
+    named = ledger.where(F.col(seq).isNotNull()).groupBy(F.col(seq).alias("_named")).agg(F.min(F.struct(F.col(kind).alias("type"), F.col(scope).alias("scope"))).alias("_row"))
+    speaks = F.coalesce(F.col(kind).isin(*SCOPE_TYPES), F.lit(False))
+    rows = ordering.sequenced(ledger.withColumns({"_speaks": speaks, "_seq": F.col(seq)}), [seq], "_seq", ["_speaks", scope])
+    rows = rows.join(named, F.col(back) == F.col("_named"), "left")
+    to = F.col("_row")
+    state = (
+        F.when(F.col(back).isNull(), "none").when(to.isNull(), "missing").when(F.col(back) >= F.col(seq), "not-earlier").when(~F.col("_speaks"), "ok")
+        .when(~F.coalesce(to["type"].isin(*ACTIVE_TYPES), F.lit(False)), "inactive").when(~to["scope"].eqNullSafe(F.col(scope)), "other-scope")
+        .when(F.col("before") != F.col(back), "superseded").otherwise("ok")
+    )
+    return rows.withColumn("reference", state).drop("_speaks", "_seq", "place", "before", "_named", "_row")

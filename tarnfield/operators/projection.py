@@ -235,12 +235,17 @@ _LABELLED_SECRET = rf"(?iu)(?:{EDGE}(?:Bearer|Basic)[ \t]+|{EDGE}(?:API[_-]?KEY|
 
 
 def audit_reference(x: Column) -> Column:
-    """Whether a text may stand as an audit reference: a plain http(s) address without user, query or fragment, or a simple name."""
+    """Whether a text may stand as an audit reference: a plain http(s) address without user, query or fragment, or a simple name.
+
+    What begins with a scheme is an address, whatever follows, so ``ticket:12`` isn't a name; only where nothing but slashes follow a
+    scheme that needs a host is there no address.
+    """
     secret = x.rlike(_LABELLED_SECRET)
     for rule, pattern, _ in screen.CREDENTIALS:
         if rule.startswith(("credential.jwt", "credential.provider")):
             secret = secret | x.rlike("(?iu)" + pattern)
     bad = secret | x.rlike(r"[\x00-\x1F\x7F-\x9F]") | x.rlike(r"\A[/\\]|\A[A-Za-z]:[\\/]") | x.rlike(r"(?:\A|[\\/])(?:home|Users)(?:[\\/]|\z)")
     address = x.rlike(r"(?i)\Ahttps?://[^\s/?#@]+(?:/[^\s?#]*)?\z")
-    name = x.rlike(r"\A[A-Za-z0-9][A-Za-z0-9._:/-]{0,255}\z") & ~x.contains("://")
+    scheme = x.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*:") & ~x.rlike(r"(?i)\Ahttps?:") & ~x.rlike(r"(?i)\A(?:ftp|wss?):/*\z")
+    name = x.rlike(r"\A[A-Za-z0-9][A-Za-z0-9._:/-]{0,255}\z") & ~x.contains("://") & ~scheme
     return F.coalesce((utf16_length(x).between(1, 256)) & ~bad & (address | name), F.lit(False))

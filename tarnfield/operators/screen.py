@@ -194,16 +194,18 @@ def entropy_candidates(body: Column) -> Column:
     return F.filter(tokens, lambda t: mixed(t) & (shannon_entropy(t) >= 4) & ~safe(t))
 
 
-def screened(docs: DataFrame, key: str = "doc_id", body: str = "text", workspace: str | None = None, home: str | None = None, digest: str | None = None) -> DataFrame:
+def screened(docs: DataFrame, key: str = "doc_id", body: str = "text", workspace: str | None = None, home: str | None = None, digest: str | None = None, revision: str | None = None) -> DataFrame:
     """Per row: key, ``findings`` (map of rule to count), ``overflow`` and ``output`` (redacted text, null if it can't be).
 
     The redaction is refused when two spans overlap without being the same span with the same mark, or when a
     credential is still found afterwards. Null texts count as empty. ``digest``: a column with the stated digest of the
     body as it came; a text that has another one is not screened, and input.invalid-binding is its only finding.
+    ``revision``: a column that stands beside the findings, for overrides that are bound to it.
     """
     text = F.coalesce(F.col(body), F.lit(""))
     stated = F.col(digest) if digest else F.lit(None).cast("string")
-    rows = docs.select(F.col(key).alias("key"), text.alias("body"), stated.alias("stated"))
+    kept = [F.col(revision).alias("revision")] if revision else []
+    rows = docs.select(F.col(key).alias("key"), text.alias("body"), stated.alias("stated"), *kept)
     rows = rows.withColumn("large", (F.octet_length("body") > MAX_BYTES) | (utf16_length(F.col("body")) > MAX_BYTES))
     rows = rows.withColumn("bound", F.col("large") | F.coalesce(prefixed_sha256(F.col("body")) == F.col("stated"), F.lit(not digest)))
     fine = F.col("bound") & ~F.col("large")
@@ -235,7 +237,7 @@ def screened(docs: DataFrame, key: str = "doc_id", body: str = "text", workspace
     flags = {"oversized": F.col("large"), "nul": F.col("nul"), "invalid-character": F.col("odd"), "finding-overflow": F.col("overflow"), "redaction-overlap": F.col("clash"), "redaction-incomplete": F.col("left"), "invalid-binding": ~F.col("bound")}
     counted += [one(f"input.{name}", flag.cast("int")) for name, flag in flags.items()]
     found = F.map_from_entries(F.filter(F.array(*counted), lambda x: x["value"] > 0))
-    return rows.select("key", found.alias("findings"), "overflow", F.when(~F.col("left"), F.col("redacted")).alias("output"))
+    return rows.select("key", found.alias("findings"), "overflow", F.when(~F.col("left"), F.col("redacted")).alias("output"), *(["revision"] if revision else []))
 
 
 def decision(findings: Column, overflow: Column) -> Column:
@@ -245,15 +247,17 @@ def decision(findings: Column, overflow: Column) -> Column:
 
 
 def summaries(found: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
-    """(key, rule_id, action, count, overridden_count). ``overrides``: key and rule_id; only overridable rules heed them.
+    """(key, rule_id, action, count, overridden_count). ``overrides``: key, rule_id and, where they are bound to what they were
+    given for, revision; such a one counts only for a row of ``found`` with that revision. Only overridable rules heed them.
 
     The outer explode keeps Spark from inferring a filter on ``findings`` and working all of them out a second time.
     """
-    rows = found.select("key", F.explode_outer("findings").alias("rule_id", "count")).join(F.broadcast(rule_table(found.sparkSession)), "rule_id")
+    bound = ["revision"] if overrides is not None and "revision" in overrides.columns else []
+    rows = found.select("key", *bound, F.explode_outer("findings").alias("rule_id", "count")).join(F.broadcast(rule_table(found.sparkSession)), "rule_id")
     if overrides is None:
         spared = F.lit(0).cast("long")
     else:
-        rows = rows.join(overrides.select("key", "rule_id", F.lit(True).alias("_over")).distinct(), ["key", "rule_id"], "left")
+        rows = rows.join(overrides.select("key", "rule_id", *bound, F.lit(True).alias("_over")).distinct(), ["key", "rule_id", *bound], "left")
         spared = F.when(F.col("_over") & F.col("overridable"), F.col("count")).otherwise(F.lit(0).cast("long"))
     return rows.select("key", "rule_id", "action", "count", spared.alias("overridden_count"))
 

@@ -56,7 +56,7 @@ def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("key", F.explode(F.filter(cells, lambda x: x["n"] > 0)).alias("c")).select("key", "c.rule_id", "c.n")
 
 
-# The patterns once more, written for RE2 and apart from the library: (rule, action, before, match, after, case counts, mark).
+# Fixed values. The patterns once more, in three parts as RE2 has no look-around and a replacement keeps what stands around the match; written for RE2 and apart from the library: (rule, action, before, match, after, case counts, mark).
 _SPACE = r"\s\x{A0}\x{FEFF}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 _RE2 = (
     ("path.home", "redact", "", r"/(?:home|Users)/[^/" + _SPACE + r"\"'`]+|[A-Za-z]:\\Users\\[^\\" + _SPACE + r"\"'`]+", "", True, "<HOME>"),
@@ -112,9 +112,12 @@ def screened_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rule_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings by rule over all texts, with one rule overridden for one sample."""
-    over = spark.createDataFrame([("override", "prompt-injection.override-instructions"), ("pem", "private-key.pem")], "key string, rule_id string")
-    rows = screen.summaries(screen.screened(_texts(spark, sf_dir), "key", "text"), over)
+    """Findings by rule over all texts, with overrides: one that holds, one of an older revision, one of a rule that can't be overridden."""
+    texts = _texts(spark, sf_dir).withColumn("revision", F.sha2(F.coalesce("text", F.lit("")), 256))
+    now = dict(SAMPLES)
+    over = spark.createDataFrame([("override", "prompt-injection.override-instructions", now["override"]), ("role", "prompt-injection.role-instruction", "an older text"), ("pem", "private-key.pem", now["pem"])], "key string, rule_id string, text string")
+    over = over.select("key", "rule_id", F.sha2("text", 256).alias("revision"))
+    rows = screen.summaries(screen.screened(texts, "key", "text", revision="revision"), over)
     return rows.groupBy("rule_id", "action").agg(F.sum("count").alias("findings"), F.sum("overridden_count").alias("overridden"), F.count("*").alias("texts"))
 
 
@@ -126,9 +129,13 @@ def entropy_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MARKED = [r[0] for r in _RE2 if r[6]]
 # Spans of the rows at hand are disjoint, so replacing rule by rule gives what replacing all at once does.
 _STEPS = ", ".join(f"r{i + 1} AS (SELECT key, {_step(rule)} AS body FROM r{i})" for i, rule in enumerate(_MARKED))
-_SAFE = " OR ".join("regexp_matches(token, '{}')".format(p.replace("'", "''")) for p in screen.SAFE_TOKENS)
+_SAFE_SHAPES = (
+    "^([a-f0-9]{40}|[a-f0-9]{64})$", "^(execution|planning)--[a-f0-9]{64}[.]md$", "^run-[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}-[0-9]{2}-[0-9]{2}-[0-9]{3}Z-task-[a-z0-9-]+$",
+    "^([A-Za-z0-9._-]{1,64}/)+[A-Za-z0-9._-]{1,64}[.](cjs|js|json|md|mjs|ts|tsx|yaml|yml)$", "(?i)^[a-f0-9]{8}-[a-f0-9]{4}-[1-5][a-f0-9]{3}-[89ab][a-f0-9]{3}-[a-f0-9]{12}$",
+)
+_SAFE = " OR ".join(f"regexp_matches(token, '{p}')" for p in _SAFE_SHAPES)
 ENTROPY_SQL = f"""
-WITH t AS ({_TEXTS}), k AS (SELECT key, unnest(regexp_extract_all(text, '{screen.ENTROPY_TOKEN}')) AS token FROM t),
+WITH t AS ({_TEXTS}), k AS (SELECT key, unnest(regexp_extract_all(text, '[A-Za-z0-9_+./=-]{{20,512}}')) AS token FROM t),
 d AS (SELECT DISTINCT token FROM k WHERE regexp_matches(token, '[a-z]')::INT + regexp_matches(token, '[A-Z]')::INT + regexp_matches(token, '[0-9]')::INT + regexp_matches(token, '[_+./=-]')::INT >= 3 AND NOT ({_SAFE})),
 c AS (SELECT token, unnest(string_split(token, '')) AS ch FROM d), n AS (SELECT token, ch, count(*) AS n FROM c GROUP BY ALL),
 e AS (SELECT token, -sum(n / length(token)::DOUBLE * log2(n / length(token)::DOUBLE)) AS h FROM n GROUP BY token)

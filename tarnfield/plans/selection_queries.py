@@ -81,10 +81,13 @@ def path_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LIST = "[" + ", ".join(f"'{p}'" for p in _PATH) + "]"
-_CASES = " ".join("WHEN regexp_matches(path, '{}') THEN '{}'".format(p.replace("\\A", "^").replace("\\z", "$"), c) for p, c in select.PATH_CLASSES)
 PATH_SQL = f"""
 WITH p AS (SELECT page_id, {_LIST}[page_id % {len(_PATH)} + 1] AS path FROM pages)
-SELECT page_id, path, CASE {_CASES} ELSE '{select.OTHER_CLASS}' END AS class, nullif(regexp_extract(path, '^iterations/([^/]+)/', 1), '') AS iteration FROM p"""
+SELECT page_id, path, CASE WHEN starts_with(path, 'iterations/maintenance/') THEN 'maintenance' WHEN starts_with(path, 'runs/') OR contains(path, '/gate-c-task-graph/') THEN 'task_or_run'
+  WHEN suffix(path, 'product-spec.md') OR suffix(path, 'implementation-plan.md') OR suffix(path, 'intake.md') THEN 'duplicate_copy'
+  WHEN contains(path, '/baseline/') OR suffix(path, 'README.md') OR suffix(path, 'status.md') THEN 'generated_artifact'
+  WHEN regexp_matches(path, '^iterations/[^/]+/iteration[.]json$') THEN 'pending_iteration' WHEN regexp_matches(path, 'evidence|review|experience') THEN 'evidence_or_review' ELSE 'generated_artifact' END AS class,
+  nullif(regexp_extract(path, '^iterations/([^/]+)/', 1), '') AS iteration FROM p"""
 
 
 def planning_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,8 +97,10 @@ def planning_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.eligible(rows).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-_REASONS = " ".join(f"WHEN event_id % {11 + 2 * i} = 3 THEN '{name}'" for i, (_, _, name) in enumerate(select.ELIGIBILITY))
-ELIGIBLE_SQL = f"SELECT CASE {_REASONS} WHEN event_id % 17 = 4 THEN 'timestamp_unavailable' END AS reason, count(*) AS n FROM events GROUP BY ALL"
+ELIGIBLE_SQL = """
+SELECT CASE WHEN event_id % 11 = 3 THEN 'maintenance' WHEN event_id % 13 = 3 THEN 'unsupported_schema' WHEN event_id % 15 = 3 THEN 'missing_spec' WHEN event_id % 17 = 3 THEN 'missing_intake'
+  WHEN event_id % 19 = 3 THEN 'pending_approval' WHEN event_id % 21 = 3 THEN 'open_decisions' WHEN event_id % 23 = 3 THEN 'approval_invalid' WHEN event_id % 25 = 3 THEN 'lineage_mismatch'
+  WHEN event_id % 27 = 3 THEN 'archive_mismatch' WHEN event_id % 17 = 4 THEN 'timestamp_unavailable' END AS reason, count(*) AS n FROM events GROUP BY ALL"""
 
 _STATUS = {"view": "started", "click": "finished", "signup": "finished", "purchase": "blocked", "error": "failed"}
 
@@ -183,6 +188,38 @@ def ledger_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 LEDGER_SQL = "SELECT event_id, event_id % 23 <> 3 AS chain_ok FROM events"
 
 
+def ledger_one_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one chain, which lacks a few lines, has a few twice numbered and a few changed."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.concat_ws("|", "event_id", "event_type").alias("line"))
+    ahead = rows.select((F.col("event_id") + 1).alias("event_id"), F.sha2("line", 256).alias("prev_sha256"))
+    rows = rows.join(ahead, "event_id", "left").where("event_id % 2503 <> 2000")
+    rows = rows.withColumns({"seq": F.col("event_id") + 1 - (F.col("event_id") > 2000).cast("int"), "line": F.when(F.col("event_id") % 997 == 5, F.concat("line", F.lit("!"))).otherwise(F.col("line"))})
+    return history.chain_check(rows).select("event_id", "seq", "chain_ok")
+
+
+ONE_CHAIN_SQL = """
+WITH e AS (SELECT event_id, concat_ws('|', event_id, event_type) AS line, sha256(concat_ws('|', event_id - 1, (SELECT event_type FROM events x WHERE x.event_id = e.event_id - 1))) AS prev FROM events e),
+k AS (SELECT event_id, event_id + 1 - (event_id > 2000)::INT AS seq, CASE WHEN event_id % 997 = 5 THEN line || '!' ELSE line END AS line, CASE WHEN event_id > 0 THEN prev END AS prev FROM e WHERE event_id % 2503 <> 2000)
+SELECT event_id, seq, row_number() OVER (ORDER BY seq) = seq AND lag(sha256(line)) OVER (ORDER BY seq) IS NOT DISTINCT FROM prev AS chain_ok FROM k"""
+
+
+def ledger_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References to the newest record of the scope, to the one before that, to rows of other scopes, to later and to missing rows."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("scope_ref").orderBy("seq")
+    rows = _ledger(spark, sf_dir).withColumns({"one": F.lag("seq").over(order), "two": F.lag("seq", 2).over(order)})
+    back = F.when(F.col("seq") % 7 < 3, F.col("one")).when(F.col("seq") % 7 == 3, F.col("two")).when(F.col("seq") % 7 == 4, F.col("seq") - 3).when(F.col("seq") % 7 == 5, F.col("seq") + F.col("seq") % 2).when(F.col("seq") % 3 == 0, -F.col("seq") - 1)
+    return history.references(rows.withColumn("prev_seq", back)).select("seq", "prev_seq", "reference")
+
+
+BACKWARD_SQL = """
+WITH l AS (SELECT event_id AS seq, user_id AS scope, event_type AS type, lag(event_id) OVER w AS one, lag(event_id, 2) OVER w AS two FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+r AS (SELECT seq, scope, CASE WHEN seq % 7 < 3 THEN one WHEN seq % 7 = 3 THEN two WHEN seq % 7 = 4 THEN seq - 3 WHEN seq % 7 = 5 THEN seq + seq % 2 WHEN seq % 3 = 0 THEN -seq - 1 END AS prev_seq FROM l)
+SELECT r.seq, r.prev_seq, CASE WHEN r.prev_seq IS NULL THEN 'none' WHEN t.seq IS NULL THEN 'missing' WHEN t.seq >= r.seq THEN 'not-earlier' WHEN t.type IN ('purchase', 'error') THEN 'inactive' WHEN t.scope <> r.scope THEN 'other-scope'
+  WHEN EXISTS (SELECT 1 FROM l n WHERE n.scope = r.scope AND n.seq > t.seq AND n.seq < r.seq) THEN 'superseded' ELSE 'ok' END AS reference FROM r LEFT JOIN l t ON t.seq = r.prev_seq"""
+
+
 def ledger_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _ledger(spark, sf_dir).withColumn("prev_seq", F.when(F.col("seq") % 3 == 0, F.col("seq") - 1))
     return history.back_references(rows).select("seq", "reference_ok")
@@ -214,12 +251,23 @@ EXCLUSION_SQL = f"WITH p AS ({ELIGIBILITY_SQL}) SELECT c.exclusion, count(p.doc_
 
 
 def lifecycle_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(k, a, b) for k, states in lifecycle.STATES.items() for a in states for b in states]
-    return lifecycle.checked_transitions(spark.createDataFrame(rows, "entity_type string, from_state string, to_state string"))
+    """Each user's events in order as states of an entity, and whether each change from one to the next is allowed."""
+    from pyspark.sql import Window
+
+    rows = table(spark, sf_dir, "events").withColumn("entity_type", F.element_at(F.array(*map(F.lit, ("decision", "failure", "verification"))), (F.col("user_id") % 3 + 1).cast("int")))
+    names = {"decision": ("active", "superseded", "archived"), "failure": ("open", "resolved", "archived", "reopened"), "verification": ("recorded", "passed", "failed", "archived")}
+    at = F.col("event_id") % 7
+    state = F.coalesce(*(F.when(F.col("entity_type") == k, F.element_at(F.array(*map(F.lit, v)), (at % len(v) + 1).cast("int"))) for k, v in names.items()))
+    rows = rows.withColumn("to_state", state).withColumn("from_state", F.lag("to_state").over(Window.partitionBy("user_id").orderBy("event_id")))
+    return lifecycle.checked_transitions(rows.select("event_id", "entity_type", "from_state", "to_state").where("from_state is not null"))
 
 
-_PAIRS = ", ".join(f"('{k}', '{a}', '{b}', {str((k, a, b) in lifecycle.TRANSITIONS).lower()})" for k, states in lifecycle.STATES.items() for a in states for b in states)
-TRANSITIONS_SQL = f"SELECT * FROM (VALUES {_PAIRS}) v(entity_type, from_state, to_state, allowed)"
+TRANSITIONS_SQL = """
+WITH s AS (SELECT event_id, user_id, ['decision', 'failure', 'verification'][user_id % 3 + 1] AS entity_type,
+  CASE user_id % 3 WHEN 0 THEN ['active', 'superseded', 'archived'][event_id % 7 % 3 + 1] WHEN 1 THEN ['open', 'resolved', 'archived', 'reopened'][event_id % 7 % 4 + 1] ELSE ['recorded', 'passed', 'failed', 'archived'][event_id % 7 % 4 + 1] END AS to_state FROM events),
+l AS (SELECT *, lag(to_state) OVER (PARTITION BY user_id ORDER BY event_id) AS from_state FROM s)
+SELECT entity_type, from_state, to_state, event_id, (entity_type || ':' || from_state || '>' || to_state) IN ('decision:active>superseded', 'decision:active>archived', 'decision:superseded>archived', 'failure:open>resolved', 'failure:resolved>archived',
+  'verification:recorded>passed', 'verification:recorded>failed', 'verification:passed>archived', 'verification:failed>archived') AS allowed FROM l WHERE from_state IS NOT NULL"""
 
 
 def review_holds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,8 +289,9 @@ def quality_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.array_join(lifecycle.quality_gates(), ",").alias("gates"))
 
 
-_GATE_IF = ("event_id % 2 > 0", "event_id % 5 <> 0", "event_id % 3 > 0", "event_id % 4 > 0", "event_id % 5 > 0", "event_id % 6 > 0", "event_id % 7 > 0", "event_id % 8 > 0")
-GATES_SQL = "SELECT event_id, concat_ws(',', " + ", ".join(f"CASE WHEN {cond} THEN '{name}' END" for cond, (name, _) in zip(_GATE_IF, lifecycle.GATES, strict=True)) + ") AS gates FROM events"
+GATES_SQL = """
+SELECT event_id, concat_ws(',', CASE WHEN event_id % 2 > 0 THEN 'pending-changes' END, CASE WHEN event_id % 5 <> 0 THEN 'state-unhealthy' END, CASE WHEN event_id % 3 > 0 THEN 'pending-candidates' END, CASE WHEN event_id % 4 > 0 THEN 'pending-reviews' END,
+  CASE WHEN event_id % 5 > 0 THEN 'stale-pages' END, CASE WHEN event_id % 6 > 0 THEN 'orphaned-pages' END, CASE WHEN event_id % 7 > 0 THEN 'lint-errors' END, CASE WHEN event_id % 8 > 0 THEN 'eval-threshold-violations' END) AS gates FROM events"""
 
 
 def instant_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,10 +308,10 @@ INSTANT_SQL = """
 SELECT event_id, CASE event_id % 5 WHEN 0 THEN strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S') || '.000Z' WHEN 1 THEN strftime(date_trunc('second', ts) - INTERVAL 150 MINUTE, '%Y-%m-%dT%H:%M:%S') || '.250Z'
   WHEN 2 THEN strftime(date_trunc('second', ts) + INTERVAL 14 HOUR, '%Y-%m-%dT%H:%M:%S') || '.000Z' END AS instant FROM events"""
 
-QUERIES = {f.__name__: f for f in (source_documents, upsert_status, target_collision, duplicate_targets, plan_counts, path_classify, planning_eligibility, inclusion_policy, attempt_chain, run_index_mismatch, lineage_check, ledger_asof, ledger_chain, ledger_references, corpus_eligibility, exclusion_counts, lifecycle_transitions, review_holds, quality_gates, instant_normalize)}
+QUERIES = {f.__name__: f for f in (source_documents, upsert_status, target_collision, duplicate_targets, plan_counts, path_classify, planning_eligibility, inclusion_policy, attempt_chain, run_index_mismatch, lineage_check, ledger_asof, ledger_chain, ledger_one_chain, ledger_backward, ledger_references, corpus_eligibility, exclusion_counts, lifecycle_transitions, review_holds, quality_gates, instant_normalize)}
 ORACLES = {
     "source_documents": SOURCES_SQL, "upsert_status": UPSERT_SQL, "target_collision": COLLISION_SQL, "duplicate_targets": DUPLICATES_SQL, "plan_counts": PLAN_SQL,
     "path_classify": PATH_SQL, "planning_eligibility": ELIGIBLE_SQL, "inclusion_policy": INCLUSION_SQL, "attempt_chain": CHAIN_SQL, "run_index_mismatch": MISMATCH_SQL, "lineage_check": LINEAGE_SQL,
-    "ledger_asof": ASOF_SQL, "ledger_chain": LEDGER_SQL, "ledger_references": REFERENCES_SQL, "corpus_eligibility": ELIGIBILITY_SQL, "exclusion_counts": EXCLUSION_SQL,
+    "ledger_asof": ASOF_SQL, "ledger_chain": LEDGER_SQL, "ledger_one_chain": ONE_CHAIN_SQL, "ledger_backward": BACKWARD_SQL, "ledger_references": REFERENCES_SQL, "corpus_eligibility": ELIGIBILITY_SQL, "exclusion_counts": EXCLUSION_SQL,
     "lifecycle_transitions": TRANSITIONS_SQL, "review_holds": HOLDS_SQL, "quality_gates": GATES_SQL, "instant_normalize": INSTANT_SQL,
 }

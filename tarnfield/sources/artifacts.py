@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnfield.functions.text import prefixed_sha256
+from tarnfield.operators import ordering
 
 MAX_FILE_BYTES = 8 << 20
 MAX_DEPTH = 64
@@ -198,8 +199,9 @@ def entity_inventory(files: DataFrame) -> DataFrame:
 
 
 def unsorted_rows(registry: DataFrame, position: str, key: str = "project_id") -> DataFrame:
-    """Registry rows that aren't after the one before them. A registry is a few thousand rows at most."""
-    return registry.withColumn("_b", F.lag(key).over(Window.orderBy(position))).where(F.col("_b") >= F.col(key)).drop("_b")
+    """Registry rows that aren't after the one before them, in ranges of their positions."""
+    rows = ordering.sequenced(registry, [position], key)
+    return rows.where(F.col("before") >= F.col(key)).drop("place", "before")
 
 
 def write_json_report(rows: DataFrame, path: str) -> None:

@@ -201,7 +201,7 @@ def test_checked_projects(spark):
 
 
 @pytest.mark.parametrize(("text", "good"), [
-    ("https://host/a/b", True), ("HTTP://host", True), ("ticket:12/3", True), ("a", True), ("https://u:p@host/", False), ("https://host/?q", False), ("https://host/#f", False), ("ftp://host/", False), ("/abs", False), ("C:/x", False),
+    ("https://host/a/b", True), ("HTTP://host", True), ("ticket:12/3", False), ("ticket:123", False), ("mailto:x", False), ("T-12/3", True), ("12:30", True), ("http:x", True), ("a.b-c:d", False), ("a_b:c", True), ("a", True), ("https://u:p@host/", False), ("https://host/?q", False), ("https://host/#f", False), ("ftp://host/", False), ("/abs", False), ("C:/x", False),
     ("x/home/y", False), ("Bearer  x", False), ("PASSWORD=x", False), ("akia" + "0123456789abcdef", False), ("a b", False), ("", False), ("a" * 257, False), ("x@y", False), (None, False),
 ])
 def test_audit_references(spark, text, good):
