@@ -8,8 +8,11 @@ neighbour, the better one if two are as near. With no decided block at all every
 What a page marks as something else (navigation, headers and footers of the page, sidebars, forms, notices, adverts,
 comments of readers) is left out beforehand, and where the page marks an article, that is where blocks come from. The
 rules hold inside it too, but as nothing else of an article may be lost, want of stop words leaves its blocks open there
-instead of deciding against them. Inside an article only containers are left out by a mark, in their class or role;
-headings, paragraphs and inline elements stay, and so does a section whose id merely names its subject.
+instead of deciding against them, and links decide only against blocks without any stop word and against runs of three
+or more short linked blocks with neither prose nor a heading beside them: a linked heading, a list of references under its
+heading or after a paragraph, and a short paragraph with a link stay open. Inside an article only containers are left out
+by a mark, and only if a name in their class or role is as a whole that of a foreign part (``related``, ``share-buttons``, not
+``related-work``); headings, paragraphs and inline elements stay, and so does a section whose id merely names its subject.
 
 The stop words are found, not listed: those of the page's language are the most frequent words of all pages with that
 ``lang`` attribute; pages without one are a group of their own, and so is a language of few pages. Null and empty pages,
@@ -49,6 +52,13 @@ _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
 #: Parts of class, id and role values that mark something other than the article.
 _MARKS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|menu\w*|nav\w*|breadcrumbs?|sidebar\w*|side|aside|footer|masthead|site-?header|page-?header|topbar|toolbar|cookies?|consent|gdpr|notices?|notification\w*|alert\w*|popup|modal|overlay|newsletter|subscri\w*|signup|login|comments?|comment-\w+|commentlist|replies|reply|respond|disqus|discussion|share|sharing|social|related|recommend\w*|pagination|pager|copyright|legal|disclaimer|widget\w*|search|contentinfo|complementary|navigation)(?:$|[\s_-]|\d)", re.I)
+#: Inside an article a name counts as a whole: a foreign part, with a word before or after it that says whose or what shape it is.
+_PARTS = "ads?|advert(?:s|isement|isements)?|adsense|banners?|sponsor(?:ed|s)?|promos?|promotion|menus?|nav|navbar|navigation|breadcrumbs?|sidebars?|aside|footer|masthead|toolbar|topbar|cookies?|consent|gdpr|notices?|notifications?|alerts?|popups?|modal|overlay|newsletter|subscribe|subscription|signup|login|comments?|commentlist|replies|respond|disqus|share|sharing|social|related|recommended|recommendations|pagination|pager|widgets?|contentinfo|complementary|search"
+_WHOSE = "site|page|post|article|user|reader|main|cookie|share|sharing|social|email|ad|google|legal|reply|side|top|bottom|left|right"
+_SHAPE = "box|banner|bar|list|section|block|container|wrapper|area|form|links?|buttons?|icons?|popup|signup|widget|notice|posts|articles|stories|slot|unit|menu|panel|message|thread|item|body|text|inner|content"
+_FOREIGN = re.compile(rf"(?:^|\s)(?:(?:{_WHOSE})[-_])?(?:{_PARTS})(?:[-_](?:{_SHAPE}))*(?:[-_]?\d+)?(?=\s|$)", re.I)
+#: What may stand in a page's head; anything else ends it.
+_IN_HEAD = frozenset("title meta link base style script noscript template".split())
 #: Inside an article, the ids that can't be the name of one of its own sections, and the elements whose marks count.
 _FOREIGN_ID = re.compile(r"(?:comments|commentlist|disqus_thread|respond|sidebar|newsletter|breadcrumbs?|pagination|pager|ads?|adsense|advert\w*)$", re.I)
 _CONTAINERS = frozenset("div section ul ol aside".split())
@@ -83,7 +93,7 @@ def _dropped(name: str, rest: str, inside_article: bool) -> bool:
     if name in ("body", "html", "article", "main") or name in HEADINGS:
         return False
     if inside_article:
-        return name in _CONTAINERS and (any(_MARKS.search(own.get(k, "")) for k in ("class", "role")) or bool(_FOREIGN_ID.match(own.get("id", ""))))
+        return name in _CONTAINERS and (any(_FOREIGN.search(own.get(k, "")) for k in ("class", "role")) or bool(_FOREIGN_ID.match(own.get("id", ""))))
     return any(_MARKS.search(own.get(k, "")) for k in ("class", "id", "role", "aria-label"))
 
 
@@ -140,6 +150,8 @@ def page_blocks(page: str) -> list[Block]:
                     leave()
             continue
         rest = m["rest"] or m["loose"] or ""
+        if stack and stack[-1][0] == "head" and name not in _IN_HEAD:
+            leave()
         if name in _RAW:
             end = _RAW_END[name].search(page, at)
             at = end.end() if end else len(page)
@@ -169,18 +181,19 @@ def page_blocks(page: str) -> list[Block]:
     return blocks
 
 
-def classify(blocks: list[Block], stop_words: frozenset[str], short: int = 70, long: int = 200, low: float = 0.08, high: float = 0.20, max_links: float = 0.3) -> list[bool]:
-    """True for blocks of the main text. ``short`` and ``long`` are code points; ``low`` and ``high`` shares of stop words."""
+def classify(blocks: list[Block], stop_words: frozenset[str], short: int = 70, long: int = 200, low: float = 0.08, high: float = 0.20, max_links: float = 0.3, run: int = 3) -> list[bool]:
+    """True for blocks of the main text. ``short`` and ``long`` are code points; ``low`` and ``high`` shares of stop words; ``run`` is the least number of linked blocks that links decide against inside an article."""
     labels: list[bool | None] = []
+    menus = [i for i, b in enumerate(blocks) if b.in_article and len(b.text) < short and b.link_chars > max_links * len(b.text) and b.tag not in HEADINGS]
     for b in blocks:
         linked = b.link_chars > max_links * len(b.text)
-        if len(b.text) < short:
-            labels.append(False if linked else None)
+        if len(b.text) < short or b.tag in HEADINGS and linked:
+            labels.append(False if linked and not b.in_article and b.tag not in HEADINGS else None)
             continue
         words = _WORD.findall(b.text.lower())
         density = sum(w in stop_words for w in words) / len(words) if words else 0.0
         if linked:
-            labels.append(density >= high and len(b.text) >= long)
+            labels.append(True if density >= high and len(b.text) >= long else None if b.in_article and density > 0 else False)
         elif density >= high or density >= low and len(b.text) >= long:
             labels.append(True)
         elif density >= low or len(b.text) < long or b.in_article or b.tag in _WORDLESS:
@@ -188,6 +201,23 @@ def classify(blocks: list[Block], stop_words: frozenset[str], short: int = 70, l
         else:
             labels.append(False)
 
+    def holds(i: int) -> bool:
+        """Whether a block is prose, or a heading, so that linked blocks beside it belong to the article."""
+        if not 0 <= i < len(blocks):
+            return False
+        b = blocks[i]
+        return labels[i] is True or b.tag in HEADINGS or len(b.text) >= long and b.link_chars <= max_links * len(b.text)
+
+    first = 0
+    for at, i in enumerate(menus):
+        if at + 1 < len(menus) and menus[at + 1] == i + 1:
+            continue
+        own = menus[first : at + 1]
+        first = at + 1
+        if len(own) >= run and not holds(own[0] - 1) and not holds(own[-1] + 1):
+            for j in own:
+                labels[j] = False
+
     if True not in labels:
         # Nothing speaks for any block: an article keeps what nothing speaks against.
         labels = [True if x is None and b.in_article else x for x, b in zip(labels, blocks, strict=True)]

@@ -74,6 +74,76 @@ def test_html_rules_hold_inside_an_article():
     assert html.main_text(page, {}) == f"Title {PROSE.strip()} {LIST.strip()} Last. More More still"
 
 
+@pytest.mark.parametrize(("inside", "want"), [
+    ('<h1><a href="/x">My title</a></h1><p>{0}</p>', "My title {0}"),
+    ('<p>{0}</p><h2>References</h2><ul><li><a href="/a">Alpha tool</a></li><li><a href="/b">Beta tool</a></li><li><a href="/c">Gamma tool</a></li></ul>', "{0} References Alpha tool Beta tool Gamma tool"),
+    ('<p>{0}</p><ol><li><a href="/a">Alpha tool</a></li><li><a href="/b">Beta tool</a></li><li><a href="/c">Gamma tool</a></li></ol>', "{0} Alpha tool Beta tool Gamma tool"),
+    ("<p>{0}</p><p>See <a href='/r'>the full report here</a>.</p><p>{0}</p>", "{0} See the full report here . {0}"),
+    ('<p>{0}</p><p>Of it <a href="/r">there is a longer account by the same hand</a> and that is in print too.</p>', "{0} Of it there is a longer account by the same hand and that is in print too."),
+    ('<p>{0}</p><div class="related-work"><p>{0}</p></div><div class="search-results"><p>{0}</p></div>', "{0} {0} {0}"),
+    ('<p>{0}</p><div class="share-buttons">Share</div><div class="box related">Other</div><section class="user-comments">Me too</section><div class="ad-slot-3">Buy</div><div class="cookie-notice">We use</div>', "{0}"),
+])
+def test_html_keeps_linked_parts_of_an_article(inside, want):
+    page = f"<html><body><article>{inside.format(PROSE)}</article></body></html>"
+    assert html.main_text(page, FUNCTION_WORDS).replace("here.", "here .") == want.format(PROSE.strip())
+
+
+def test_html_head_may_be_left_open():
+    for page in (f"<html><head><title>T</title><meta charset=u><body><article><p>{PROSE}</p></article>", f"<head><style>x</style><article><p>{PROSE}</p></article>", f"<html><head><link rel=x><p>{PROSE}</p>"):
+        assert html.main_text(page, FUNCTION_WORDS) == PROSE.strip()
+
+
+def test_html_two_passes_in_a_plain_form():
+    """The labels of random pages against the rules said once more, block by block."""
+    rnd = random.Random(8)
+    stop = FUNCTION_WORDS[""]
+
+    def first(blocks, i):
+        b = blocks[i]
+        words = re.findall(r"[^\W\d_]+", b.text.lower())
+        density = sum(w in stop for w in words) / max(1, len(words))
+        linked, n, heading = b.link_chars / len(b.text) > 0.3, len(b.text), b.tag in html.HEADINGS
+        if n < 70 or heading and linked:
+            return False if linked and not heading and not b.in_article else None
+        if linked:
+            return True if density >= 0.2 and n >= 200 else None if b.in_article and density else False
+        if density >= 0.2 or density >= 0.08 and n >= 200:
+            return True
+        return None if density >= 0.08 or n < 200 or b.in_article or b.tag in html._WORDLESS else False
+
+    def plain(blocks):
+        labels = [first(blocks, i) for i in range(len(blocks))]
+        small = lambda i: 0 <= i < len(blocks) and blocks[i].in_article and len(blocks[i].text) < 70 and blocks[i].link_chars > 0.3 * len(blocks[i].text) and blocks[i].tag not in html.HEADINGS
+        holds = lambda i: 0 <= i < len(blocks) and (labels[i] is True or blocks[i].tag in html.HEADINGS or len(blocks[i].text) >= 200 and blocks[i].link_chars <= 0.3 * len(blocks[i].text))
+        out = list(labels)
+        for i in range(len(blocks)):
+            if small(i):
+                a = next(j for j in range(i, -2, -1) if not small(j))
+                z = next(j for j in range(i, len(blocks) + 1) if not small(j))
+                if z - a - 1 >= 3 and not holds(a) and not holds(z):
+                    out[i] = False
+        if True not in out:
+            out = [True if x is None and b.in_article else x for x, b in zip(out, blocks, strict=True)]
+        final = []
+        for i in range(len(out)):
+            near = sorted((abs(i - j), not x) for j, x in enumerate(out) if x is not None)
+            final.append(not near[0][1] if near else True)
+        return final
+
+    seen = set()
+    for _ in range(500):
+        blocks, article = [], rnd.random() < 0.6
+        for _ in range(rnd.randint(1, 25)):
+            b = html.Block(rnd.choice(["p", "p", "li", "li", "h2", "div", "td"]), article)
+            b.text = " ".join(rnd.choices(sorted(stop) if rnd.random() < 0.3 else ["alpha", "beta", "gamma", "the", "delta", "epsilon"], k=rnd.choice([2, 4, 8, 20, 60])))
+            b.link_chars = rnd.choice([0, 0, len(b.text) // 2, len(b.text)])
+            blocks.append(b)
+        got = html.classify(blocks, stop)
+        assert got == plain(blocks)
+        seen.update(got)
+    assert seen == {True, False}
+
+
 def test_html_loose_markup_and_long_tags():
     import time
 
