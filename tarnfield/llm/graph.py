@@ -2,28 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_FALLBACK = "/tmp/checkpoints"
+from tarnfield.functions.storage import checkpointed as cut
+from tarnfield.functions.storage import shared_folder
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``. Unset, it is a folder of this machine in local mode, and an error on a cluster."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = _FALLBACK
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def cut(rows: DataFrame) -> DataFrame:
-    """The same rows, written to the shared folder and read from there: a lost executor costs nothing done before."""
-    shared_folder(rows.sparkSession)
-    return rows.checkpoint()
+__all__ = ["components", "cut", "shared_folder"]
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -9,12 +9,16 @@ Links are exact: two documents link when ``100 * intersection >= percent * union
 3. The classes left over make up the incidence matrix. Its shingles are counted exactly and ordered rare ones first; a
    class can only link to one with which it shares one of its first ``n - ceil(n * percent / 100) + 1`` shingles,
    those held by no other class included. Only that part of the matrix is multiplied.
-4. Each column is first multiplied by one of its rows only, the same for most columns of a group, which is linear in the
-   matrix and joins a large group of near copies at once.
+4. Columns of few rows, most of those that link documents, are multiplied first, and the overlaps of each pair of rows summed.
+   A longer column is multiplied by one of its rows only, the same for most columns of a group, which is linear in
+   the matrix and joins a large group of near copies at once without meeting them in pairs.
 5. Then the columns that still hold several components are multiplied: all rows but those of the column's largest
    component against all rows, in blocks and by bands of set sizes, so that rows whose sizes exclude a link don't meet.
    Overlap counts are summed for each pair, and pairs below the bound for their sizes dropped.
-6. What is left is compared on the whole rows of the matrix, and components are formed from the links.
+6. What is left of 4 and 5 is checked on the whole rows of the matrix, and components are formed from the links.
+
+Shingles are compared by 64-bit hashes; two different ones of a pair of documents with n shingles each share one with a chance of
+about n * n / 2^64, some 10^-12 for documents of 5,000 words.
 
 Null or empty texts have no shingles and link with nothing. Rows without an id take no part. Rows that repeat an id are
 one node of the link graph, with the links of all their texts: each gets the same component, and its own text's set size.
@@ -43,6 +47,8 @@ _SEVERAL = 0xFFFF
 _FEW_IDS = 1_000_000
 #: Rows that one task compares with the same row of the matrix, or multiplies in one block.
 _BLOCK = 512
+#: Columns of so many rows are multiplied before all others.
+_FEW_ROWS = 16
 #: Partitions that the ranges are dealt to at most.
 _MOST_PARTITIONS = 1 << 14
 #: Set sizes within this factor are one band.
@@ -364,12 +370,18 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     numbered = cut(classes.join(some, ["k1", "k2"]).withColumn("c", F.monotonically_increasing_id()))
     sets = matrix(rows, numbered, size)
     entries = first_entries(sets, percent)
-    stars = cut(star_pairs(entries, percent))
-    links = cut(_verified(stars, sets, percent))
+    both_ways = lambda pairs: pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    rows_of = entries.groupBy("sh").agg(F.count("*").alias("rows"))
+    # Overlaps in few-row columns only: a pair that falls short of the bound here is met again below.
+    few = entries.join(rows_of.where(F.col("rows").between(2, _FEW_ROWS)).select("sh"), "sh").withColumn("component", F.col("c"))
+    direct = cut(product_pairs(few, percent))
+    many = entries.join(rows_of.where(F.col("rows") > _FEW_ROWS).select("sh"), "sh")
+    stars = cut(star_pairs(many, percent).join(both_ways(direct), ["a", "b"], "left_anti"))
+    tried = direct.unionByName(stars)
+    links = cut(_verified(tried, sets, percent))
     joined = components(links).withColumnRenamed("node", "c")
     labelled = entries.join(joined, "c", "left").withColumn("component", F.coalesce("component", "c"))
-    seen = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = cut(product_pairs(labelled, percent).join(seen, ["a", "b"], "left_anti"))
+    more = cut(product_pairs(labelled, percent).join(both_ways(tried), ["a", "b"], "left_anti"))
     links = links.unionByName(_verified(more, sets, percent))
     # From classes to ids: the smallest id of a class stands for it, and an id with several texts joins their classes.
     named = numbered.select("c", "rep")
