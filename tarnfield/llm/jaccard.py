@@ -40,7 +40,7 @@ from tarnfield.llm.graph import components, cut
 from tarnfield.llm.textkit import LOWER, SPACES, chain, chunked, find_words, fresh_names, prefix_sums, span_hash, text_bytes
 
 #: Shingles that one range of the hash space holds on average, and those of one chunk of documents.
-_RANGE, _CHUNK = 1 << 22, 1 << 19
+_RANGE, _CHUNK = 1 << 21, 1 << 19
 #: Owner of a shingle that several documents of its chunk hold; a chunk has fewer documents than that.
 _SEVERAL = 0xFFFF
 #: Ids that are sent to every task rather than joined by a shuffle: some 20 MB.

@@ -123,15 +123,15 @@ def test_small_groups_are_linked_by_the_product(spark, monkeypatch):
     rnd = random.Random(9)
     rows = []
     for group in range(20):
-        base = [f"g{group}w{i}" for i in range(100)]
+        base = [f"g{group}w{i}" for i in range(150)]
         for copy in range(rnd.randint(2, 6)):
             words = list(base)
-            words[rnd.randrange(100)] = f"own{group}x{copy}"
+            words[rnd.randrange(150)] = f"own{group}x{copy}"
             rows.append((len(rows), " ".join(words)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    want = brute(rows, 3, 90)
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_classes(docs).collect()} == want
+    want = brute(rows, 5, 80)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_classes(docs, size=5, percent=80).collect()} == want
     assert len({c for _, c in want.values()}) == 20
     whole = jaccard.product_pairs
     monkeypatch.setattr(jaccard, "product_pairs", lambda entries, percent: whole(entries.limit(0), percent))
-    assert len({r.component_id for r in jaccard.jaccard_classes(docs).collect()}) == len(rows)
+    assert len({r.component_id for r in jaccard.jaccard_classes(docs, size=5, percent=80).collect()}) == len(rows)
