@@ -195,8 +195,29 @@ def component_decoded(x: Column) -> Column:
     return F.when(percent_encoded(text) == x, text)
 
 
-def canonical_json(x: Column, indent: int | None = None) -> Column:
-    """JSON text with sorted keys and no spaces (or indented, with a line feed at the end); null if it isn't JSON."""
+def _in_order(x):
+    """A decoded JSON value with sorted keys, arrays sorted by their members' own text, and whole numbers without a point."""
+    if isinstance(x, dict):
+        return {k: _in_order(x[k]) for k in sorted(x, key=_utf16)}
+    if isinstance(x, list):
+        return sorted(map(_in_order, x), key=lambda y: _utf16(json.dumps(y, separators=(",", ":"), ensure_ascii=False)))
+    return int(x) if isinstance(x, float) and x.is_integer() and abs(x) < 1e21 else x
+
+
+def _utf16(x: str) -> bytes:
+    return x.encode("utf-16-be", "surrogatepass")
+
+
+def canonical_digest(x: Column) -> Column:
+    """The SHA-256 of a JSON text in which the order of arrays and keys doesn't count, with its prefix; null if it isn't JSON."""
+    return F.concat(F.lit("sha256:"), F.sha2(canonical_json(x, 2, unordered=True), 256))
+
+
+def canonical_json(x: Column, indent: int | None = None, unordered: bool = False) -> Column:
+    """JSON text with sorted keys and no spaces (or indented, with a line feed at the end); null if it isn't JSON.
+
+    ``unordered``: arrays are sorted too, by the text of their members, so that permuted values give the same text.
+    """
 
     @F.pandas_udf(T.StringType())
     def render(values: pd.Series) -> pd.Series:
@@ -205,9 +226,11 @@ def canonical_json(x: Column, indent: int | None = None) -> Column:
                 found = json.loads(v, parse_constant=lambda c: (_ for _ in ()).throw(ValueError(c)))
             except (TypeError, ValueError):
                 return None
+            if unordered:
+                found = _in_order(found)
             if indent is None:
                 return json.dumps(found, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-            return json.dumps(found, sort_keys=True, indent=indent, ensure_ascii=False) + "\n"
+            return json.dumps(found, sort_keys=not unordered, indent=indent, ensure_ascii=False) + "\n"
 
         return values.map(one)
 
