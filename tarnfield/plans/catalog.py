@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnfield.plans import contract_queries, lexical_queries, planning_queries, projection_queries, relational_queries, screening_queries, selection_queries
+from tarnfield.plans import contract_queries, lexical_queries, planning_queries, projection_queries, relational_queries, result_queries, screening_queries, selection_queries
 
-_MODULES = (lexical_queries, screening_queries, selection_queries, projection_queries, relational_queries, contract_queries, planning_queries)
+_MODULES = (lexical_queries, screening_queries, selection_queries, projection_queries, relational_queries, contract_queries, planning_queries, result_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
