@@ -30,7 +30,8 @@ RUN_SIDECARS = (
 def artifact_files(spark: SparkSession, root: str, pattern: str | None = None, recursive: bool = True) -> DataFrame:
     """path (below the root), length, modified, content and revision of each file, as one distributed scan.
 
-    ``pattern`` is a glob on file names. The listing is unordered; sort by path where order matters.
+    ``pattern`` is a glob on file names. The listing is unordered; sort by path where order matters. Empty files are left out, as
+    by all of Spark's file sources; ``sources.tree`` has them, and refuses links.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if pattern:
