@@ -42,6 +42,8 @@ def indicator_rows(column: pa.Array) -> Iterator[np.ndarray]:
         shapes = span_hash(prefix_sums(classes[keep]), rank[starts], rank[ends])
         same = np.zeros(len(words), np.uint64)
         same[1:] = words[1:] == words[:-1]
+        # A text's first word has none before it.
+        same[rows[:-1][rows[:-1] < len(words)]] = 0
         step = lambda x, k: np.concatenate((x[k:], np.zeros(min(k, len(x)), np.uint64)))
         one, two, three = shapes, step(shapes, 1), step(shapes, 2)
         grams = ((1, chain(words, seed=11)), (2, chain(words, step(words, 1), seed=12)), (1, chain(one, seed=13)), (2, chain(one, two, seed=14)), (3, chain(one, two, three, seed=15)), (3, chain(same, step(same, 1), step(same, 2), seed=16)))
