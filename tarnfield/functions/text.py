@@ -20,6 +20,8 @@ EDGE_BEFORE, EDGE_AFTER = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 #: An ASCII word boundary on either side: between a word character and none.
 EDGE = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 TOKEN = r"[\p{L}\p{N}]+"
+#: Control characters but tab and line feed.
+UNSAFE = r"[\x00-\x08\x0B-\x1F\x7F-\x9F]"
 
 
 def round6(x: Column) -> Column:
@@ -135,7 +137,7 @@ def utf16_head(x: Column, limit: int) -> Column:
 
 def safe_text(x: Column, most: int, lines: bool = False) -> Column:
     """Not empty, at most ``most`` UTF-16 units and free of control characters (tab and line feed allowed by ``lines``)."""
-    bad = r"[\x00-\x08\x0B-\x1F\x7F-\x9F]" if lines else r"[\x00-\x1F\x7F-\x9F]"
+    bad = UNSAFE if lines else r"[\x00-\x1F\x7F-\x9F]"
     return F.coalesce((F.length(x) > 0) & (utf16_length(x) <= most) & ~x.rlike(bad), F.lit(False))
 
 
@@ -159,12 +161,13 @@ def plain_body(x: Column) -> Column:
     return F.when(body.rlike(r"\S"), body)
 
 
-def bounded_body(x: Column, limit: int = 100_000) -> Column:
+def bounded_body(x: Column, limit: int = 100_000, plain: bool = False) -> Column:
     """A struct of ``body`` (at most ``limit`` UTF-16 units), ``truncated``, ``original_chars`` and ``valid``.
 
     Cut text whose end had to be stripped of line feeds no longer has the full length and is marked invalid.
+    ``plain``: the text is a ``plain_body`` already.
     """
-    body = plain_body(x)
+    body = x if plain else plain_body(x)
     size = utf16_length(body)
     cut = F.regexp_replace(utf16_head(body, limit), r"\n+\z", "")
     return F.struct(

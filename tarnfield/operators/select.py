@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnfield.functions.text import bounded_body, instant, prefixed_sha256, safe_text
+from tarnfield.functions.text import UNSAFE, bounded_body, instant, plain_body, prefixed_sha256
 
 # Classes of unselected paths in their order, as (pattern, class).
 PATH_CLASSES = (
@@ -80,11 +80,16 @@ def target_name(kind: Column, uri: Column) -> Column:
 
 
 def source_documents(docs: DataFrame, key: str = "doc_id", body: str = "text", kind: str = "planning", scheme: str = "doc://corpus/") -> DataFrame:
-    """Canonical source documents: key, uri, target, body, truncated, original_chars, content_hash and ``problem``."""
+    """Canonical source documents: key, uri, target, body, truncated, original_chars, content_hash, body_hash and ``problem``.
+
+    ``content_hash`` and the check for unsafe characters are those of the whole body, so that a change beyond the cut is
+    seen; ``body_hash`` is that of ``body``, which may be cut.
+    """
     uri = F.concat(F.lit(scheme), F.col(key).cast("string"))
-    rows = docs.select(F.col(key).alias("key"), uri.alias("uri"), target_name(F.lit(kind), uri).alias("target"), bounded_body(F.col(body)).alias("b"))
-    problem = F.when(F.col("b.body").isNull(), "blank").when(~F.col("b.valid"), "truncation-invalid").when(~safe_text(F.col("b.body"), 100_000, lines=True), "unsafe-text")
-    return rows.select("key", "uri", "target", "b.body", "b.truncated", "b.original_chars", prefixed_sha256(F.col("b.body")).alias("content_hash"), problem.alias("problem"))
+    rows = docs.select(F.col(key).alias("key"), uri.alias("uri"), target_name(F.lit(kind), uri).alias("target"), plain_body(F.col(body)).alias("whole"))
+    rows = rows.select("key", "uri", "target", "whole", bounded_body(F.col("whole"), plain=True).alias("b"))
+    problem = F.when(F.col("whole").isNull(), "blank").when(~F.col("b.valid"), "truncation-invalid").when(F.col("whole").rlike(UNSAFE), "unsafe-text")
+    return rows.select("key", "uri", "target", "b.body", "b.truncated", "b.original_chars", prefixed_sha256(F.col("whole")).alias("content_hash"), prefixed_sha256(F.col("b.body")).alias("body_hash"), problem.alias("problem"))
 
 
 def upsert_status(expected: DataFrame, existing: DataFrame, key: str = "target", identity: str = "uri", content: str = "content_hash") -> DataFrame:

@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -185,6 +187,17 @@ def test_upsert_and_selection(spark):
     assert tuple(spark.range(1).select(value, source).first()) == ("2024-01-01T00:00:00.000Z", "b")
 
 
+def test_source_documents_hash_and_check_what_lies_beyond_the_cut(spark):
+    """The digest is that of the whole body, and a control character after 100,000 characters is unsafe."""
+    rows = [(1, "x" * 100_001 + "a\r\n"), (2, "x" * 100_001 + "\x01"), (3, "short\n"), (4, " \n"), (5, None)]
+    new = select.source_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.key: r for r in new.collect()}
+    digest = lambda x: "sha256:" + hashlib.sha256(x.encode()).hexdigest()
+    assert (got[1].content_hash, got[1].body_hash, got[1].truncated, got[1].problem) == (digest("x" * 100_001 + "a"), digest("x" * 100_000), True, None)
+    assert (got[2].problem, got[3].content_hash, got[3].body_hash) == ("unsafe-text", digest("short"), digest("short"))
+    assert [(got[k].content_hash, got[k].problem) for k in (4, 5)] == [(None, "blank")] * 2
+
+
 def test_lifecycle(spark):
     rows = [("decision", "superseded", None, None, None, None, None), ("failure", "resolved", None, 0, None, "  ", None), ("verification", "passed", None, None, 0, None, None), ("decision", "archived", None, None, None, None, "old"), ("decision", "open", None, None, None, None, None)]
     frame = spark.createDataFrame(rows, "entity_type string, state string, incoming_supersedes int, passed_verifications int, n_evidence int, resolution string, archive_reason string")
