@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnfield.functions.text import component_decoded, percent_encoded
-from tarnfield.operators import index, projection
+from tarnfield.operators import index, projection, select
 
 PAGES = "page_id string, title string, summary string, body string, source_refs array<string>"
 DOCS = [
@@ -158,6 +158,14 @@ def test_run_indexes(spark):
     assert got[2].decoded.runs[1].runId == "run-2"
 
 
+def test_a_change_beyond_the_cut_remains_to_be_written(spark):
+    rows = lambda end: select.source_documents(spark.createDataFrame([(1, "x" * 100_001 + end)], "doc_id long, text string"))
+    plan = rows("a").withColumn("decision", F.lit("include")).join(select.upsert_status(rows("a"), rows("b")).withColumnRenamed("status", "write_status"), "target")
+    plan = plan.select("target", "uri", "content_hash", "decision", "write_status")
+    summary, _ = projection.sync_plan(plan, plan.limit(0), dry_run=True)
+    assert [(r.included, r.remaining) for r in summary.collect()] == [(1, 1)]
+
+
 PLAN = "target string, uri string, content_hash string, decision string, write_status string"
 
 
