@@ -16,6 +16,8 @@ KINDS = ("word", "bigram", "trigram")
 FIELDS = ("title", "summary", "body")
 #: The weight of each kind.
 WEIGHTS = {"word": 0.5, "bigram": 0.3, "trigram": 0.2}
+#: Repeated page ids that ``posting_sizes`` sends to every task at most.
+MAX_REPEATED = 100_000
 
 
 def weighted_score(coverage: dict[str, Column]) -> Column:
@@ -70,9 +72,22 @@ def postings(pages: DataFrame, page_id: str = "page_id", fields: tuple[str, ...]
 
 
 def posting_sizes(pages: DataFrame, page_id: str = "page_id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """Of each posting list: its number of pages and its smallest and largest page id."""
-    lists = postings(pages, page_id, fields).groupBy("field", "kind", "feature")
-    return lists.agg(F.count_distinct("page_id").alias("n_pages"), F.min("page_id").alias("first_page"), F.max("page_id").alias("last_page"))
+    """Of each posting list: its number of pages and its smallest and largest page id.
+
+    A page id that one row has needs no distinct count, so those lists are summed up where the pages lie. Rows that share
+    an id go through distinct postings: up to ``MAX_REPEATED`` such ids are told apart by a broadcast, else all rows do.
+    """
+    lists = lambda rows: postings(rows, page_id, fields)
+    sizes = lambda rows, n: rows.groupBy("field", "kind", "feature").agg(n.alias("n_pages"), F.min("page_id").alias("first_page"), F.max("page_id").alias("last_page"))
+    repeated = pages.groupBy(page_id).agg(F.count("*").alias("n")).where(F.col(page_id).isNotNull() & (F.col("n") > 1)).select(page_id)
+    n_repeated = repeated.limit(MAX_REPEATED + 1).count()
+    if n_repeated > MAX_REPEATED:
+        return sizes(lists(pages), F.count_distinct("page_id"))
+    if n_repeated == 0:
+        return sizes(lists(pages), F.count("page_id"))
+    alone, shared = (pages.join(F.broadcast(repeated), page_id, how) for how in ("left_anti", "left_semi"))
+    parts = sizes(lists(alone), F.count("page_id")).unionByName(sizes(lists(shared).distinct(), F.count("page_id")))
+    return parts.groupBy("field", "kind", "feature").agg(F.sum("n_pages").alias("n_pages"), F.min("first_page").alias("first_page"), F.max("last_page").alias("last_page"))
 
 
 def batch_search(pages: DataFrame, queries: DataFrame, page_id: str = "page_id", text: str = "text", query_id: str = "query_id", query_text: str = "query_text", limit: int = 20) -> DataFrame:

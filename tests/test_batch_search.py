@@ -1,4 +1,7 @@
 import random
+import re
+
+import pytest
 
 from tarnfield.operators import lexical
 
@@ -19,3 +22,16 @@ def test_batch_search_equals_brute_force(spark):
             want |= {(q, p, -m, i + 1) for i, (m, p) in enumerate(best)}
         got = {(r.query_id, r.page_id, r.matches, r["rank"]) for r in lexical.batch_search(frame, asked, limit=limit).collect()}
         assert got == want
+
+
+@pytest.mark.parametrize("most", [0, 1, 100])
+def test_posting_sizes_count_repeated_pages_once(spark, most, monkeypatch):
+    """No distinct count unless ids repeat; equal whether repeated ids are told apart, are too many, or lie in other rows."""
+    rows = [(1, "a b"), (1, "b c"), (2, "a"), (3, None), (None, "a z"), (4, "c"), (4, "c"), (5, "c")]
+    want = {("a", 2, 1, 2), ("b", 1, 1, 1), ("c", 3, 1, 5), ("z", 0, None, None)}
+    monkeypatch.setattr(lexical, "MAX_REPEATED", most)
+    frame = spark.createDataFrame(rows, "page_id long, text string")
+    sizes = lexical.posting_sizes(frame, fields=("text",))
+    assert {(r.feature, r.n_pages, r.first_page, r.last_page) for r in sizes.collect()} == want
+    alone = lexical.posting_sizes(frame.where("page_id in (2, 3, 5)"), fields=("text",))
+    assert not re.search(r"keys=\[[^]]*page_id", alone._jdf.queryExecution().executedPlan().toString())
