@@ -18,6 +18,8 @@ FIELDS = ("title", "summary", "body")
 WEIGHTS = {"word": 0.5, "bigram": 0.3, "trigram": 0.2}
 #: Repeated page ids that ``posting_sizes`` sends to every task at most.
 MAX_REPEATED = 100_000
+#: Parts that ``batch_search`` makes of the pages that one task reads.
+PARTS = 16
 
 
 def weighted_score(coverage: dict[str, Column]) -> Column:
@@ -93,11 +95,13 @@ def posting_sizes(pages: DataFrame, page_id: str = "page_id", fields: tuple[str,
 def batch_search(pages: DataFrame, queries: DataFrame, page_id: str = "page_id", text: str = "text", query_id: str = "query_id", query_text: str = "query_text", limit: int = 20) -> DataFrame:
     """Word coverage of many queries at once: an equi-join on features instead of a product of queries and pages.
 
-    Partial counts come together before the join's result is ranked; the rank is kept to ``limit`` a query.
+    Every row of a page is counted and ranked in one task, which takes ``1 / PARTS`` of what a task of the input reads, so its
+    pairs of query and page don't grow with the table; only the best ``limit`` a query of each task go on.
     """
     wanted = queries.select(F.col(query_id).alias("query_id"), F.array_distinct(tokens(F.coalesce(F.col(query_text), F.lit("")))).alias("w"))
     wanted = wanted.select("query_id", F.size("w").alias("n"), F.explode("w").alias("feature"))
-    held = pages.select(F.col(page_id).alias("page_id"), F.explode(F.array_distinct(tokens(F.coalesce(F.col(text), F.lit(""))))).alias("feature"))
+    words = pages.select(F.col(page_id).alias("page_id"), F.array_distinct(tokens(F.coalesce(F.col(text), F.lit("")))).alias("w"))
+    held = words.repartition(PARTS * max(1, pages.rdd.getNumPartitions()), "page_id").select("page_id", F.explode("w").alias("feature"))
     matched = held.join(wanted, "feature").groupBy("query_id", "page_id", "n").agg(F.count("*").alias("matches"))
     scored = matched.select("query_id", "page_id", "matches", share(F.col("matches"), F.col("n")).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "page_id")

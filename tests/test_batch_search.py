@@ -24,6 +24,16 @@ def test_batch_search_equals_brute_force(spark):
         assert got == want
 
 
+def test_batch_search_splits_what_a_task_reads_and_sums_repeated_pages(spark):
+    """A task counts and ranks the pairs of a sixteenth of what a task of the input reads."""
+    frame = spark.createDataFrame([(i, f"the w{i % 7}") for i in range(200)] + [(3, "the w3 of")], "page_id long, text string").repartition(3)
+    asked = spark.createDataFrame([(1, "the of")], "query_id long, query_text string")
+    found = lexical.batch_search(frame, asked, limit=2)
+    assert [(r.page_id, r.matches, r["rank"]) for r in found.orderBy("rank").collect()] == [(3, 3, 1), (0, 1, 2)]
+    parts = lexical.PARTS * 3
+    assert re.search(rf"hashpartitioning\(page_id#\d+L?, {parts}\), REPARTITION_BY_NUM", found._jdf.queryExecution().executedPlan().toString())
+
+
 @pytest.mark.parametrize("most", [0, 1, 100])
 def test_posting_sizes_count_repeated_pages_once(spark, most, monkeypatch):
     """No distinct count unless ids repeat; equal whether repeated ids are told apart, are too many, or lie in other rows."""
