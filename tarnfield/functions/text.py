@@ -5,9 +5,11 @@ Every function takes and returns ``Column``; null goes in, null comes out, unles
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -211,9 +213,33 @@ def _utf16(x: str) -> bytes:
     return x.encode("utf-16-be", "surrogatepass")
 
 
+def _rendered(v: str | None, indent: int | None, unordered: bool) -> str | None:
+    try:
+        found = json.loads(v, parse_constant=lambda c: (_ for _ in ()).throw(ValueError(c)))
+    except (TypeError, ValueError):
+        return None
+    if unordered:
+        found = _in_order(found)
+    if indent is None:
+        return json.dumps(found, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return json.dumps(found, sort_keys=not unordered, indent=indent, ensure_ascii=False) + "\n"
+
+
 def canonical_digest(x: Column) -> Column:
-    """The SHA-256 of a JSON text in which the order of arrays and keys doesn't count, with its prefix; null if it isn't JSON."""
-    return F.concat(F.lit("sha256:"), F.sha2(canonical_json(x, 2, unordered=True), 256))
+    """The SHA-256 of a JSON text in which the order of arrays and keys doesn't count, with its prefix; null if it isn't JSON.
+
+    One text at a time is decoded and rendered, and only digests leave the batch, so no more than the batch itself is held.
+    """
+
+    @F.arrow_udf(T.StringType())
+    def digests(values: pa.Array) -> pa.Array:
+        def one(v):
+            text = _rendered(v.as_py(), 2, unordered=True)
+            return None if text is None else "sha256:" + hashlib.sha256(text.encode()).hexdigest()
+
+        return pa.array(map(one, values), pa.string())
+
+    return digests(x)
 
 
 def canonical_json(x: Column, indent: int | None = None, unordered: bool = False) -> Column:
@@ -224,18 +250,7 @@ def canonical_json(x: Column, indent: int | None = None, unordered: bool = False
 
     @F.pandas_udf(T.StringType())
     def render(values: pd.Series) -> pd.Series:
-        def one(v):
-            try:
-                found = json.loads(v, parse_constant=lambda c: (_ for _ in ()).throw(ValueError(c)))
-            except (TypeError, ValueError):
-                return None
-            if unordered:
-                found = _in_order(found)
-            if indent is None:
-                return json.dumps(found, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-            return json.dumps(found, sort_keys=not unordered, indent=indent, ensure_ascii=False) + "\n"
-
-        return values.map(one)
+        return values.map(lambda v: _rendered(v, indent, unordered))
 
     return render(x)
 

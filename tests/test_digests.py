@@ -18,3 +18,10 @@ def test_order_does_not_count(spark):
     # Astral characters come before the last of the basic plane, as by UTF-16 units.
     assert got[5] == got[6] == "sha256:" + hashlib.sha256('[\n  "\U0001f600",\n  "～"\n]\n'.encode()).hexdigest()
     assert got[7:] == [None, None, None]
+
+
+def test_only_digests_leave_the_batch(spark):
+    """The rendered text is hashed where it is made: no SHA-256 after the batch, which would need all its texts."""
+    frame = spark.createDataFrame([('{"a": [2, 1]}',)], "t string").select(canonical_digest(F.col("t")).alias("d"))
+    assert "sha2" not in frame._jdf.queryExecution().optimizedPlan().toString()
+    assert frame.first().d == "sha256:" + hashlib.sha256(b'{\n  "a": [\n    1,\n    2\n  ]\n}\n').hexdigest()
