@@ -49,7 +49,7 @@ def nfkc(x: Column) -> Column:
 
 
 def unix_lines(x: Column) -> Column:
-    return F.regexp_replace(x, "\r\n?", "\n")
+    return F.when(F.contains(x, F.lit("\r")), F.regexp_replace(x, "\r\n?", "\n")).otherwise(x)
 
 
 def tokens(x: Column, normalized: bool = True) -> Column:
@@ -159,22 +159,24 @@ def slug_like(x: Column, most: int = 64) -> Column:
 
 def plain_body(x: Column) -> Column:
     """Line ends as line feeds and none at the end; null if nothing but white space is left."""
-    body = F.regexp_replace(unix_lines(x), r"\n+\z", "")
+    lines = unix_lines(x)
+    body = F.when(F.endswith(lines, F.lit("\n")), F.regexp_replace(lines, r"\n+\z", "")).otherwise(lines)
     return F.when(body.rlike(r"\S"), body)
 
 
-def bounded_body(x: Column, limit: int = 100_000, plain: bool = False) -> Column:
+def bounded_body(x: Column, limit: int = 100_000, plain: bool = False, points: bool = False) -> Column:
     """A struct of ``body`` (at most ``limit`` UTF-16 units), ``truncated``, ``original_chars`` and ``valid``.
 
     Cut text whose end had to be stripped of line feeds no longer has the full length and is marked invalid.
-    ``plain``: the text is a ``plain_body`` already.
+    ``plain``: the text is a ``plain_body`` already. ``points``: code points are counted and cut in place of UTF-16 units.
     """
     body = x if plain else plain_body(x)
-    size = utf16_length(body)
-    cut = F.regexp_replace(utf16_head(body, limit), r"\n+\z", "")
+    length = F.length if points else utf16_length
+    size = length(body)
+    cut = F.regexp_replace(F.substr(body, F.lit(1), F.lit(limit)) if points else utf16_head(body, limit), r"\n+\z", "")
     return F.struct(
         F.when(size > limit, cut).otherwise(body).alias("body"), (size > limit).alias("truncated"),
-        size.alias("original_chars"), F.when(size > limit, utf16_length(cut) == limit).otherwise(body.isNotNull()).alias("valid"),
+        size.alias("original_chars"), F.when(size > limit, length(cut) == limit).otherwise(body.isNotNull()).alias("valid"),
     )
 
 

@@ -79,15 +79,15 @@ def target_name(kind: Column, uri: Column) -> Column:
     return F.concat(kind, F.lit("--"), F.sha2(uri, 256), F.lit(".md"))
 
 
-def source_documents(docs: DataFrame, key: str = "doc_id", body: str = "text", kind: str = "planning", scheme: str = "doc://corpus/") -> DataFrame:
+def source_documents(docs: DataFrame, key: str = "doc_id", body: str = "text", kind: str = "planning", scheme: str = "doc://corpus/", points: bool = False) -> DataFrame:
     """Canonical source documents: key, uri, target, body, truncated, original_chars, content_hash, body_hash and ``problem``.
 
     ``content_hash`` and the check for unsafe characters are those of the whole body, so that a change beyond the cut is
-    seen; ``body_hash`` is that of ``body``, which may be cut.
+    seen; ``body_hash`` is that of ``body``, which may be cut. ``points``: lengths and the cut are in code points, not UTF-16 units.
     """
     uri = F.concat(F.lit(scheme), F.col(key).cast("string"))
     rows = docs.select(F.col(key).alias("key"), uri.alias("uri"), target_name(F.lit(kind), uri).alias("target"), plain_body(F.col(body)).alias("whole"))
-    rows = rows.select("key", "uri", "target", "whole", bounded_body(F.col("whole"), plain=True).alias("b"))
+    rows = rows.select("key", "uri", "target", "whole", bounded_body(F.col("whole"), plain=True, points=points).alias("b"))
     problem = F.when(F.col("whole").isNull(), "blank").when(~F.col("b.valid"), "truncation-invalid").when(F.col("whole").rlike(UNSAFE), "unsafe-text")
     return rows.select("key", "uri", "target", "b.body", "b.truncated", "b.original_chars", prefixed_sha256(F.col("whole")).alias("content_hash"), prefixed_sha256(F.col("b.body")).alias("body_hash"), problem.alias("problem"))
 

@@ -166,6 +166,23 @@ def test_a_change_beyond_the_cut_remains_to_be_written(spark):
     assert [(r.included, r.remaining) for r in summary.collect()] == [(1, 1)]
 
 
+def test_the_queries_cut_by_code_points_as_their_sql_does(spark, tmp_path):
+    """In UTF-16 units the first text would end behind a line feed, and the second would not."""
+    import duckdb
+
+    from tarnfield.plans import projection_queries
+
+    texts = ["\U0001f600" + "x" * 99_997 + "\n" + "yz", "\U0001f600" + "x" * 99_998 + "\n" + "yzz", "short"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0,)], "doc_id long").write.parquet(f"{tmp_path}/labels.parquet")
+    db = duckdb.connect()
+    for name in ("documents", "labels"):
+        db.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = [tuple(r) for r in projection_queries.sync_summary(spark, str(tmp_path)).collect()]
+    assert got == db.sql(projection_queries.SYNC_SQL).fetchall()
+    assert got[0][0] == 2
+
+
 PLAN = "target string, uri string, content_hash string, decision string, write_status string"
 
 
