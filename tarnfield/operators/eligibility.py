@@ -65,36 +65,39 @@ def _yes(condition: Column) -> Column:
 
 def _facts(files: DataFrame, schemas: dict[str, str]) -> DataFrame:
     """project_id, iteration, role and one struct for each role, null but for the row's own."""
-    text, x = F.col("text"), F.try_parse_json(F.col("text"))
-    project, iteration, role = F.col("project_id"), select.iteration_of(F.col("path")), _role(F.col("path"))
+    text, x, role = F.col("text"), F.col("x"), _role(F.col("path"))
+    project, iteration = F.col("project_id"), F.col("iteration")
     digest, revised = F.sha2(text, 256).alias("digest"), F.col("revised_at").alias("revised_at")
     status = _text(_get(x, "status"))
     foreign = _no((_text(_get(x, "schema_version")) == schemas["spec"]) & (_text(_get(x, "project_id")) == project))
     draft = _no((_text(_get(x, "approval")) == "approved") & (F.size(_items(_get(x, "open_decisions"))) == 0))
     of = {
         "meta": F.struct(
-            planning.iteration_problem(text, project, iteration, schemas["iteration"]).alias("problem"), status.alias("status"), _text(_get(x, "promoted_at")).alias("promoted_at"),
+            planning.iteration_problem(text, project, iteration, schemas["iteration"], x).alias("problem"), status.alias("status"), _text(_get(x, "promoted_at")).alias("promoted_at"),
             F.to_json(_get(x, "closed_at")).alias("closed_at"), F.sha2(F.to_json(_get(x, "close")), 256).alias("close"), revised,
         ),
         "spec": F.struct(
-            (~_object(x) | foreign).alias("foreign"), draft.alias("draft"), planning.spec_problem(text, project, schemas["spec"]).alias("problem"),
+            (~_object(x) | foreign).alias("foreign"), draft.alias("draft"), planning.spec_problem(text, project, schemas["spec"], x).alias("problem"),
             (_text(_get(x, "source_intake")) == INTAKE_REFERENCE).alias("refers"), _text(_get(x, "source_intake_sha256")).alias("intake"), digest, revised,
         ),
-        "intake": F.struct(_object(x).alias("readable"), planning.intake_problem(text, schemas["intake"]).alias("problem"), digest, revised),
+        "intake": F.struct(_object(x).alias("readable"), planning.intake_problem(text, schemas["intake"], x).alias("problem"), digest, revised),
         "graph": F.struct(digest),
     }
-    rows = files.where(role.isNotNull())
-    return rows.select("project_id", iteration.alias("iteration"), role.alias("role"), *(F.when(role == name, facts).alias(name) for name, facts in of.items()))
+    # A task graph is only hashed. Parsed once, in a projection of its own.
+    rows = files.where(role.isNotNull()).select("project_id", select.iteration_of(F.col("path")).alias("iteration"), role.alias("role"), "text", "revised_at")
+    rows = rows.withColumn("x", F.when(F.col("role") != "graph", F.try_parse_json(text)))
+    return rows.select("project_id", "iteration", "role", *(F.when(F.col("role") == name, facts).alias(name) for name, facts in of.items()))
 
 
 def _current(files: DataFrame, schemas: dict[str, str]) -> DataFrame:
     """project_id, ``x`` (the current specification) and ``problem``."""
-    x = F.try_parse_json(F.col("text"))
+    x = F.col("x")
     problem = (
         F.when(~_object(x), "unsupported_schema").when(_no(_text(_get(x, "project_id")) == F.col("project_id")), "project_mismatch")
-        .when(planning.current_spec_problem(F.col("text"), F.col("project_id"), schemas["current_spec"]).isNotNull(), "unsupported_schema")
+        .when(planning.current_spec_problem(F.col("text"), F.col("project_id"), schemas["current_spec"], x).isNotNull(), "unsupported_schema")
     )
-    return files.where(F.col("path") == CURRENT_SPEC).select("project_id", x.alias("x"), problem.alias("problem"))
+    rows = files.where(F.col("path") == CURRENT_SPEC).select("project_id", "text", F.try_parse_json(F.col("text")).alias("x"))
+    return rows.select("project_id", "x", problem.alias("problem"))
 
 
 def _closed(current: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Validators of planning artifacts given as JSON text, and the state of a profile against what is stored.
 
 Each validator is a column expression over a parsed variant: null for a good artifact, or a word for what is wrong.
-``schema`` is the schema_version that the artifact must state.
+``schema`` is the schema_version that the artifact must state. ``x``: the text, parsed already; a column of a projection of its own, so
+that it isn't parsed anew for each check.
 """
 
 from __future__ import annotations
@@ -83,9 +84,9 @@ def _view(x: Column, keys: tuple[str, ...], texts: tuple[str, ...] = ()) -> Colu
     return _all(_exact(x, keys), *((_kind(_get(x, k)) == "STRING") if k in texts else _texts(_get(x, k)) for k in keys))
 
 
-def spec_problem(text: Column, project: Column, schema: str) -> Column:
+def spec_problem(text: Column, project: Column, schema: str, x: Column | None = None) -> Column:
     """keys, not-eligible (schema, project, approval, intake digest, lists, or open decisions left) or view."""
-    x = F.try_parse_json(text)
+    x = F.try_parse_json(text) if x is None else x
     lists = [_items(_get(x, k)).isNotNull() for k in ("clarifying_question_disposition", "evidence", "open_decisions")]
     eligible = _all(
         _text(_get(x, "schema_version")) == schema, _text(_get(x, "project_id")) == project, _text(_get(x, "approval")) == "approved", _kind(_get(x, "source_intake")) == "STRING",
@@ -128,9 +129,9 @@ def _evidence(x: Column) -> Column:
     return _all(_exact(x, ("source_id", "title", "url", "used_for")), _text(_get(x, "source_id")).rlike(r"\A(?:WEB|USER|LOCAL)-[0-9]+\z"), _filled(_get(x, "title")), _kind(_get(x, "url")) == "STRING", _filled(_get(x, "used_for")))
 
 
-def intake_problem(text: Column, schema: str) -> Column:
+def intake_problem(text: Column, schema: str, x: Column | None = None) -> Column:
     """keys, or the first part that is wrong: schema, facts, assumptions, questions, decisions, status or evidence."""
-    x = F.try_parse_json(text)
+    x = F.try_parse_json(text) if x is None else x
     head = _all(_text(_get(x, "schema_version")) == schema, _filled(_get(x, "idea")), _filled(_get(x, "summary")))
     status = F.coalesce(_text(_get(x, "status")).isin("blocked_on_user", "ready_for_spec"), F.lit(False))
     return (
@@ -139,14 +140,14 @@ def intake_problem(text: Column, schema: str) -> Column:
     )
 
 
-def current_spec_problem(text: Column, project: Column, schema: str) -> Column:
-    x = F.try_parse_json(text)
+def current_spec_problem(text: Column, project: Column, schema: str, x: Column | None = None) -> Column:
+    x = F.try_parse_json(text) if x is None else x
     good = _all(_text(_get(x, "schema_version")) == schema, _text(_get(x, "project_id")) == project, _items(_get(x, "closed_iterations")).isNotNull())
     return F.when(~_allowed(x, CURRENT_SPEC_KEYS), "keys").when(~good, "schema")
 
 
-def iteration_problem(text: Column, project: Column, iteration: Column, schema: str) -> Column:
-    x = F.try_parse_json(text)
+def iteration_problem(text: Column, project: Column, iteration: Column, schema: str, x: Column | None = None) -> Column:
+    x = F.try_parse_json(text) if x is None else x
     good = _all(_text(_get(x, "schema_version")) == schema, _text(_get(x, "project_id")) == project, _text(_get(x, "iteration_id")) == iteration, _absent_or(_get(x, "idea"), _filled(_get(x, "idea"))))
     return F.when(~_allowed(x, ITERATION_KEYS), "keys").when(~good, "schema")
 

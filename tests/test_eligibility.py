@@ -172,3 +172,10 @@ def test_refused_projects(spark):
     # No active iteration is fine.
     assert (f"iterations/two/{SPEC}", None, "exclude", "draft") in got["p11"] and (f"iterations/one/{SPEC}", "product-spec", "include", None) in got["p11"]
     assert entries(spark, []) == []
+
+
+def test_an_artifact_is_parsed_once(spark):
+    rows = spark.createDataFrame([("p", "iterations/i/iteration.json", "{}", None)], "project_id string, path string, text string, revised_at string")
+    schemas = {"spec": "s", "intake": "i", "current_spec": "c", "iteration": "m"}
+    for found in (eligibility._facts(rows, schemas), eligibility._current(rows, schemas)):
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("parseJson(") == 1
