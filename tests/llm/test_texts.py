@@ -284,6 +284,24 @@ def test_block_max_search_in_batches_skips_blocks():
     assert index.scored < 0.6 * index.pairs
 
 
+def test_block_bounds_do_not_add_up_rows():
+    """Rare terms of many rows of a block in one query: no row has more than one of them, so the block needn't be worked out."""
+    rows = [((i, 640), (0.8, 0.6)) for i in range(640)]
+    index = toxicity.BlockMaxIndex(rows, 641, block=16)
+    query = np.arange(640), np.where(np.arange(640) < 10, 0.3, 0.05)
+    assert index.nearest(query, 5) == [(0.24, i) for i in range(5)]
+    assert index.scored < 0.2 * index.pairs
+
+
+def test_words_are_those_of_the_pattern():
+    rng = random.Random(9)
+    every = [chr(i) for i in range(0x11000) if not 0xD800 <= i < 0xE000]
+    texts = ["".join(every), "".join(c for c in every if c.isalnum()), "a_b1c²d٣e İx", "", None, "one\x1ctwo\x85three\xa0four\u2028five"]
+    texts += ["".join(rng.choice("aBçéß .,_1²٣日\n") for _ in range(60)) for _ in range(200)] + ["".join(rng.choice(every) for _ in range(40)) for _ in range(200)]
+    for text in texts:
+        assert toxicity.words_of(text) == toxicity._WORD.findall((text or "").lower())
+
+
 def test_term_counts_agree():
     text = "Réeuxa réeuxb réeuxc réeuxa the THE cat"
     terms = sorted(toxicity.text_terms(text))
