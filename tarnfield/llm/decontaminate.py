@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnfield.llm.graph import cut
-from tarnfield.llm.textkit import LOWER, byte_set, chunked, find_words, text_bytes
+from tarnfield.llm.textkit import LOWER, byte_set, chunked, find_words, give_back, text_bytes
 
 WORD_BYTES = byte_set((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 _SPACE = 0x20
@@ -219,6 +219,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
     for block, final in _blocks(benchmark, item_id, item_text, window, block_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            give_back()
             for batch in batches:
                 yield batch.filter(pa.array([not spans for _, spans, _ in block.value.hits(batch.column(at))], pa.bool_()))
 

@@ -21,21 +21,21 @@ import math
 import re
 import struct
 from collections.abc import Iterator
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnfield.llm.textkit import fresh_names, small_batches
+from tarnfield.llm.textkit import fresh_names, give_back, small_batches
 
 _SPACE_SIGN = "▁"
 #: From fine to coarse: spaces with a run of letters, of digits or of other signs behind them; or with any run.
 _SEGMENTS = (re.compile(r" *[^\W\d_²³¹¼½¾]+| *\d+| *(?:[^\w \n▁]|[_²³¹¼½¾])+| +|\n|▁|\w"), re.compile(" *[^ \n▁]+| +|\n|▁"))
 #: Segments remembered in each of two generations, and their greatest length.
-_MEMO, _MEMO_LENGTH = 330_000, 40
-_IDS, _COST, _LOSS = itemgetter(0), itemgetter(1), itemgetter(2)
+_MEMO, _MEMO_LENGTH = 200_000, 40
+#: Words of 32 bits before the pieces of a remembered segment: its cost and the loss by the second choice.
+_HEAD = np.arange(4)
 #: Pieces decoded at once.
 _DECODE_BLOCK = 200_000
 #: Micro-nats of a byte piece.
@@ -87,8 +87,8 @@ class PieceModel:
                 rank += 1
         whole = [p.replace(_SPACE_SIGN, " ") for i, p in enumerate(self.pieces) if self.usable[i] and not self.is_byte[i]]
         self._segment = next((r for r in _SEGMENTS if all(r.fullmatch(p) for p in whole)), re.compile(r"(?s)▁|[^▁]+"))
-        self._memo: dict[str, tuple[bytes, int, float]] = {}
-        self._older: dict[str, tuple[bytes, int, float]] = {}
+        self._memo: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
         self._searched: dict[tuple[str, int], list] = {}
         self.longest = max(map(len, whole), default=1)
         self._sizes = np.array([len(b) for b in self.bytes_of], np.int64)
@@ -200,20 +200,23 @@ class PieceModel:
 
     def _first(self, segment: str) -> tuple[bytes, int, float]:
         """Of a segment: the first choice as 32-bit numbers, its cost, and the loss by the second choice."""
-        entry = self._older.get(segment)
-        if entry is not None:
-            pass
-        elif segment == _SPACE_SIGN:
+        if segment == _SPACE_SIGN:
             ids = self._literal()
-            entry = np.array(ids, np.int32).tobytes(), _BYTE_COST * len(ids), math.inf
-        else:
-            least, second, last = self._costs(segment)
-            place, back = len(segment), []
-            while place:
-                place, piece = last[place]
-                back.append(piece)
-            ids = [x for piece in reversed(back) for x in (piece if isinstance(piece, tuple) else (piece,))]
-            entry = struct.pack(f"{len(ids)}i", *ids), least[-1], second[-1] - least[-1]
+            return struct.pack(f"{len(ids)}i", *ids), _BYTE_COST * len(ids), math.inf
+        least, second, last = self._costs(segment)
+        place, back = len(segment), []
+        while place:
+            place, piece = last[place]
+            back.append(piece)
+        ids = [x for piece in reversed(back) for x in (piece if isinstance(piece, tuple) else (piece,))]
+        return struct.pack(f"{len(ids)}i", *ids), least[-1], second[-1] - least[-1]
+
+    def _entry(self, segment: str) -> bytes:
+        """Cost, loss and first choice of a segment in one string of bytes, as it is remembered."""
+        entry = self._older.get(segment)
+        if entry is None:
+            ids, cost, loss = self._first(segment)
+            entry = struct.pack("qd", cost, loss) + ids
         if len(segment) <= _MEMO_LENGTH:
             if len(self._memo) >= _MEMO:
                 self._older = dict(self._memo)
@@ -226,14 +229,22 @@ class PieceModel:
         segments = self.segments(text or "")
         entries = list(map(self._memo.get, segments)) if segments else []
         if None in entries:
-            first = self._first
-            entries = [e or first(s) for e, s in zip(entries, segments, strict=True)]
-        ids = np.frombuffer(b"".join(map(_IDS, entries)), np.int32)
-        total = sum(map(_COST, entries))
-        if n <= 1 or not entries:
+            fresh = self._entry
+            entries = [e or fresh(s) for e, s in zip(entries, segments, strict=True)]
+        if not entries:
+            return np.zeros(0, np.int32), [(0, [])]
+        flat = np.frombuffer(b"".join(entries), np.int32)
+        sizes = np.fromiter(map(len, entries), np.int64, len(entries)) // 4
+        heads = (np.cumsum(sizes) - sizes)[:, None] + _HEAD
+        own = np.ones(len(flat), bool)
+        own[heads] = False
+        ids, heads = flat[own], flat[heads]
+        total = int(heads[:, :2].copy().view(np.int64).sum())
+        if n <= 1:
             return ids, [(total, [])]
+        sizes -= len(_HEAD)
         choices: list[tuple[int, list[tuple[int, int]]]] = [(total, [])]
-        losses = np.fromiter(map(_LOSS, entries), np.float64, len(entries))
+        losses = heads[:, 2:].copy().view(np.float64).ravel()
         open_places = np.argsort(losses, kind="stable")[: n - 1] if len(losses) < 4 * n else np.sort(np.argpartition(losses, n - 1)[: n - 1])
         options = {}
         for i in open_places.tolist():
@@ -242,8 +253,8 @@ class PieceModel:
             options[i] = best = self._options(segments[i], n)
             merged = [(cost + option[0] - best[0][0], change + [(i, k)] if k else change) for cost, change in choices for k, option in enumerate(best)]
             choices = sorted(merged, key=lambda x: (x[0], sorted(x[1])))[:n]
-        at = {i: sum(map(len, map(_IDS, entries[:i]))) // 4 for i in options}
-        return ids, [(cost, [(at[i], at[i] + len(entries[i][0]) // 4, options[i][k][1]) for i, k in sorted(change)]) for cost, change in choices]
+        at = {i: int(sizes[:i].sum()) for i in options}
+        return ids, [(cost, [(at[i], at[i] + int(sizes[i]), options[i][k][1]) for i, k in sorted(change)]) for cost, change in choices]
 
     def _options(self, segment: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
         found = self._searched.get((segment, n))
@@ -295,6 +306,7 @@ def encode_texts(docs: DataFrame, model: PieceModel, keep: tuple[str, ...] = ("d
     names = fresh_names(["n_pieces", "ids", "best", "round_trip"], *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         pieces = frozen.value
         for batch in small_batches(batches):
             ids, best, sizes, good = [], [], [0], []

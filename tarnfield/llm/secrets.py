@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnfield.llm.textkit import small_batches
+from tarnfield.llm.textkit import give_back, small_batches
 
 KINDS = ("assign", "access", "hex", "random")
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -135,6 +135,7 @@ def corpus_transitions(docs: DataFrame, text: str = "text") -> tuple[np.ndarray,
     """Transitions of ordinary tokens and of random values, counted over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         total = np.zeros((2, _SIZE, _SIZE), np.int64)
         for batch in small_batches(batches):
             plain, rand = [], []
@@ -236,6 +237,7 @@ def redact(docs: DataFrame, model: MarkovPair, text: str = "text", mark: str = "
         return "".join([*out, value[last:]]) if out else value
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in small_batches(batches):
             columns = list(batch.columns)
             columns[at] = pa.array(map(clean, columns[at].to_pylist()), pa.string())

@@ -6,6 +6,9 @@ few nanoseconds a byte and memory stays proportional to the chunk, however long
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,6 +65,14 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterato
             yield batch.slice(first, rows)
 
 
+def give_back() -> None:
+    """Returns to the system what this process has freed: Python workers are used again, and hold the room of an earlier stage's arrays."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def chunked(bounds: np.ndarray, limit: int = CHUNK_BYTES):
     """Row ranges (first, last) of about ``limit`` bytes each."""
     first, rows = 0, len(bounds) - 1

@@ -1,5 +1,6 @@
 import itertools
 import random
+import tracemalloc
 
 import pytest
 
@@ -86,3 +87,17 @@ def test_rows(spark, model):
     assert pieces.encode_texts(docs.limit(0), model).count() == 0
     back = pieces.decode_ids(pieces.encode_texts(docs, model).select("doc_id", "ids"), model)
     assert {r.text for r in back.collect()} == {"The the", ""}
+
+
+def test_remembered_segments_are_small(model):
+    """Both generations of remembered segments, when full, take a small part of a task's memory."""
+    fresh = PieceModel(model.pieces, model.is_byte, model.usable)
+    assert fresh.encode("the")[0].tolist() == model.encode("the")[0].tolist()
+    rnd = random.Random(6)
+    text = " ".join("".join(rnd.choice("aeinorst") for _ in range(9)) for _ in range(20_000))
+    tracemalloc.start()
+    fresh.encode(text, 1)
+    grown = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(fresh._memo) > 19_000
+    assert 2 * pieces._MEMO * grown / len(fresh._memo) < 120e6
